@@ -46,18 +46,18 @@ def system_port_hist(flows: DataFrame, bins: int = 1024) -> DataFrame:
 
 
 def user_port_hist(flows: DataFrame) -> DataFrame:
-    """Share of user destination ports in bars of 6000 ports from 1024 on, zeros kept."""
-    group = ["dataset", "pr"]
-    bars = -(-(cfg.PORT_MAX + 1 - cfg.FIRST_USER_PORT) // cfg.USER_PORT_BAR)
-    bar = F.floor((F.col("dp") - cfg.FIRST_USER_PORT) / cfg.USER_PORT_BAR)
-    counts = by_port_class(flows, "user").groupBy(*group, bar.cast("int").alias("bar")).agg(F.count("*").alias("flows"))
-    frame = counts.select(*group).distinct().withColumn("bar", F.explode(F.sequence(F.lit(0), F.lit(bars - 1))))
-    full = frame.join(counts, [*group, "bar"], "left").withColumn("flows", F.coalesce("flows", F.lit(0)))
-    return full.select(
-        *group,
-        (F.col("bar") * cfg.USER_PORT_BAR + cfg.FIRST_USER_PORT).alias("port"),
-        (F.col("flows") / F.sum("flows").over(Window.partitionBy(*group))).alias("share"),
+    """Share of user destination ports in bars of 6000 ports from 1024 on, zeros kept.
+
+    The bars are fixed, so they are counted side by side in one scan and turned to rows.
+    """
+    starts = range(cfg.FIRST_USER_PORT, cfg.PORT_MAX + 1, cfg.USER_PORT_BAR)
+    port = F.col("dp")
+    wide = by_port_class(flows, "user").groupBy("dataset", "pr").agg(
+        F.count("*").alias("total"),
+        *[F.count_if((port >= s) & (port < s + cfg.USER_PORT_BAR)).alias(f"n{s}") for s in starts],
     )
+    stack = ", ".join(f"{s}, n{s} / total" for s in starts)
+    return wide.selectExpr("dataset", "pr", f"stack({len(starts)}, {stack}) AS (port, share)")
 
 
 def side_by_side(table: DataFrame, index: str, values: list[str], columns: list[tuple[str, str]]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.ranking import rank_rows
+from netloom.session import broadcast_if_small
+
 
 def fit_minmax(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Minimum and maximum of each column: one aggregate, one row back."""
@@ -25,9 +26,13 @@ def minmax_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataF
 
 
 def ordinal_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Codes 0, 1, ... in sorted category order; categories are counted, not collected as rows."""
-    stages = [
-        StringIndexer(inputCol=n, outputCol=f"{n}_normed", stringOrderType="alphabetAsc", handleInvalid="keep")
-        for n in columns
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df)
+    """Codes 0, 1, ... in sorted category order; a null stays null.
+
+    Categories are numbered by a parallel sort of the distinct values, however many.
+    """
+    for name in columns:
+        categories = df.select(name).filter(F.col(name).isNotNull()).distinct()
+        codes = rank_rows(categories, F.asc(name), name="_code")
+        coded = codes.select(name, (F.col("_code") - 1).cast("double").alias(f"{name}_normed"))
+        df = df.join(broadcast_if_small(coded), name, "left")
+    return df
