@@ -191,8 +191,16 @@ def features(plan: ColumnPlan, col: int) -> Column:
     return array_to_vector(F.zip_with(seen, mask, lambda x, m: x * m))
 
 
+def classes_seen(training: DataFrame, plan: ColumnPlan, cols=None) -> dict:
+    """Sorted classes that occur in each discrete column: one aggregate, bounded by the plan."""
+    cols = plan.discrete if cols is None else cols
+    sets = training.agg(*[F.sort_array(F.collect_set(class_label(plan, c))).alias(str(c)) for c in cols])
+    return {int(c): seen for c, seen in sets.first().asDict().items()}
+
+
 def fit_discrete(
-    training: DataFrame, plan: ColumnPlan, col: int, max_iter: int = 20, reg: float = 0.0, label_hook=None
+    training: DataFrame, plan: ColumnPlan, col: int, max_iter: int = 20, reg: float = 0.0, label_hook=None,
+    classes: list | None = None,
 ) -> SoftmaxHead:
     """Multinomial logistic regression of one discrete column on its visible inputs.
 
@@ -201,7 +209,8 @@ def fit_discrete(
     """
     label = class_label(plan, col)
     rows = training.select((label_hook(label) if label_hook else label).alias("cls"), features(plan, col).alias("x"))
-    classes = sorted(r.cls for r in rows.select("cls").distinct().collect())
+    if classes is None:
+        classes = sorted(rows.agg(F.collect_set("cls")).first()[0])
     if len(classes) == 1:
         return SoftmaxHead(np.array(classes), np.zeros((1, plan.input_dim)), np.zeros(1))
     numbered = training.sparkSession.createDataFrame(
@@ -214,7 +223,8 @@ def fit_discrete(
 
 
 def fit_all_discrete(training: DataFrame, plan: ColumnPlan, **settings) -> dict:
-    return {col: fit_discrete(training, plan, col, **settings) for col in plan.discrete}
+    seen = classes_seen(training, plan)
+    return {col: fit_discrete(training, plan, col, classes=seen[col], **settings) for col in plan.discrete}
 
 
 def column_losses(windows: DataFrame, fitted: Fitted, binned: bool = True) -> DataFrame:

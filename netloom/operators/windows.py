@@ -86,27 +86,14 @@ def label_row() -> Column:
     return F.array(*flow_label())
 
 
-def prepare_windows(
-    flows: DataFrame,
-    agg: int = cfg.FLOW_WINDOW,
-    key: str = "this_ip",
-    hour_max: float = cfg.HOUR_MAX,
-    clip: bool = False,
-    transfer=None,
+def windows_of(
+    part: Chunked, agg: int, *keep: str, hour_max: float = cfg.HOUR_MAX, clip: bool = False, transfer=None,
     label: Column | None = None,
-    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Every user's flows to (user, flow_id, te, ctx, label) in one job.
-
-    Inter-arrival times and windows share one shuffle by user and one sort.  ``transfer``
-    replaces the encoder by any DataFrame transform that keeps key, ``te``, ``flow_id``
-    and ``chunk`` and yields the encoded columns; ``label`` replaces the label row.
-    ``clip`` limits the encoded delta to 1, the range the models are fitted on.
-    """
-    part = with_inter_arrival(chunked(flows.dropna(), key, target_rows=target_rows))
-    keep = [key, "te", "flow_id", "chunk"]
+    """Chunked flows with ``delta`` to (user, flow_id, te, ctx, label) and the ``keep`` columns."""
+    key = part.keys[0]
     if transfer is None:
-        rows = encode_flows(part.df, *keep, hour_max=hour_max)
+        rows = encode_flows(part.df, key, "te", "flow_id", "chunk", *keep, hour_max=hour_max)
     else:
         rows = part.df.transform(transfer)
     if clip:
@@ -115,7 +102,22 @@ def prepare_windows(
     part = part.having(rows.dropna(subset=cfg.ENCODED_COLUMNS))
     windows = with_context(part, cfg.ENCODED_COLUMNS, agg).result()
     label = label_row() if label is None else label
-    return windows.select(F.col(key).alias("user"), "flow_id", "te", "ctx", label.alias("label"))
+    return windows.select(F.col(key).alias("user"), "flow_id", "te", *keep, "ctx", label.alias("label"))
+
+
+def prepare_windows(
+    flows: DataFrame, agg: int = cfg.FLOW_WINDOW, key: str = "this_ip", target_rows: int = TARGET_ROWS, **encoding
+) -> DataFrame:
+    """Every user's flows to (user, flow_id, te, ctx, label) in one job.
+
+    Inter-arrival times and windows share one shuffle by user and one sort.  ``encoding``:
+    ``transfer`` replaces the encoder by any DataFrame transform that keeps key, ``te``,
+    ``flow_id`` and ``chunk`` and yields the encoded columns; ``label`` replaces the label
+    row; ``clip`` limits the encoded delta to 1, the range the models are fitted on;
+    ``hour_max`` sets the scale of the hour.
+    """
+    part = with_inter_arrival(chunked(flows.dropna(), key, target_rows=target_rows))
+    return windows_of(part, agg, **encoding)
 
 
 def masked_features(windows: DataFrame, plan: cfg.ColumnPlan, col: int) -> DataFrame:

@@ -14,10 +14,11 @@ from netloom.functions import columns as c
 from netloom.functions.binning import ln_byte_bucket
 from netloom.functions.rules import RULES
 from netloom.operators import codec, divergence, filters, marginals, profile, sampling, scaling, series, windows
-from netloom.operators.chunks import chunked
+from netloom.models import fitting, generating, tasks
 from netloom.operators.ranking import rank_curve
 from netloom.operators.rule_report import rule_summary, rule_verdicts
 from netloom.session import shared_path
+from netloom.streaming import jobs
 from netloom.sources import flows as src
 from netloom.sources import sinks
 
@@ -225,7 +226,9 @@ PORT_TABLES = [(d, p) for d in (REAL, GENERATED) for p in ("TCP", "UDP")]
 
 def system_ports_side_by_side(spark, sf_dir):
     top = marginals.system_port_top(_datasets(spark, sf_dir)).withColumn("share", F.round("share", 9))
-    return marginals.side_by_side(top.withColumnRenamed("dp", "port"), "rank", ["port", "share"], PORT_TABLES)
+    return marginals.side_by_side(
+        top.withColumn("port", F.col("dp").cast("double")), "rank", ["port", "share"], PORT_TABLES
+    )
 
 
 def user_ports_side_by_side(spark, sf_dir):
@@ -364,7 +367,8 @@ def rule_report(spark, sf_dir):
 def _rule(rule: str):
     def verdicts(spark, sf_dir):
         flows = rule_verdicts(_flows(spark, sf_dir), "flow_id", rules=[rule])
-        return flows.select("flow_id", F.col(rule).cast("int").alias("verdict"))
+        verdict = F.when(F.col(rule), "pass").when(~F.col(rule), "fail").otherwise("not applicable")
+        return flows.select("flow_id", verdict.alias("verdict"))
 
     return verdicts
 
@@ -701,3 +705,241 @@ DETERMINISTIC = [
 
 QUERIES = {q.__name__: q for q in DETERMINISTIC}
 QUERIES |= {f"rule_{name}": _rule(name) for name in RULES}
+
+
+# --- learned operators ------------------------------------------------------
+# Parameters and draws have no SQL counterpart; these queries fit and sample over the whole
+# tables and report counts and properties, which SQL can state, or the scores themselves.
+
+PLAN = cfg.flow_plan()
+ITERATIONS = 8
+MODEL_BATCH = 2_048
+_fitted: dict = {}
+
+
+def _model_windows(spark, sf_dir) -> DataFrame:
+    return windows.prepare_windows(_flows(spark, sf_dir), hour_max=24, clip=True)
+
+
+def _model(spark, sf_dir) -> tuple[fitting.Fitted, list]:
+    """One epoch over the windows of ``sf_dir``; fitted once per session, like a stored model."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _fitted:
+        training = fitting.training_table(_model_windows(spark, sf_dir), batch_rows=MODEL_BATCH)
+        log: list = []
+        mixtures = fitting.fit_continuous(training, PLAN, 1, log=log)
+        heads = fitting.fit_all_discrete(training, PLAN, max_iter=ITERATIONS)
+        _fitted[key] = fitting.Fitted(PLAN, mixtures, heads), log
+    return _fitted[key]
+
+
+def mixture_nll(spark, sf_dir):
+    """Score of the mixture with all parameters zero: equal standard normal components."""
+    zero = {col: 0.0 * flat for col, flat in fitting.initial_mixtures(PLAN).items()}
+    losses = fitting.column_losses(_model_windows(spark, sf_dir), fitting.Fitted(PLAN, zero), binned=False)
+    return losses.select("col", _r("loss"), "n")
+
+
+def binned_nll(spark, sf_dir):
+    start = fitting.Fitted(PLAN, fitting.initial_mixtures(PLAN))
+    return fitting.column_losses(_model_windows(spark, sf_dir), start).select("col", "kind", "loss", "n")
+
+
+def fit_continuous(spark, sf_dir):
+    """Continuous columns with their losses before and after fitting."""
+    rows = _model_windows(spark, sf_dir)
+    fitted, _ = _model(spark, sf_dir)
+    start = fitting.Fitted(PLAN, fitting.initial_mixtures(PLAN))
+    before = fitting.column_losses(rows, start).select("col", F.col("loss").alias("before"))
+    after = fitting.column_losses(rows, fitting.Fitted(PLAN, fitted.mixtures))
+    return after.join(before, "col").select("col", "n", (F.col("loss") < F.col("before")).alias("improved"))
+
+
+def fit_discrete(spark, sf_dir):
+    """Discrete columns with the classes seen, and whether fitting beats an even guess."""
+    fitted, _ = _model(spark, sf_dir)
+    losses = fitting.column_losses(_model_windows(spark, sf_dir), fitting.Fitted(PLAN, heads=fitted.heads))
+    seen = F.create_map(*[x for col, h in fitted.heads.items() for x in (F.lit(col), F.lit(len(h.classes)))])
+    classes = seen[F.col("col")]
+    return losses.select(
+        "col", classes.cast("long").alias("classes"), "n", (F.col("loss") < F.log(classes)).alias("improved")
+    )
+
+
+def cross_entropy(spark, sf_dir):
+    fitted, _ = _model(spark, sf_dir)
+    heads = fitting.Fitted(PLAN, heads=fitted.heads)
+    return fitting.column_losses(_model_windows(spark, sf_dir), heads).select("col", "kind", "loss", "n")
+
+
+def validate_loss(spark, sf_dir):
+    fitted, _ = _model(spark, sf_dir)
+    return fitting.validate_loss(_model_windows(spark, sf_dir), fitted, epoch=1)
+
+
+def fit_batches(spark, sf_dir):
+    """Mean loss per epoch and continuous column over all batches."""
+    _, log = _model(spark, sf_dir)
+    return fitting.loss_summary(spark, log)
+
+
+def fit_whole_table(spark, sf_dir):
+    """Two full-table steps on the density: loss per epoch and column."""
+    training = fitting.training_table(_model_windows(spark, sf_dir), batch_rows=None)
+    log: list = []
+    fitting.fit_continuous(training, PLAN, 2, by_batch=False, log=log)
+    return fitting.loss_summary(spark, log)
+
+
+def save_and_load_models(spark, sf_dir):
+    fitted, _ = _model(spark, sf_dir)
+    path = shared_path(spark, "models")
+    fitting.save_models(spark, fitted, path, "ep0")
+    loaded = fitting.load_models(spark, PLAN, path, "ep0")
+    losses = fitting.column_losses(_model_windows(spark, sf_dir), loaded)
+    return losses.select("col", "kind", "loss", "n")
+
+
+def _per_user(spark, sf_dir) -> DataFrame:
+    return _flows(spark, sf_dir).groupBy(F.col("this_ip").alias("seq_id")).agg(F.count("*").alias("rows"))
+
+
+def sample_rows(spark, sf_dir):
+    """As many generated rows for each user as it has flows, every row one-hot in both groups."""
+    fitted, _ = _model(spark, sf_dir)
+    rows = generating.flow_columns(generating.sample_rows(_per_user(spark, sf_dir), fitted), PLAN)
+    direction, protocol = F.col("out_x") + F.col("in_x"), F.col("tcp_x") + F.col("udp_x") + F.col("other_x")
+    return rows.groupBy("seq_id").agg(
+        F.count("*").alias("rows"), F.count_if((direction == 1) & (protocol == 1)).alias("one_hot"),
+        F.max("step").alias("last_step"),
+    )
+
+
+SPAN = 8_640.0
+
+
+def sample_time_span(spark, sf_dir):
+    """Generated until 8640 s: the clock passes the span with the last row, and only then."""
+    fitted, _ = _model(spark, sf_dir)
+    seqs = _per_user(spark, sf_dir).withColumn("span", F.lit(SPAN))
+    rows = generating.flow_columns(generating.sample_time_span(seqs, fitted), PLAN)
+    seconds = F.floor(F.col("delta_x") * cfg.DELTA_MAX)
+    inside = [F.col(n).between(0, 1) for n in ("hour_x", "delta_x", "byt_x", "pkt_x", "td_x")]
+    scaled = inside[0]
+    for x in inside[1:]:
+        scaled = scaled & x
+    spans = rows.groupBy("seq_id").agg(
+        F.sum(seconds).alias("clock"), F.max_by(seconds, "step").alias("last"), F.every(scaled).alias("scaled"),
+    )
+    return spans.select(
+        "seq_id", (F.col("clock") >= SPAN).alias("reached"), (F.col("clock") - F.col("last") < SPAN).alias("needed"),
+        "scaled",
+    )
+
+
+def generate_flows(spark, sf_dir):
+    fitted, _ = _model(spark, sf_dir)
+    seqs = _per_user(spark, sf_dir).withColumn("span", F.lit(SPAN))
+    return generating.generate_flows(seqs, fitted)
+
+
+def generate_many_users(spark, sf_dir):
+    """Two days of flow records for every user of the table."""
+    fitted, _ = _model(spark, sf_dir)
+    users = _per_user(spark, sf_dir).select(F.col("seq_id").alias("user"))
+    return generating.generate_many_users(users, 2, fitted, span=SPAN)
+
+
+def artificial_series(spark, sf_dir):
+    """A two-column series per user, as long as the user has flows."""
+    rows = generating.artificial_series(_per_user(spark, sf_dir), [0.9, 0.9])
+    return rows.groupBy("seq_id").agg(F.count("*").alias("rows"), F.max("step").alias("last_step"))
+
+
+def artificial_correlation(spark, sf_dir):
+    """Correlation of the generated columns with each other and of the first with its past."""
+    rows = generating.artificial_series(_per_user(spark, sf_dir), [0.9, 0.9])
+    past = rows.select("seq_id", (F.col("step") + 1).alias("step"), F.col("x0").alias("x0_prev"))
+    return rows.join(past, ["seq_id", "step"]).agg(
+        F.corr("x0", "x1").alias("corr_xy"), F.corr("x0", "x0_prev").alias("corr_xx1"), F.count("*").alias("pairs")
+    )
+
+
+def _task_rows(spark, sf_dir):
+    flows = _datasets(spark, sf_dir).select(
+        "dataset", "flow_id", "sp", "dp", "td", c.ln(F.col("byt")).alias("ln_byt"),
+        c.ln(F.col("pkt")).alias("ln_pkt"), c.protocol_code(F.col("pr")).cast("double").alias("code"),
+    )
+    return flows.filter(F.col("dataset") == GENERATED), flows.filter(F.col("dataset") == REAL)
+
+
+def flow_classifier(spark, sf_dir):
+    """Protocol of real flows by a classifier fitted on generated ones: rows per actual class."""
+    train, test = _task_rows(spark, sf_dir)
+    inputs = ["sp", "dp", "td", "ln_byt", "ln_pkt"]
+    task = tasks.flow_classifier(train, test, inputs, "code", epochs=30)
+    table = tasks.classification_table(task.predict(test), "code")
+    return table.groupBy("actual").agg(F.sum("rows").alias("rows"))
+
+
+def flow_confusion(spark, sf_dir):
+    train, test = _task_rows(spark, sf_dir)
+    inputs = ["sp", "dp", "td", "ln_byt", "ln_pkt"]
+    task = tasks.flow_classifier(train, test, inputs, "code", epochs=30)
+    return tasks.classification_table(task.predict(test), "code")
+
+
+def flow_regressor(spark, sf_dir):
+    """Bytes of a flow from 25 values, the five flows before it: error of prediction and of the mean."""
+    columns = ["delta_x", "byt_x", "pkt_x", "td_x", "lport_x"]
+    at = [cfg.ENCODED_COLUMNS.index(n) for n in columns]
+    width = len(cfg.ENCODED_COLUMNS)
+    inputs = {f"x{back}_{n}": F.col("ctx")[back * width + i]
+              for back in range(cfg.FLOW_WINDOW) for n, i in zip(columns, at)}
+    rows = _model_windows(spark, sf_dir).select(
+        "flow_id", *[v.alias(n) for n, v in inputs.items()], F.col("label")[2].alias("target")
+    )
+    train, test = rows.filter(F.col("flow_id") % 2 == 1), rows.filter(F.col("flow_id") % 2 == 0)
+    task = tasks.flow_regressor(train, test, list(inputs), "target", rounds=5)
+    error = F.col("prediction") - F.col("target")
+    return task.predict(test).agg(
+        F.avg(error * error).alias("mse"), F.var_pop("target").alias("mse_of_mean"), F.count("*").alias("rows")
+    )
+
+
+# --- streaming --------------------------------------------------------------
+
+def streaming_user_stats(spark, sf_dir):
+    path = shared_path(spark, "stream-stats")
+    jobs.running_user_stats(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    return jobs.read_user_stats(spark, path)
+
+
+def streaming_rule_rates(spark, sf_dir):
+    path = shared_path(spark, "stream-rules")
+    jobs.rule_rates(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    return jobs.read_rule_rates(spark, path)
+
+
+def streaming_windows(spark, sf_dir):
+    path = shared_path(spark, "stream-windows")
+    jobs.carried_windows(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    return _position_sums(jobs.read_carried_windows(spark, path))
+
+
+def streaming_user_sink(spark, sf_dir):
+    path = shared_path(spark, "stream-users")
+    jobs.user_sink(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    return jobs.read_user_sink(spark, path).groupBy("user").agg(
+        F.count("*").alias("flows"), F.sum("byt").alias("byt")
+    )
+
+
+LEARNED = [
+    mixture_nll, binned_nll, fit_continuous, fit_discrete, cross_entropy, validate_loss, fit_batches,
+    fit_whole_table, save_and_load_models, sample_rows, sample_time_span, generate_flows,
+    generate_many_users, artificial_series, artificial_correlation, flow_classifier, flow_confusion,
+    flow_regressor,
+]
+STREAMING = [streaming_user_stats, streaming_rule_rates, streaming_windows, streaming_user_sink]
+QUERIES |= {q.__name__: q for q in LEARNED + STREAMING}

@@ -372,7 +372,7 @@ ORACLES = {
         'SELECT dataset, col AS "column", bin, round(p, 12) AS p, round(q, 12) AS q FROM aligned',
         *HIST, SMOOTH, ALIGNED,
     ),
-    "system_ports_side_by_side": _datasets(_side_by_side("top", "rank", {"port": "dp", "share": "share"}), TOP_PORTS),
+    "system_ports_side_by_side": _datasets(_side_by_side("top", "rank", {"port": "dp::DOUBLE", "share": "share"}), TOP_PORTS),
     "user_ports_side_by_side": _datasets(_side_by_side("bars", "port", {"share": "share"}), BARS),
     # aggregations
     "endpoint_occurrences": _with("SELECT ip, number_of_rows FROM stats", _stats()),
@@ -448,7 +448,10 @@ ORACLES = {
         "round(avg(verdict), 9) AS share FROM verdicts GROUP BY dataset, rule", RULE_ROWS,
     ),
     **{
-        f"rule_{name}": _with(f"SELECT flow_id, CAST(({sql}) AS INTEGER) AS verdict FROM flows")
+        f"rule_{name}": _with(
+            f"SELECT flow_id, CASE WHEN v THEN 'pass' WHEN NOT v THEN 'fail' ELSE 'not applicable' END AS verdict "
+            f"FROM (SELECT flow_id, ({sql}) AS v FROM flows)"
+        )
         for name, sql in RULES.items()
     },
     # window and time-series functions
@@ -619,3 +622,63 @@ ORACLES = {
     ),
 }
 ORACLES["sampled_ip_curve"] = ORACLES["ip_occurrence_curve"]
+
+# --- learned operators: counts and properties that must hold -----------------
+
+MODEL_CONTINUOUS = [c for c in cfg.flow_plan().continuous]
+_MODEL_VALUE = {0: "hour(te) / 24.0::DOUBLE", 1: "least(delta_x, 1.0)"}
+_MODEL_CLASS = {
+    11: "CASE WHEN out_x = 1 THEN 0 ELSE 1 END",
+    13: "CASE WHEN tcp_x = 1 THEN 0 WHEN udp_x = 1 THEN 1 ELSE 2 END",
+}
+
+ORACLES |= {
+    # equal standard normal components: density of the value itself
+    "mixture_nll": _with(
+        " UNION ALL ".join(
+            f"SELECT {i} AS col, round(avg(-ln(exp(-0.5 * x * x) / sqrt(2 * pi()) + 1e-10)), 6) AS loss, count(*) AS n "
+            f"FROM (SELECT {_MODEL_VALUE.get(i, cfg.ENCODED_COLUMNS[i])} AS x FROM encoded)"
+            for i in MODEL_CONTINUOUS
+        ), DELTAS, ENCODED,
+    ),
+    "fit_continuous": _with(" UNION ALL ".join(
+        f"SELECT {i} AS col, count(*) AS n, TRUE AS improved FROM flows" for i in MODEL_CONTINUOUS
+    )),
+    "fit_discrete": _with(
+        " UNION ALL ".join(
+            f"SELECT {i} AS col, count(DISTINCT {_MODEL_CLASS.get(i, cfg.ENCODED_COLUMNS[i])}) AS classes, "
+            f"count(*) AS n, TRUE AS improved FROM "
+            + ("encoded" if i in _MODEL_CLASS else "labels_of")
+            for i in cfg.flow_plan().discrete
+        ), DELTAS, ENCODED, LABELS,
+    ),
+    "sample_rows": _with(
+        "SELECT this_ip AS seq_id, count(*) AS rows, count(*) AS one_hot, CAST(count(*) - 1 AS INTEGER) AS last_step "
+        "FROM flows GROUP BY this_ip"
+    ),
+    "sample_time_span": _with(
+        "SELECT this_ip AS seq_id, TRUE AS reached, TRUE AS needed, TRUE AS scaled FROM flows GROUP BY this_ip"
+    ),
+    "artificial_series": _with(
+        "SELECT this_ip AS seq_id, count(*) AS rows, CAST(count(*) - 1 AS INTEGER) AS last_step FROM flows GROUP BY this_ip"
+    ),
+    "flow_classifier": _datasets(
+        "SELECT CASE pr WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 ELSE 2 END AS actual, count(*) AS rows "
+        "FROM d WHERE dataset = 'real' GROUP BY 1"
+    ),
+    # streaming
+    "streaming_user_stats": _with(
+        "SELECT ip, number_of_rows, incoming_num, outgoing_num, user_type FROM stats", _stats()
+    ),
+    "streaming_rule_rates": _with(
+        "SELECT CAST(epoch(day) AS BIGINT) AS window_start, rule, CAST(coalesce(sum(verdict), 0) AS BIGINT) AS true_count, "
+        "count(verdict) AS total FROM verdicts "
+        "WHERE day + INTERVAL 1 DAY <= (SELECT max(te) - INTERVAL 10 MINUTE FROM flows) GROUP BY day, rule",
+        RULE_ROWS.replace("dataset", "date_trunc('day', te) AS day").replace("FROM d", "FROM flows"),
+    ),
+    "streaming_windows": POSITION_SUMS,
+    "streaming_user_sink": _with(
+        'SELECT ip AS "user", count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt '
+        "FROM (SELECT DISTINCT flow_id, ip, byt FROM ends) WHERE ip LIKE '42.219.%' GROUP BY ip", ENDS,
+    ),
+}
