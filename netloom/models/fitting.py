@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -222,9 +223,16 @@ def fit_discrete(
     return SoftmaxHead(np.array(classes), model.coefficientMatrix.toArray(), model.interceptVector.toArray())
 
 
-def fit_all_discrete(training: DataFrame, plan: ColumnPlan, **settings) -> dict:
+def fit_all_discrete(training: DataFrame, plan: ColumnPlan, parallelism: int = 4, **settings) -> dict:
+    """All discrete columns; their jobs are independent, so a few are submitted at a time."""
     seen = classes_seen(training, plan)
-    return {col: fit_discrete(training, plan, col, classes=seen[col], **settings) for col in plan.discrete}
+
+    @inheritable_thread_target(training.sparkSession)
+    def one(col: int) -> SoftmaxHead:
+        return fit_discrete(training, plan, col, classes=seen[col], **settings)
+
+    with ThreadPool(parallelism) as pool:
+        return dict(zip(plan.discrete, pool.map(one, plan.discrete)))
 
 
 def column_losses(windows: DataFrame, fitted: Fitted, binned: bool = True) -> DataFrame:

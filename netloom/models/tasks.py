@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.session import materialize
+
 # Hidden units of the classifier.
 HIDDEN = 50
 
@@ -36,6 +38,11 @@ def _scaler(train: DataFrame, test: DataFrame, inputs: list[str]):
     return Pipeline(stages=stages).fit(both)
 
 
+def _prepared(scaler, train: DataFrame, label: str) -> DataFrame:
+    """Training rows computed once; every iteration reads them again."""
+    return materialize(scaler.transform(train).select("features", label))
+
+
 def flow_classifier(
     train: DataFrame, test: DataFrame, inputs: list[str], label: str, classes: int = 3, epochs: int = 100, seed: int = 1
 ) -> Task:
@@ -44,7 +51,7 @@ def flow_classifier(
     net = MultilayerPerceptronClassifier(
         layers=[len(inputs), HIDDEN, classes], labelCol=label, maxIter=epochs, seed=seed
     )
-    return Task(scaler, net.fit(scaler.transform(train)))
+    return Task(scaler, net.fit(_prepared(scaler, train, label)))
 
 
 def flow_regressor(
@@ -53,7 +60,7 @@ def flow_regressor(
     """Boosted trees in place of a network: Spark has no network regressor."""
     scaler = _scaler(train, test, inputs)
     trees = GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)
-    return Task(scaler, trees.fit(scaler.transform(train)))
+    return Task(scaler, trees.fit(_prepared(scaler, train, label)))
 
 
 def accuracy(predicted: DataFrame, label: str) -> float:

@@ -17,7 +17,7 @@ from netloom.operators import codec, divergence, filters, marginals, profile, sa
 from netloom.models import fitting, generating, tasks
 from netloom.operators.ranking import rank_curve
 from netloom.operators.rule_report import rule_summary, rule_verdicts
-from netloom.session import shared_path
+from netloom.session import materialize, shared_path
 from netloom.streaming import jobs
 from netloom.sources import flows as src
 from netloom.sources import sinks
@@ -899,6 +899,7 @@ def flow_regressor(spark, sf_dir):
     rows = _model_windows(spark, sf_dir).select(
         "flow_id", *[v.alias(n) for n, v in inputs.items()], F.col("label")[2].alias("target")
     )
+    rows = materialize(rows)
     train, test = rows.filter(F.col("flow_id") % 2 == 1), rows.filter(F.col("flow_id") % 2 == 0)
     task = tasks.flow_regressor(train, test, list(inputs), "target", rounds=5)
     error = F.col("prediction") - F.col("target")
