@@ -1,7 +1,7 @@
 """Time-ordered windows per key that stay parallel when one key holds most rows.
 
-A key with more than ``target_rows`` rows is cut along time into chunks of about that
-size; each chunk gets the last rows before it carried in from earlier chunks, so every
+A key with more rows than the target is cut along time into chunks of about that size,
+each of which gets the last rows before it carried in from earlier chunks, so every
 window sees exactly the rows it would see in one long partition.  Keys below the target
 form a single chunk each, and when there is no heavy key the plan is a plain window.
 """
@@ -18,10 +18,10 @@ from netloom.session import broadcast_if_small, materialize
 
 # Rows one window task is meant to sort; spilled sorts beyond it still finish.
 TARGET_ROWS = 2_000_000
+# On very large tables the target grows so that about this many pieces are cut in all.
+MAX_PIECES = 20_000
 # Time cells a target-sized piece of a heavy key is measured in before it is cut.
 CELLS_PER_CHUNK = 16
-# How much narrower the cells of a key become when one of them is still too full.
-REFINE = 64
 
 
 @dataclass(frozen=True)
@@ -49,43 +49,47 @@ class Chunked:
 def chunked(df: DataFrame, *keys: str, id_col: str = "flow_id", target_rows: int = TARGET_ROWS) -> Chunked:
     """Number the chunks of each key; keys that need no cutting get chunk -1.
 
-    One narrow aggregate finds the heavy keys, at most rows/target of them.  Their flows
-    are counted in time cells, and the cells are made finer where one still exceeds the
-    target, until the clock's microsecond; only cells that hold flows take up a row.
+    One narrow aggregate sizes the keys; at most ``MAX_PIECES`` of them are heavy.  Their
+    flows are counted in equal time cells.  A cell that still exceeds the target (a burst,
+    or everything next to one stray time) is divided again over its own range, by number
+    once all its flows carry the same time.  Cells in order, summed up, give the chunks.
     """
-    at = micros(F.col("te"))
-    heavy = materialize(
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to"))
-        .filter(F.col("_n") > target_rows)
-        .withColumn("_cells", F.ceil(F.col("_n") / target_rows) * CELLS_PER_CHUNK)
-        .withColumn("_width", F.ceil((F.col("_to") - F.col("_from") + 1) / F.col("_cells")).cast("long"))
-        .select(*keys, "_from", "_width")
-    )
-    if heavy.isEmpty():
-        return Chunked(df.withColumn("chunk", F.lit(-1).cast("long")), keys, False, id_col)
-    cell = F.floor((at - F.col("_from")) / F.col("_width")).cast("long")
+    place = {"at": micros(F.col("te")), "id": F.col(id_col).cast("long")}
+
+    def sizes(rows: DataFrame, group: list) -> DataFrame:
+        ends = [f(c).alias(f"_{n}_{f.__name__}") for n, c in place.items() for f in (F.min, F.max)]
+        return materialize(rows.groupBy(*group).agg(F.count("*").alias("_n"), *ends))
+
+    groups, path, placed = sizes(df, list(keys)), [], df
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    target_rows = max(target_rows, -(-total // MAX_PIECES))
     while True:
-        heavy = broadcast_if_small(heavy)
-        cells = materialize(
-            df.join(heavy, list(keys)).groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+        by_id = F.col("_at_min") == F.col("_at_max")
+        lo, hi = (F.when(by_id, F.col(f"_id_{e}")).otherwise(F.col(f"_at_{e}")) for e in ("min", "max"))
+        cells = F.ceil(F.col("_n") / target_rows) * CELLS_PER_CHUNK
+        full = groups.filter((F.col("_n") > target_rows) & (hi > lo)).select(
+            *keys, *path, by_id.alias("_by_id"), lo.alias("_lo"), F.ceil((hi - lo + 1) / cells).alias("_width")
         )
-        full = cells.groupBy(*keys).agg(F.max("_n").alias("_most")).filter(F.col("_most") > target_rows)
-        finer = materialize(
-            heavy.join(full, list(keys), "left").select(
-                *keys, "_from", "_width",
-                F.when(F.col("_most").isNotNull() & (F.col("_width") > 1), F.ceil(F.col("_width") / REFINE))
-                .cast("long").alias("_finer"),
-            )
-        )
-        if finer.filter(F.col("_finer").isNotNull()).isEmpty():
+        if full.isEmpty():
             break
-        heavy = finer.select(*keys, "_from", F.coalesce("_finer", "_width").alias("_width"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        name = f"_cell{len(path)}"
+        value = F.when(F.col("_by_id"), place["id"]).otherwise(place["at"])
+        cell = F.floor((value - F.col("_lo")) / F.col("_width")).cast("long")
+        placed = (
+            placed.join(broadcast_if_small(full), [*keys, *path], "left")
+            .withColumn(name, F.coalesce(cell, F.lit(-1).cast("long")))
+            .drop("_by_id", "_lo", "_width")
+        )
+        path = [*path, name]
+        groups = sizes(placed.filter(F.col(name) >= 0), [*keys, *path])
+    if not path:
+        return Chunked(df.withColumn("chunk", F.lit(-1).cast("long")), keys, False, id_col)
+    if len(path) > 1:
+        groups = sizes(placed.filter(F.col(path[0]) >= 0), [*keys, *path])
+    before = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
     number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).cast("long")
-    chunks = broadcast_if_small(materialize(cells.select(*keys, "_cell", number.alias("chunk"))))
-    placed = df.join(heavy, list(keys), "left").withColumn("_cell", cell).drop("_from", "_width")
-    out = placed.join(chunks, [*keys, "_cell"], "left").drop("_cell")
+    chunks = materialize(groups.select(*keys, *path, number.alias("chunk")))
+    out = placed.join(broadcast_if_small(chunks), [*keys, *path], "left").drop(*path)
     return Chunked(out.withColumn("chunk", F.coalesce("chunk", F.lit(-1).cast("long"))), keys, True, id_col)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom import config as cfg
-from netloom.functions.binning import left_closed_bin, right_closed_bin
+from netloom.functions.binning import with_left_closed_bin, with_right_closed_bin
 from netloom.operators.filters import drop_invalid, metric_columns
 
 
@@ -33,14 +33,15 @@ def histograms(
         )
     elif binning != "own":
         raise ValueError(f"unknown binning {binning!r}")
-    to_bin = right_closed_bin if closed == "right" else left_closed_bin
+    to_bin = with_right_closed_bin if closed == "right" else with_left_closed_bin
     first = 1 if closed == "right" else 0
     # Datasets are named by the caller, a handful: their ranges may be broadcast.
-    binned = base.join(F.broadcast(spans), "dataset").select(
-        "dataset", *[to_bin(F.col(n), F.col(f"{n}_lo"), F.col(f"{n}_hi"), bins).alias(n) for n in columns]
+    stack = ", ".join(f"'{n}', {n}, {n}_lo, {n}_hi" for n in columns)
+    long = base.join(F.broadcast(spans), "dataset").selectExpr(
+        "dataset", f"stack({len(columns)}, {stack}) AS (column, x, lo, hi)"
     )
     counts = (
-        binned.unpivot(["dataset"], columns, "column", "bin")
+        to_bin(long, "bin", F.col("x"), F.col("lo"), F.col("hi"), bins)
         .filter(F.col("bin").isNotNull())
         .groupBy("dataset", "column", "bin").agg(F.count("*").alias("n"))
     )
@@ -67,11 +68,11 @@ def density(hist: DataFrame, bins: int = cfg.DIVERGENCE_BINS) -> DataFrame:
 
 def hist2d(df: DataFrame, x: str, y: str, bins: int = 50, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
     """Non-empty cells of a square histogram; points outside are left out, the top edge is in."""
-    def cell(name: str) -> Column:
-        return left_closed_bin(F.col(name).cast("double"), F.lit(lo), F.lit(hi), bins)
-
+    cells = df
+    for name in (x, y):
+        cells = with_left_closed_bin(cells, f"{name}_bin", F.col(name).cast("double"), F.lit(lo), F.lit(hi), bins)
     return (
-        df.select("dataset", cell(x).alias("x_bin"), cell(y).alias("y_bin")).dropna()
+        cells.select("dataset", F.col(f"{x}_bin").alias("x_bin"), F.col(f"{y}_bin").alias("y_bin")).dropna()
         .groupBy("dataset", "x_bin", "y_bin").agg(F.count("*").alias("n"))
     )
 

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from netloom import config as cfg
 from netloom.functions import columns as c
-from netloom.functions.binning import ln_byte_bucket
+from netloom.functions.binning import with_ln_byte_bucket
 from netloom.functions.rules import RULES
-from netloom.operators import codec, divergence, filters, marginals, profile, sampling, scaling, series, windows
 from netloom.models import fitting, generating, tasks
+from netloom.operators import codec, divergence, filters, marginals, profile, sampling, scaling, series, windows
 from netloom.operators.ranking import rank_curve
 from netloom.operators.rule_report import rule_summary, rule_verdicts
+from netloom.plans import workflows
 from netloom.session import materialize, shared_path
 from netloom.streaming import jobs
 from netloom.sources import flows as src
@@ -117,13 +118,8 @@ def write_windows(spark, sf_dir):
 
 
 def write_reports(spark, sf_dir):
-    path = shared_path(spark, "reports")
-    flows = _datasets(spark, sf_dir)
-    sinks.write_report(rule_summary(flows, "dataset").drop("share"), path, "rules", "first")
-    sinks.write_report(marginals.protocol_value_counts(flows), path, "protocol", "first")
-    sinks.write_report(profile.user_type_counts(profile.user_stats(flows)), path, "user_types", "first")
-    stored = sinks.read_reports(spark, path)
-    return stored.groupBy("report", "run").agg(F.count("*").alias("rows"))
+    path = workflows.evaluate(_datasets(spark, sf_dir), REAL)
+    return sinks.read_reports(spark, path).groupBy("report", "run").agg(F.count("*").alias("rows"))
 
 
 def recover_user_list(spark, sf_dir):
@@ -627,7 +623,7 @@ def ordinal_encode(spark, sf_dir):
 
 
 def ln_byte_buckets(spark, sf_dir):
-    return _flows(spark, sf_dir).groupBy(ln_byte_bucket(F.col("byt")).alias("bucket")).agg(
+    return with_ln_byte_bucket(_flows(spark, sf_dir), "bucket", F.col("byt")).groupBy("bucket").agg(
         F.count("*").alias("flows")
     )
 

@@ -325,10 +325,17 @@ ORACLES = {
         'SELECT this_ip AS "user", count(*) AS windows, count(*) * 112 AS fields FROM flows GROUP BY this_ip'
     ),
     "write_reports": _datasets(
-        "SELECT 'rules' AS report, 'first' AS run, count(*) * 8 AS rows FROM (SELECT DISTINCT dataset FROM d) "
-        "UNION ALL SELECT 'protocol', 'first', count(*) FROM "
-        "(SELECT DISTINCT dataset, CASE pr WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 ELSE 2 END FROM d) "
-        "UNION ALL SELECT 'user_types', 'first', 4"
+        "SELECT report, 'run' AS run, rows FROM ("
+        "SELECT 'scale' AS report, count(DISTINCT dataset) AS rows FROM d "
+        "UNION ALL SELECT 'protocol', count(DISTINCT dataset) FROM d "
+        "UNION ALL SELECT 'system_ports', count(*) FROM top "
+        "UNION ALL SELECT 'user_ports', count(*) FROM bars "
+        "UNION ALL SELECT 'rules', 8 * count(DISTINCT dataset) FROM d "
+        "UNION ALL SELECT 'divergence', 6 * (count(DISTINCT dataset) - 1) FROM d "
+        "UNION ALL SELECT 'user_stats', count(*) FROM stats "
+        "UNION ALL SELECT v, count(DISTINCT ip) FROM ends CROSS JOIN (VALUES ('ip_occurrence'), ('ip_volume')) t(v) "
+        "WHERE ip NOT LIKE '42.219%' GROUP BY v)",
+        TOP_PORTS, BARS, _stats(), ENDS,
     ),
     "recover_user_list": _with(
         'SELECT "user", count(*) AS rows FROM extracted GROUP BY "user"', _stats(), EXTRACTED
