@@ -29,6 +29,9 @@ from netloom.session import shared_path
 BATCH_ROWS = 512
 # Most batches a table is split into; on larger tables the batches grow, no row is left out.
 MAX_BATCHES = 4_096
+# Rows worth a gradient task of their own, and rows one task writes to the training table.
+TASK_ROWS = 1_000
+WRITE_ROWS = 1_000_000
 # Gradient sums are added up in this many groups per column before the last addition.
 GRADIENT_GROUPS = 16
 # Optimizer constants: moment decays and their guard, learning-rate decay and its period.
@@ -58,19 +61,22 @@ class Fitted:
 
 
 def training_table(windows: DataFrame, key: str = "flow_id", batch_rows: int | None = BATCH_ROWS) -> DataFrame:
-    """Windows written once to the shared folder, split by training batch.
+    """Windows written once to the shared folder, split by training batch (None: one batch).
 
-    A step that reads one batch scans that batch's files only.
+    A step that reads one batch scans that batch's files only; a batch of many rows has
+    several files, so that its gradients are spread over tasks.
     """
     spark = windows.sparkSession
     path = shared_path(spark, "training")
     rows = windows.select(key, "ctx", "label")
-    if batch_rows is None:
-        batched = rows.withColumn("batch", F.lit(0))
-    else:
-        total = windows.count()
-        batched = shuffled_batches(rows, max(batch_rows, -(-total // MAX_BATCHES)), total, key)
-    batched.hint("rebalance", F.col("batch")).write.partitionBy("batch").parquet(path)
+    total = windows.count()
+    size = max(1, total if batch_rows is None else max(batch_rows, -(-total // MAX_BATCHES)))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(cores, size // TASK_ROWS))
+    batched = shuffled_batches(rows, size, total, key).repartition(
+        max(cores, total // WRITE_ROWS), F.col("batch"), F.pmod(F.xxhash64(key), F.lit(parts))
+    )
+    batched.write.partitionBy("batch").parquet(path)
     return spark.read.parquet(path)
 
 
