@@ -1,9 +1,10 @@
 """Time-ordered windows per key that stay parallel when one key holds most rows.
 
-A key with more rows than the target is cut along time into chunks of about that size,
-each of which gets the last rows before it carried in from earlier chunks, so every
-window sees exactly the rows it would see in one long partition.  Keys below the target
-form a single chunk each, and when there is no heavy key the plan is a plain window.
+A key with more rows than the target is cut along time into chunks of about that size.
+Each chunk also receives a copy of the last rows before it (its halo), so plain window
+functions over key and chunk see exactly the rows they would see in one long partition;
+the copies are dropped at the end.  Keys below the target form a single chunk each, and
+when there is no heavy key nothing is copied.
 """
 
 from __future__ import annotations
@@ -26,28 +27,54 @@ CELLS_PER_CHUNK = 16
 
 @dataclass(frozen=True)
 class Chunked:
-    """Flows with a ``chunk`` number per key; chunks of a key follow each other in time."""
+    """Flows with a ``chunk`` number per key, in time order, and a mark ``halo`` on copied rows."""
 
     df: DataFrame
     keys: tuple
     split: bool
     id_col: str = "flow_id"
 
-    def window(self, descending: bool = False) -> WindowSpec:
-        order = [F.col("te"), F.col(self.id_col)]
-        if descending:
-            order = [o.desc() for o in order]
-        return Window.partitionBy(*self.keys, "chunk").orderBy(*order)
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, "chunk").orderBy("te", self.id_col)
 
     def having(self, df: DataFrame) -> "Chunked":
         return Chunked(df, self.keys, self.split, self.id_col)
 
     def result(self) -> DataFrame:
-        return self.df.drop("chunk")
+        """The rows themselves, without the copies."""
+        return self.df.filter(~F.col("halo")).drop("chunk", "halo")
 
 
-def chunked(df: DataFrame, *keys: str, id_col: str = "flow_id", target_rows: int = TARGET_ROWS) -> Chunked:
-    """Number the chunks of each key; keys that need no cutting get chunk -1.
+def _with_halo(df: DataFrame, keys: tuple, id_col: str, n: int) -> DataFrame:
+    """Add to every chunk a copy of the ``n`` rows of its key before it.
+
+    row_number() <= n is applied before the shuffle too, so at most n rows per chunk and
+    task move.  Every chunk holds a row, so n chunks back there are n rows.
+    """
+    marked = df.withColumn("halo", F.lit(False))
+    if not n:
+        return marked
+    names = [c for c in df.columns if c != "chunk"]
+    latest = Window.partitionBy(*keys, "chunk").orderBy(F.desc("te"), F.desc(id_col))
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(-n, -1)
+    tails = (
+        df.filter(F.col("chunk") >= 0)
+        .withColumn("_back", -F.row_number().over(latest)).filter(F.col("_back") >= -n)
+        .groupBy(*keys, "chunk")
+        .agg(F.array_sort(F.collect_list(F.struct("_back", F.struct(*names).alias("row")))).alias("_tail"))
+    )
+    copies = tails.select("chunk", F.flatten(F.collect_list("_tail").over(earlier)).alias("_rows")).select(
+        "chunk", F.explode(F.slice("_rows", F.greatest(F.size("_rows") - n + 1, F.lit(1)), F.lit(n))).alias("_r")
+    )
+    return marked.unionByName(copies.select("_r.row.*", "chunk", F.lit(True).alias("halo")))
+
+
+def chunked(
+    df: DataFrame, *keys: str, halo: int, id_col: str = "flow_id", target_rows: int = TARGET_ROWS
+) -> Chunked:
+    """Number the chunks of each key and copy ``halo`` earlier rows into each.
+
+    Keys that need no cutting get chunk -1.
 
     One narrow aggregate sizes the keys; at most ``MAX_PIECES`` of them are heavy.  Their
     flows are counted in equal time cells.  A cell that still exceeds the target (a burst,
@@ -83,52 +110,26 @@ def chunked(df: DataFrame, *keys: str, id_col: str = "flow_id", target_rows: int
         path = [*path, name]
         groups = sizes(placed.filter(F.col(name) >= 0), [*keys, *path])
     if not path:
-        return Chunked(df.withColumn("chunk", F.lit(-1).cast("long")), keys, False, id_col)
+        whole = df.withColumns({"chunk": F.lit(-1).cast("long"), "halo": F.lit(False)})
+        return Chunked(whole, keys, False, id_col)
     if len(path) > 1:
         groups = sizes(placed.filter(F.col(path[0]) >= 0), [*keys, *path])
     before = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
     number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).cast("long")
     chunks = materialize(groups.select(*keys, *path, number.alias("chunk")))
     out = placed.join(broadcast_if_small(chunks), [*keys, *path], "left").drop(*path)
-    return Chunked(out.withColumn("chunk", F.coalesce("chunk", F.lit(-1).cast("long"))), keys, True, id_col)
+    out = out.withColumn("chunk", F.coalesce("chunk", F.lit(-1).cast("long")))
+    return Chunked(_with_halo(out, keys, id_col, halo), keys, True, id_col)
 
 
-def last_n(rows: Column, n: int) -> Column:
-    return F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), F.lit(n))
-
-
-def with_previous(part: Chunked, name: str, row: Column, n: int) -> Chunked:
-    """Add array ``name``: ``row`` of up to ``n`` preceding flows of the key, oldest first.
-
-    Windows, the carried rows and the join all partition by key and chunk, so the flows
-    are shuffled and sorted once.  Without a heavy key nothing needs to be carried.
-    """
-    with_row = part.df.withColumn("_row", row)
-    inside = with_row.withColumn(name, F.collect_list("_row").over(part.window().rowsBetween(-n, -1)))
-    if not part.split:
-        return part.having(inside.drop("_row"))
-    group = [*part.keys, "chunk"]
-    # row_number() <= n is applied before the shuffle too, so at most n rows per chunk and task move.
-    tails = (
-        with_row.filter(F.col("chunk") >= 0)
-        .select(*group, "te", part.id_col, "_row")
-        .withColumn("_back", F.row_number().over(part.window(descending=True)))
-        .filter(F.col("_back") <= n)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct(-F.col("_back"), "_row"))).alias("_tail"))
-        .withColumn("_tail", F.transform("_tail", lambda t: t["_row"]))
-    )
-    # Every chunk holds a row, so the n chunks before one hold the n rows before it.
-    earlier = Window.partitionBy(*part.keys).orderBy("chunk").rowsBetween(-n, -1)
-    carried = tails.select(*group, last_n(F.flatten(F.collect_list("_tail").over(earlier)), n).alias("_carried"))
-    seen = F.concat(F.coalesce("_carried", F.array().cast(inside.schema[name].dataType)), F.col(name))
-    joined = inside.join(carried, group, "left").withColumn(name, last_n(seen, n))
-    return part.having(joined.drop("_row", "_carried"))
+def lags(part: Chunked, value: Column, n: int) -> list[Column]:
+    """``value`` of the 1st .. nth row before a row; null where the key has no such row."""
+    return [F.lag(value, i).over(part.window()) for i in range(1, n + 1)]
 
 
 def with_running_sum(part: Chunked, name: str, value: Column) -> Chunked:
     """Add ``name``: the sum of ``value`` over the key's flows before this one, 0 on the first."""
-    valued = part.df.withColumn("_value", value)
+    valued = part.df.withColumn("_value", F.when(~F.col("halo"), value))
     before = part.window().rowsBetween(Window.unboundedPreceding, -1)
     inside = valued.withColumn(name, F.coalesce(F.sum("_value").over(before), F.lit(0)))
     if not part.split:

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom import config as cfg
-from netloom.operators.chunks import TARGET_ROWS, chunked, with_previous, with_running_sum
+from netloom.operators.chunks import TARGET_ROWS, Chunked, chunked, lags, with_running_sum
 from netloom.operators.windows import with_inter_arrival
 
 
-def _lag(history, size, i: int):
-    return F.get(history, size - i)
+def _with_lags(part: Chunked, x: str, n: int) -> DataFrame:
+    """Add ``{x}1`` .. ``{x}n``, the values of the 1st .. nth row before."""
+    return part.having(part.df.withColumns({f"{x}{i}": lag for i, lag in enumerate(lags(part, F.col(x), n), 1)})).result()
 
 
 def lag1(df: DataFrame, x: str, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``{x}_prev``, the previous value, and drop each series' first row."""
-    before = with_previous(chunked(df, key, target_rows=target_rows), "_before", F.col(x), 1).result()
-    return before.filter(F.size("_before") == 1).withColumn(f"{x}_prev", F.get("_before", F.lit(0))).drop("_before")
+    part = chunked(df, key, halo=1, target_rows=target_rows)
+    value, first = lags(part, F.col(x), 1)[0], F.row_number().over(part.window()) == 1
+    rows = part.df.withColumns({f"{x}_prev": value, "_first": first})
+    return part.having(rows).result().filter(~F.col("_first")).drop("_first")
 
 
 def lead1(df: DataFrame, x: str, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -25,26 +28,23 @@ def lead1(df: DataFrame, x: str, key: str = "dataset", target_rows: int = TARGET
 
     Every pair of neighbours is found at its later row, which carries the earlier one.
     """
-    row = F.struct(*df.columns)
-    pairs = with_previous(chunked(df, key, target_rows=target_rows), "_before", row, 1).result()
-    earlier = pairs.filter(F.size("_before") == 1).select(F.get("_before", F.lit(0)).alias("r"), F.col(x).alias("_next"))
-    return earlier.select("r.*", F.col("_next").alias(f"{x}_next"))
+    part = chunked(df.withColumn("_row", F.struct(*df.columns)), key, halo=1, target_rows=target_rows)
+    pairs = part.having(part.df.withColumn("_before", lags(part, F.col("_row"), 1)[0])).result()
+    earlier = pairs.filter(F.col("_before").isNotNull())
+    return earlier.select("_before.*", F.col(x).alias(f"{x}_next"))
 
 
 def acf(df: DataFrame, x: str, length: int = 10, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Pearson correlation of the series with itself, shifted by 0 .. length-1 rows."""
     narrow = df.select(key, "te", "flow_id", F.col(x).cast("double").alias("x"))
-    history = with_previous(chunked(narrow, key, target_rows=target_rows), "past", F.col("x"), length - 1).result()
-    lags = history.select(
-        key, "x", *[_lag(F.col("past"), F.size("past"), i).alias(f"x{i}") for i in range(1, length)]
-    )
-    wide = lags.groupBy(key).agg(F.lit(1.0).alias("r0"), *[F.corr("x", f"x{i}").alias(f"r{i}") for i in range(1, length)])
+    rows = _with_lags(chunked(narrow, key, halo=length - 1, target_rows=target_rows), "x", length - 1)
+    wide = rows.groupBy(key).agg(F.lit(1.0).alias("r0"), *[F.corr("x", f"x{i}").alias(f"r{i}") for i in range(1, length)])
     stack = ", ".join(f"{i}, r{i}" for i in range(length))
     return wide.selectExpr(key, f"stack({length}, {stack}) AS (lag, acf)")
 
 
 def autocorrelation(
-    df: DataFrame, x: str, lags: int = 5, key: str = "dataset", target_rows: int = TARGET_ROWS
+    df: DataFrame, x: str, lag_count: int = 5, key: str = "dataset", target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """Mean lagged product of deviations from the series mean, over its variance.
 
@@ -52,21 +52,18 @@ def autocorrelation(
     mean((a - m)(b - m)) = cov(a, b) + (mean a - m)(mean b - m).
     """
     narrow = df.select(key, "te", "flow_id", F.col(x).cast("double").alias("x"))
-    history = with_previous(chunked(narrow, key, target_rows=target_rows), "past", F.col("x"), lags - 1).result()
-    rows = history.select(
-        key, "x", *[_lag(F.col("past"), F.size("past"), i).alias(f"x{i}") for i in range(1, lags)]
-    )
+    rows = _with_lags(chunked(narrow, key, halo=lag_count - 1, target_rows=target_rows), "x", lag_count - 1)
     pairs = []
-    for i in range(1, lags):
+    for i in range(1, lag_count):
         pairs += [
             F.covar_pop("x", f"x{i}").alias(f"c{i}"),
             F.avg(F.when(F.col(f"x{i}").isNotNull(), F.col("x"))).alias(f"a{i}"),
             F.avg(f"x{i}").alias(f"b{i}"),
         ]
     wide = rows.groupBy(key).agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), *pairs)
-    values = ["v / v"] + [f"(c{i} + (a{i} - m) * (b{i} - m)) / v" for i in range(1, lags)]
+    values = ["v / v"] + [f"(c{i} + (a{i} - m) * (b{i} - m)) / v" for i in range(1, lag_count)]
     stack = ", ".join(f"{i}, {v}" for i, v in enumerate(values))
-    return wide.selectExpr(key, f"stack({lags}, {stack}) AS (lag, autocorrelation)")
+    return wide.selectExpr(key, f"stack({lag_count}, {stack}) AS (lag, autocorrelation)")
 
 
 def pearson(df: DataFrame, x: str, y: str, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -126,6 +123,6 @@ def cumulative_clock(flows: DataFrame, key: str = "this_ip", target_rows: int =
 
     Both are taken before the row's own delta is added, as the generator does.
     """
-    part = with_inter_arrival(chunked(flows, key, target_rows=target_rows))
+    part = with_inter_arrival(chunked(flows, key, halo=1, target_rows=target_rows))
     clock = with_running_sum(part, "clock", F.floor("delta")).result()
     return clock.withColumn("clock_hour", F.floor(F.col("clock") / 3600) / 24.0)

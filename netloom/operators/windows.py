@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom import config as cfg
 from netloom.functions import columns as c
-from netloom.operators.chunks import TARGET_ROWS, Chunked, chunked, with_previous
+from netloom.operators.chunks import TARGET_ROWS, Chunked, chunked, lags
 
 
 def encoded(hour_max: float = cfg.HOUR_MAX) -> list[Column]:
@@ -42,13 +42,15 @@ def encode_flows(flows: DataFrame, *keep: str, hour_max: float = cfg.HOUR_MAX) -
 def with_inter_arrival(part: Chunked) -> Chunked:
     """Add ``delta``: seconds since the key's previous flow, 0 on its first."""
     at = c.micros(F.col("te"))
-    before = with_previous(part, "_before", at, 1)
-    delta = F.coalesce((at - F.get("_before", F.lit(0))) / 1e6, F.lit(0.0))
-    return part.having(before.df.withColumn("delta", delta).drop("_before"))
+    (before,) = lags(part, F.col("_at"), 1)
+    timed = part.df.withColumn("_at", at)
+    return part.having(
+        timed.withColumn("delta", F.coalesce((F.col("_at") - before) / 1e6, F.lit(0.0))).drop("_at")
+    )
 
 
 def inter_arrival(flows: DataFrame, key: str = "this_ip", target_rows: int = TARGET_ROWS) -> DataFrame:
-    return with_inter_arrival(chunked(flows, key, target_rows=target_rows)).result()
+    return with_inter_arrival(chunked(flows, key, halo=1, target_rows=target_rows)).result()
 
 
 def with_context(part: Chunked, row: list[str], agg: int) -> Chunked:
@@ -56,17 +58,18 @@ def with_context(part: Chunked, row: list[str], agg: int) -> Chunked:
 
     Rows before the key's first flow are zeros.
     """
-    current = F.array(*row)
-    before = with_previous(part, "_before", current, agg)
-    zeros = F.array_repeat(F.array(*[F.lit(0.0)] * len(row)), agg - F.size("_before"))
-    ctx = F.flatten(F.concat(zeros, F.col("_before"), F.array(current)))
-    return part.having(before.df.withColumn("ctx", ctx).drop("_before"))
+    rows = part.df.withColumn("_row", F.array(*row))
+    zeros = F.array(*[F.lit(0.0)] * len(row))
+    past = {f"_row{i}": lag for i, lag in enumerate(lags(part, F.col("_row"), agg), 1)}
+    seen = [F.coalesce(F.col(f"_row{i}"), zeros) for i in range(agg, 0, -1)]
+    ctx = F.concat(*seen, F.col("_row"))
+    return part.having(rows.withColumns(past).withColumn("ctx", ctx).drop("_row", *past))
 
 
 def context_window(
     rows: DataFrame, row: list[str], agg: int, key: str = "this_ip", target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    return with_context(chunked(rows, key, target_rows=target_rows), row, agg).result()
+    return with_context(chunked(rows, key, halo=agg, target_rows=target_rows), row, agg).result()
 
 
 def flow_label() -> list[Column]:
@@ -93,31 +96,35 @@ def windows_of(
     """Chunked flows with ``delta`` to (user, flow_id, te, ctx, label) and the ``keep`` columns."""
     key = part.keys[0]
     if transfer is None:
-        rows = encode_flows(part.df, key, "te", "flow_id", "chunk", *keep, hour_max=hour_max)
+        rows = encode_flows(part.df, key, "te", "flow_id", "chunk", "halo", *keep, hour_max=hour_max)
     else:
         rows = part.df.transform(transfer)
     if clip:
         rows = rows.withColumn("delta_x", F.least("delta_x", F.lit(1.0)))
-    # ln(0) has no value; such rows are dropped like any other incomplete row.
-    part = part.having(rows.dropna(subset=cfg.ENCODED_COLUMNS))
-    windows = with_context(part, cfg.ENCODED_COLUMNS, agg).result()
+    windows = with_context(part.having(rows), cfg.ENCODED_COLUMNS, agg).result()
     label = label_row() if label is None else label
     return windows.select(F.col(key).alias("user"), "flow_id", "te", *keep, "ctx", label.alias("label"))
 
 
+def complete(flows: DataFrame) -> DataFrame:
+    """Flows that can be encoded: no nulls, and sizes that have a logarithm."""
+    return flows.dropna().filter((F.col("byt") > 0) & (F.col("pkt") > 0))
+
+
 def prepare_windows(
     flows: DataFrame, agg: int = cfg.FLOW_WINDOW, key: str = "this_ip", target_rows: int = TARGET_ROWS, **encoding
 ) -> DataFrame:
     """Every user's flows to (user, flow_id, te, ctx, label) in one job.
 
     Inter-arrival times and windows share one shuffle by user and one sort.  ``encoding``:
-    ``transfer`` replaces the encoder by any DataFrame transform that keeps key, ``te``,
-    ``flow_id`` and ``chunk`` and yields the encoded columns; ``label`` replaces the label
-    row; ``clip`` limits the encoded delta to 1, the range the models are fitted on;
-    ``hour_max`` sets the scale of the hour.
+    ``transfer`` replaces the encoder by any DataFrame transform that keeps every row with
+    its key, ``te``, ``flow_id``, ``chunk`` and ``halo`` and yields the encoded columns;
+    ``label`` replaces the label row; ``clip`` limits the encoded delta to 1, the range the
+    models are fitted on; ``hour_max`` sets the scale of the hour.
     """
-    part = with_inter_arrival(chunked(flows.dropna(), key, target_rows=target_rows))
-    return windows_of(part, agg, **encoding)
+    # One more row than the context, for the delta of its oldest row.
+    part = chunked(complete(flows), key, halo=agg + 1, target_rows=target_rows)
+    return windows_of(with_inter_arrival(part), agg, **encoding)
 
 
 def masked_features(windows: DataFrame, plan: cfg.ColumnPlan, col: int) -> DataFrame:

@@ -663,7 +663,7 @@ def masked_features(spark, sf_dir):
 def custom_encoder(spark, sf_dir):
     """Windows of another encoder passed in as a plain DataFrame transform, with its own label."""
     def transfer(flows: DataFrame) -> DataFrame:
-        encoded = windows.encode_flows(flows, "this_ip", "te", "flow_id", "chunk")
+        encoded = windows.encode_flows(flows, "this_ip", "te", "flow_id", "chunk", "halo")
         return encoded.withColumn("td_x", F.sqrt("td_x"))
 
     rows = windows.prepare_windows(

@@ -18,7 +18,7 @@ from netloom.operators.chunks import TARGET_ROWS, chunked
 from netloom.operators.filters import by_endpoint
 from netloom.operators.profile import count_roles, endpoint_roles, user_type
 from netloom.operators.rule_report import rule_verdicts
-from netloom.operators.windows import windows_of, with_inter_arrival
+from netloom.operators.windows import complete, windows_of, with_inter_arrival
 from netloom.sources.flows import flows_from_events
 
 
@@ -95,15 +95,15 @@ def carried_windows(
         return f"{path}/tails/batch={number}"
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.dropna().withColumns({"carried": F.lit(False), "known_delta": F.lit(None).cast("double")})
+        rows = complete(batch).withColumns({"carried": F.lit(False), "known_delta": F.lit(None).cast("double")})
         if number:
             before = spark.read.schema(rows.schema).parquet(tails(number - 1))
             rows = rows.unionByName(before.withColumn("carried", F.lit(True)))
-        part = with_inter_arrival(chunked(rows, key, target_rows=target_rows))
+        part = with_inter_arrival(chunked(rows, key, halo=agg + 1, target_rows=target_rows))
         part = part.having(part.df.withColumn("delta", F.coalesce("known_delta", "delta")))
         last = Window.partitionBy(key).orderBy(F.desc("te"), F.desc("flow_id"))
         kept = (
-            part.df.withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= agg)
+            part.df.filter(~F.col("halo")).withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= agg)
             .select(*names, "carried", F.col("delta").alias("known_delta"))
         )
         kept.write.mode("overwrite").parquet(tails(number))

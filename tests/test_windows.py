@@ -51,8 +51,10 @@ def test_windows_equal_brute_force_however_cut(make_flows, target):
 
 @pytest.mark.parametrize("target", [40, 7])
 def test_chunks_follow_time_and_stay_near_the_target(make_flows, target):
-    part = chunks.chunked(_user_flows(make_flows), "this_ip", target_rows=target)
-    heavy = part.df.filter("this_ip = '42.219.1.1'").toPandas().sort_values(["te", "flow_id"])
+    part = chunks.chunked(_user_flows(make_flows), "this_ip", halo=3, target_rows=target)
+    copies = part.df.filter("halo").groupBy("chunk").count().collect()
+    assert copies and all(r["count"] == min(3, r["count"]) for r in copies)
+    heavy = part.df.filter("this_ip = '42.219.1.1' AND NOT halo").toPandas().sort_values(["te", "flow_id"])
     assert heavy.chunk.is_monotonic_increasing
     assert heavy.groupby("chunk").size().max() <= 2 * target
     assert part.split and set(part.df.filter("this_ip = '42.219.1.3'").toPandas().chunk) == {-1}
