@@ -45,7 +45,10 @@ def count_roles(roles: DataFrame) -> DataFrame:
 
 
 def user_stats(flows: DataFrame, prefix: str = cfg.INTERNAL_PREFIX) -> DataFrame:
-    """Occurrences, incoming, outgoing and type of each internal address (unordered)."""
+    """Occurrences, incoming, outgoing and type of each internal address (unordered).
+
+    Flows between outside addresses need no filter of their own: neither end is counted.
+    """
     counts = count_roles(endpoint_roles(flows, prefix))
     kind = user_type(F.col("incoming_num"), F.col("outgoing_num"))
     return counts.withColumn("user_type", kind).select(

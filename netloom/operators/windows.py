@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom import config as cfg
 from netloom.functions import columns as c
 from netloom.operators.chunks import TARGET_ROWS, Chunked, chunked, lags
+from netloom.operators.filters import drop_nulls
 
 
 def encoded(hour_max: float = cfg.HOUR_MAX) -> list[Column]:
@@ -108,7 +109,7 @@ def windows_of(
 
 def complete(flows: DataFrame) -> DataFrame:
     """Flows that can be encoded: no nulls, and sizes that have a logarithm."""
-    return flows.dropna().filter((F.col("byt") > 0) & (F.col("pkt") > 0))
+    return drop_nulls(flows.filter((F.col("byt") > 0) & (F.col("pkt") > 0)))
 
 
 def prepare_windows(

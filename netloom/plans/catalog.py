@@ -255,12 +255,11 @@ def user_type_counts(spark, sf_dir):
 
 
 def user_stats(spark, sf_dir):
-    return profile.ordered_stats(profile.user_stats(filters.touches_internal(_flows(spark, sf_dir))))
+    return profile.ordered_stats(profile.user_stats(_flows(spark, sf_dir)))
 
 
 def user_stats_of_day(spark, sf_dir):
-    flows = filters.touches_internal(filters.on_day(_flows(spark, sf_dir), DAY))
-    return profile.ordered_stats(profile.user_stats(flows))
+    return profile.ordered_stats(profile.user_stats(filters.on_day(_flows(spark, sf_dir), DAY)))
 
 
 def protocol_share(spark, sf_dir):

@@ -18,7 +18,7 @@ def profile_and_extract(flows: DataFrame, day: str | None, path: str, users: int
     Returns the profile, which is computed once and kept in the shared folder.
     """
     chosen = filters.on_day(flows, day) if day else flows
-    stats = materialize(profile.user_stats(filters.touches_internal(chosen)))
+    stats = materialize(profile.user_stats(chosen))
     picked = sampling.sample_n(profile.middle_half(stats), users, "ip", seed=seed)
     extracted = filters.extract_users(chosen, picked.select(picked.ip.alias("user")))
     sinks.write_user_flows(extracted, path)
