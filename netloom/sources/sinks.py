@@ -30,14 +30,9 @@ def read_user_flows(spark: SparkSession, path: str) -> DataFrame:
 
 def write_windows(windows: DataFrame, path: str, user: str = "user") -> None:
     """Append headerless window rows (context, then label), one folder per user."""
-    ctx, label = F.col("ctx"), F.col("label")
-    first = windows.select(F.size(ctx).alias("c"), F.size(label).alias("l")).first()
-    if first is None:
-        return
-    flat = [ctx[i].alias(f"c{i}") for i in range(first.c)] + [label[i].alias(f"l{i}") for i in range(first.l)]
-    windows.select(*flat, user).hint("rebalance", F.col(user)).write.mode("append").partitionBy(user).csv(
-        path, header=False
-    )
+    values = F.concat("ctx", "label").cast("array<string>")
+    lines = windows.select(F.concat_ws(",", values).alias("line"), user)
+    lines.hint("rebalance", F.col(user)).write.mode("append").partitionBy(user).text(path)
 
 
 def recover_user_list(spark: SparkSession, path: str, pattern: str = r"user=([^/]+)/") -> DataFrame:

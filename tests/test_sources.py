@@ -69,7 +69,7 @@ def test_profile_and_extract(spark, flows, tmp_path):
 
 def test_synthesize_end_to_end(spark, flows):
     users = flows.select(F.col("this_ip").alias("user")).distinct()
-    made, fitted, losses = workflows.synthesize(flows, users, 1, epochs=1, span=3000.0, batch_rows=500)
+    made, fitted, losses = workflows.synthesize(flows, users, 1, epochs=1, span=3000.0, batch_rows=500, max_iter=2)
     rows = made.toPandas()
     assert set(rows.user) == {r.user for r in users.collect()}
     assert set(fitted.mixtures) | set(fitted.heads) == set(fitted.plan.order)
