@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import line_dedup, mixing, quality, sentencepiece, simhash
+from netloom.llm import embeddings, html, line_dedup, lm, mixing, packing, pii, quality, sentencepiece, simhash
 
 #: The public model file; any other may be named in the environment.
 MODEL = os.environ.get("NETLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -31,14 +31,35 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), MODEL)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_line_dedup, op6_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_sentencepiece, op3_line_dedup, op4_pii, op5_packing, op6_simhash, op7_html, op8_embeddings, op9_lm, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
