@@ -58,15 +58,17 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumn("places", F.array_sort(F.transform(again, lambda s: s["i"])))
     covered = F.aggregate(
         F.transform("places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("places", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return df.select(
-        *docs.columns,
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    counts = {
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", "")),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_lines": F.size("lines"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+    }
+    # one row each: the optimizer moves no filter through a generator, which would repeat all these expressions in it
+    each = F.explode(F.array(F.struct(*[c.cast("long").alias(name) for name, c in counts.items()])))
+    return df.select(*docs.columns, each.alias("counts")).select(*docs.columns, "counts.*")
 
 
 def base_failed() -> Column:
