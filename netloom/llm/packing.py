@@ -100,34 +100,34 @@ def _pack(pieces: list[tuple], capacity: int, pad: int, first: int) -> pa.Record
     return pa.RecordBatch.from_pydict(out, ARROW)
 
 
+def _packed(documents: Iterator[tuple[int | None, np.ndarray]], row_tokens: int, pad_id: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The packed rows of one task's documents, group by group."""
+    pieces, held, made = [], 0, TaskContext.get().partitionId() << 36
+    for doc, ids in documents:
+        for at in range(0, len(ids), row_tokens):
+            piece = ids[at:at + row_tokens].astype("<i4")
+            if held + len(piece) > group_tokens and pieces:
+                packed = _pack(pieces, row_tokens, pad_id, made)
+                made, pieces, held = made + packed.num_rows, [], 0
+                yield from sentencepiece.slices(packed)
+            pieces.append((doc, at, piece))
+            held += len(piece)
+    if pieces:
+        yield from sentencepiece.slices(_pack(pieces, row_tokens, pad_id, made))
+
+
 def pack_ids(tokens: DataFrame, row_tokens: int = ROW_TOKENS, pad_id: int = PAD_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Packed rows from ``doc_id, ids``."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held, made = [], 0, TaskContext.get().partitionId() << 36
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in batches:
-            ids = batch.column(1)
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                start, end = int(offsets[i]), int(offsets[i + 1])
-                if ids.is_valid()[i].as_py() is False:
-                    continue
-                for at in range(start, end, row_tokens):
-                    piece = values[at:min(end, at + row_tokens)].astype("<i4")
-                    if held + len(piece) > group_tokens and pieces:
-                        packed = _pack(pieces, row_tokens, pad_id, made)
-                        made, pieces, held = made + packed.num_rows, [], 0
-                        yield from _slices(packed)
-                    pieces.append((doc, at - start, piece))
-                    held += len(piece)
-        if pieces:
-            yield from _slices(_pack(pieces, row_tokens, pad_id, made))
-
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(pack, SCHEMA)
-
-
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if ids.is_valid:
+                    yield doc, ids.values.to_numpy(zero_copy_only=False)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens)
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(pack, SCHEMA)
 
 
 def position_ids(cu_seqlens: Column) -> Column:
@@ -136,10 +136,21 @@ def position_ids(cu_seqlens: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1)))
 
 
-def pack_documents(docs: DataFrame, model_path: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
-    """``docs`` encoded by the pieces of a model file and packed."""
+def pack_documents(docs: DataFrame, model_path: str, row_tokens: int = ROW_TOKENS, pad_id: int = PAD_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """``docs`` encoded by the pieces of a model file and packed, in one pass."""
     name = sentencepiece.ship(docs, model_path)
-    return pack_ids(docs.select("doc_id", sentencepiece.encode(F.col("text"), name).alias("ids")), row_tokens)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        pieces = sentencepiece.load(name)
+        for batch in batches:
+            for part in sentencepiece.slices(batch):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    yield doc, np.frombuffer(pieces.encode(text or ""), "<i4")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -33,21 +33,24 @@ BLANK = "▁"
 #: Below the lowest piece by this much: the score of a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Paths of stretches that a worker keeps, and the length up to which it keeps them.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 32
-NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
+#: Texts whose ids are held at a time.
+TEXTS_AT_A_TIME = 256
 
 
 class Pieces:
     """The pieces of a model file: automaton, byte pieces, and their text."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], dummy_prefix: bool = True):
-        self.text = [p for p, _, _ in pieces]
         self.dummy_prefix = dummy_prefix
         self.unknown = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.byte = {int(p[3:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.value = {i: b for b, i in self.byte.items()}
-        self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
-        self.silent = {i for i, (_, _, kind) in enumerate(pieces) if kind in (2, 3)}
+        self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
+        # what each id stands for; unknown and control pieces for nothing
+        self.bytes = np.array([b"" if kind in (UNKNOWN, CONTROL) else p.replace(BLANK, " ").encode() for p, _, kind in pieces], object)
+        for b, i in self.byte.items():
+            self.bytes[i] = bytes([b])
         self.automaton = ahocorasick.Automaton()
         for i, (p, score, kind) in enumerate(pieces):
             if p and kind in (NORMAL, USER_DEFINED):
@@ -124,23 +127,11 @@ class Pieces:
             out.append(self.viterbi(BLANK * blanks))
         return b"".join(out)
 
-    def decode(self, ids) -> str:
-        out, pending = [], bytearray()
-        text, value = self.text, self.value
-        for i in ids:
-            if i in value:
-                pending.append(value[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if i not in self.silent:
-                out.append(text[i])
-        out.append(pending.decode("utf-8", "replace"))
-        s = "".join(out)
-        if self.dummy_prefix and s.startswith(BLANK):
-            s = s[1:]
-        return s.replace(BLANK, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        data = b"".join(self.bytes[ids].tolist())
+        if self.dummy_prefix and data.startswith(b" "):
+            data = data[1:]
+        return data.decode("utf-8", "replace")
 
 
 def read_pieces(data: bytes) -> Pieces:
@@ -153,7 +144,7 @@ def read_pieces(data: bytes) -> Pieces:
 
 
 @lru_cache(maxsize=2)
-def _load(name: str) -> Pieces:
+def load(name: str) -> Pieces:
     """Once per worker, from the copy of the model file that Spark has brought to it."""
     with open(SparkFiles.get(name), "rb") as f:
         return read_pieces(f.read())
@@ -165,17 +156,30 @@ def ship(df: DataFrame, model_path: str) -> str:
     return model_path.rsplit("/", 1)[-1]
 
 
+def _id_lists(pieces: Pieces, texts: list[str | None]) -> pa.ListArray:
+    ids = [pieces.encode(t) if t is not None else None for t in texts]
+    sizes = np.cumsum([0] + [len(x) // 4 if x else 0 for x in ids])
+    values = pa.array(np.frombuffer(b"".join(x for x in ids if x), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
+def _texts(pieces: Pieces, ids: pa.ListArray) -> list[str | None]:
+    """The decoded texts, one list of ids after the other."""
+    return [None if not x.is_valid else pieces.decode(x.values.to_numpy(zero_copy_only=False)) for x in ids]
+
+
+def slices(batch, size: int = TEXTS_AT_A_TIME):
+    return (batch.slice(i, size) for i in range(0, len(batch), size))
+
+
 def encode(text: Column, name: str) -> Column:
     """The ids of a text as ``array<int>``."""
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _load(name)
+        pieces = load(name)
         for batch in batches:
-            ids = [pieces.encode(t) if t is not None else None for t in batch.to_pylist()]
-            sizes = np.cumsum([0] + [len(x) // 4 if x else 0 for x in ids])
-            values = pa.array(np.frombuffer(b"".join(x for x in ids if x), "<i4"), pa.int32())
-            nulls = pa.array([x is None for x in ids], pa.bool_())
-            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=nulls)
+            parts = [_id_lists(pieces, part.to_pylist()) for part in slices(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encoded(text)
 
@@ -184,16 +188,26 @@ def decode(ids: Column, name: str) -> Column:
     """The text of an ``array<int>`` of ids."""
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _load(name)
+        pieces = load(name)
         for batch in batches:
-            yield pa.array([None if x is None else pieces.decode(x) for x in batch.to_pylist()], pa.string())
+            yield pa.array(_texts(pieces, batch), pa.string())
 
     return decoded(ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, round_trip``; the last tells whether decoding gives the text back."""
+    """``doc_id, n_tokens, ids, round_trip``; the last tells whether decoding the ids gives the text back."""
     name = ship(docs, model_path)
-    rows = docs.select("doc_id", "text", encode(F.col("text"), name).alias("ids"))
-    same = decode(F.col("ids"), name).eqNullSafe(F.col("text"))
-    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(name)
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                ids = _id_lists(pieces, texts)
+                same = pa.array([a == b for a, b in zip(texts, _texts(pieces, ids), strict=True)], pa.bool_())
+                n = pa.array(np.diff(ids.offsets.to_numpy()), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, ids, same], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
