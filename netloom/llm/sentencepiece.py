@@ -7,7 +7,7 @@ byte pieces.  Blanks become U+2581 and one is put in front, as the model file as
 
 No piece of the usual models crosses from a letter into a following blank mark, which the
 loader checks; then the best path is the joined best paths of the stretches that begin with
-blanks, and a worker keeps the paths of short stretches it has met (at most
+blanks (or after a line feed, if no piece has one), and a worker keeps the paths of short stretches it has met (at most
 ``REMEMBERED``).  A model with a crossing piece is run over whole texts.  Either way memory
 per text is in proportion to its longest stretch.
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -29,11 +31,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = "▁"
+#: How pieces write a blank; here it stays one, which keeps plain texts compact.
+MARK, BLANK = "▁", " "
 #: Below the lowest piece by this much: the score of a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Paths of stretches that a worker keeps, and the length up to which it keeps them.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 32
+#: A position not reached yet, and the step of an unknown character: no ids of its own.
+LOWEST, UNSET = float("-inf"), (0, 0.0, None)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Texts whose ids are held at a time.
 TEXTS_AT_A_TIME = 256
@@ -48,83 +53,107 @@ class Pieces:
         self.byte = {int(p[3:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         # what each id stands for; unknown and control pieces for nothing
-        self.bytes = np.array([b"" if kind in (UNKNOWN, CONTROL) else p.replace(BLANK, " ").encode() for p, _, kind in pieces], object)
+        self.bytes = np.array([b"" if kind in (UNKNOWN, CONTROL) else p.replace(MARK, BLANK).encode() for p, _, kind in pieces], object)
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
         self.automaton = ahocorasick.Automaton()
         for i, (p, score, kind) in enumerate(pieces):
             if p and kind in (NORMAL, USER_DEFINED):
-                self.automaton.add_word(p, (len(p), score, i))
+                self.automaton.add_word(p.replace(MARK, BLANK), (len(p) - 1, score, pack("<i", i)))
         self.automaton.make_automaton()
-        self.crossing = any(re.search(f"[^{BLANK}]{BLANK}", p) for p, _, kind in pieces if kind in (NORMAL, USER_DEFINED))
+        self.crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in pieces if kind in (NORMAL, USER_DEFINED))
         self.paths: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # a line feed that is in no piece is always by itself
+        inside = any("\n" in p for p, _, kind in pieces if kind in (NORMAL, USER_DEFINED))
+        self.newline = None if inside else self.viterbi("\n")
 
     def viterbi(self, s: str) -> bytes:
         """The ids of the best path through ``s``, as little-endian 32-bit integers."""
-        n = len(s)
-        best = [0.0] + [float("-inf")] * n
-        via: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        done = 0
-        single = False
-
-        def close(position: int) -> None:
-            """A character no piece covers alone is an unknown piece of its own."""
-            if not single and best[position] + self.unknown > best[position + 1]:
-                best[position + 1], via[position + 1] = best[position] + self.unknown, (1, -1)
-
-        for end, (length, score, i) in self.automaton.iter(s):
-            while done < end:  # positions before ``end`` are settled
-                close(done)
-                done, single = done + 1, False
-            if length == 1:
-                single = True
-            score += best[end + 1 - length]
+        n, single = len(s), 0
+        best, via = [0.0] + [LOWEST] * n, [UNSET] * (n + 1)
+        for end, piece in self.automaton.iter(s):
+            back, score, _ = piece  # the piece begins ``back`` before its last character
+            score += best[end - back]
             if score > best[end + 1]:
-                best[end + 1], via[end + 1] = score, (length, i)
-        while done < n:
-            close(done)
-            done, single = done + 1, False
-        ids, at = [], n
+                best[end + 1], via[end + 1] = score, piece
+            if not back:
+                single += 1
+        if single < n:
+            via = self._with_unknown(s)
+        out, at = [], n
         while at:
-            length, i = via[at]
-            if i >= 0:
-                ids.append(i)
-            elif self.byte:
-                ids.extend(self.byte[b] for b in reversed(s[at - 1].encode("utf-8", "replace")))
-            else:
-                ids.append(self.unknown_id)
-            at -= length
-        return np.array(ids[::-1], "<i4").tobytes()
+            back, _, ids = via[at]
+            out.append(ids if ids is not None else self._spelt(s[at - 1]))
+            at -= back + 1
+        out.reverse()
+        return b"".join(out)
+
+    def _spelt(self, char: str) -> bytes:
+        """The ids of a character that no piece covers."""
+        ids = [self.byte[b] for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown_id]
+        return pack(f"<{len(ids)}i", *ids)
+
+    def _with_unknown(self, s: str) -> list[tuple]:
+        """The same pass, where a character that no piece covers alone may also be an unknown piece."""
+        n, done, single = len(s), 0, False
+        best, via = [0.0] + [LOWEST] * n, [UNSET] * (n + 1)
+        for end, piece in chain(self.automaton.iter(s), [(n, None)]):
+            while done < end:  # no more pieces end before ``end``
+                if not single and best[done] + self.unknown > best[done + 1]:
+                    best[done + 1], via[done + 1] = best[done] + self.unknown, UNSET
+                done, single = done + 1, False
+            if piece:
+                single |= not piece[0]
+                score = piece[1] + best[end - piece[0]]
+                if score > best[end + 1]:
+                    best[end + 1], via[end + 1] = score, piece
+        return via
 
     def path(self, stretch: str) -> bytes:
+        """The ids of a stretch, remembered for the next time."""
         known = self.paths.get(stretch)
         if known is None:
             known = self.viterbi(stretch)
-            if len(stretch) <= REMEMBERED_LENGTH:
-                if len(self.paths) >= REMEMBERED:
-                    self.paths.clear()
+            if len(stretch) <= REMEMBERED_LENGTH and len(self.paths) < REMEMBERED:
                 self.paths[stretch] = known
         return known
 
+    def word(self, word: str) -> bytes:
+        """The ids of a word behind one blank, remembered for the next time."""
+        ids = self.viterbi(BLANK + word)
+        if len(word) <= REMEMBERED_LENGTH and len(self.words) < REMEMBERED:
+            self.words[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        s = text.replace(" ", BLANK)
+        s = text.replace(MARK, BLANK)
         s = BLANK + s if self.dummy_prefix else s
         if self.crossing:
             return self.viterbi(s)
-        parts = s.split(BLANK)
-        known, out, blanks = self.paths, [], 0
-        if parts[0]:
-            out.append(self.path(parts[0]))
-        for part in parts[1:]:
+        if self.newline is None:
+            return self._stretches(s)
+        return self.newline.join(map(self._stretches, s.split("\n")))
+
+    def _stretches(self, s: str) -> bytes:
+        """The joined paths of the stretches of blanks and what follows them."""
+        head, *rest = s.split(BLANK)
+        out = [self.path(head)] if head else []
+        if "" not in rest:  # single blanks only
+            found = list(map(self.words.get, rest))
+            if None in found:
+                found = [ids if ids is not None else self.word(w) for ids, w in zip(found, rest, strict=True)]
+            return b"".join(out + found)
+        blanks = 0
+        for part in rest:
             blanks += 1
             if part:
-                stretch = BLANK * blanks + part
-                out.append(known.get(stretch) or self.path(stretch))
+                out.append(self.path(BLANK * blanks + part))
                 blanks = 0
         if blanks:
-            out.append(self.viterbi(BLANK * blanks))
+            out.append(self.path(BLANK * blanks))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
