@@ -43,19 +43,19 @@ def protocol_one_hot(pr: Column) -> list[Column]:
 def octets(ip: Column) -> list[Column]:
     """The four octets as text, first octet first."""
     parts = F.split(ip, "[.]")
-    return [parts.getItem(i) for i in range(4)]
+    return [F.get(parts, F.lit(i)) for i in range(4)]
 
 
 def octets_scaled(ip: Column) -> list[Column]:
     """The four octets over 255, last octet first."""
-    return [o.cast("int") / float(cfg.OCTET_MAX) for o in reversed(octets(ip))]
+    return [o.try_cast("int") / float(cfg.OCTET_MAX) for o in reversed(octets(ip))]
 
 
 def split_address(df, name: str, normalize: bool = False):
     """Replace address column ``name`` by ``name_0`` .. ``name_3``; text, or over 255."""
     parts = octets(F.col(name))
     if normalize:
-        parts = [p.cast("int") / float(cfg.OCTET_MAX) for p in parts]
+        parts = [p.try_cast("int") / float(cfg.OCTET_MAX) for p in parts]
     return df.withColumns({f"{name}_{i}": p for i, p in enumerate(parts)}).drop(name)
 
 

@@ -9,7 +9,8 @@ from netloom import config as cfg
 
 
 def _octet(ip: Column, i: int) -> Column:
-    return F.split(ip, "[.]").getItem(i).cast("int")
+    """Null where the address has no such number."""
+    return F.get(F.split(ip, "[.]"), F.lit(i)).try_cast("int")
 
 
 def _only_if(applies: Column, holds: Column) -> Column:

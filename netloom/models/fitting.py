@@ -27,8 +27,6 @@ from netloom.operators.sampling import shuffled_batches
 from netloom.session import shared_path
 
 BATCH_ROWS = 512
-# Most batches a table is split into; on larger tables the batches grow, no row is left out.
-MAX_BATCHES = 4_096
 # Rows worth a gradient task of their own, and rows one task writes to the training table.
 TASK_ROWS = 1_000
 WRITE_ROWS = 1_000_000
@@ -70,9 +68,10 @@ def training_table(windows: DataFrame, key: str = "flow_id", batch_rows: int | N
     path = shared_path(spark, "training")
     rows = windows.select(key, "ctx", "label")
     total = windows.count()
-    size = max(1, total if batch_rows is None else max(batch_rows, -(-total // MAX_BATCHES)))
+    size = max(1, total if batch_rows is None else batch_rows)
     cores = spark.sparkContext.defaultParallelism
-    parts = max(1, min(cores, size // TASK_ROWS))
+    # small batches are spread over the cores; the files of large ones follow their size
+    parts = max(1, min(cores, size // TASK_ROWS), -(-size // WRITE_ROWS))
     batched = shuffled_batches(rows, size, total, key).repartition(
         max(cores, total // WRITE_ROWS), F.col("batch"), F.pmod(F.xxhash64(key), F.lit(parts))
     )

@@ -23,8 +23,10 @@ from netloom.operators.codec import decode_flows, default_local_ip
 REDRAWS = 11
 # Rows a task holds before it hands them on.
 FLUSH_ROWS = 20_000
-# A sequence this long means its clock does not advance; it is reported, not cut.
-MAX_STEPS = 10_000_000
+# A clock that has not moved for so many steps stands still; it is reported, not cut.
+STILL_STEPS = 100_000
+# Sequences that one task advances.
+TASK_SEQUENCES = 1_000
 
 GENERATED = "seq_id string, step int, row array<double>, cls array<int>"
 
@@ -132,17 +134,19 @@ def _generator(shared, seed: int, timed: bool):
             ids = np.array(batch.column("seq_id").to_pylist(), dtype=object)
             keys = batch.column("seq_key").to_numpy(zero_copy_only=False)
             limit = batch.column("size").to_numpy(zero_copy_only=False).astype(float)
-            clock = np.zeros(len(ids))
+            clock, mark = np.zeros(len(ids)), np.full(len(ids), -1.0)
             window = np.zeros((len(ids), plan.window + 1, plan.dim))
             step = 0
             while True:
                 on = (clock if timed else step) < limit
                 if not on.all():
-                    ids, keys, limit, clock, window = ids[on], keys[on], limit[on], clock[on], window[on]
+                    ids, keys, limit, clock, mark, window = ids[on], keys[on], limit[on], clock[on], mark[on], window[on]
                 if not len(ids):
                     break
-                if step >= MAX_STEPS:
-                    raise RuntimeError(f"sequence {ids[0]} does not reach its time span")
+                if timed and step % STILL_STEPS == 0:
+                    if (clock <= mark).any():
+                        raise RuntimeError(f"sequence {ids[clock <= mark][0]} does not reach its time span")
+                    mark = clock.copy()
                 classes = _advance(fitted, window, keys, seed, step, clock if timed else None)
                 out.append((ids, np.full(len(ids), step), window[:, -1].copy(), classes))
                 held += len(ids)
@@ -159,8 +163,8 @@ def _generator(shared, seed: int, timed: bool):
 
 
 def _spread(seqs: DataFrame, size: str, partitions: int | None) -> DataFrame:
-    """Sequences over all cores; an explicit number, so that few small rows stay spread."""
-    n = partitions or seqs.sparkSession.sparkContext.defaultParallelism
+    """Sequences over all cores, or more tasks where there are many; an explicit number, so that few small rows stay spread."""
+    n = partitions or max(seqs.sparkSession.sparkContext.defaultParallelism, -(-seqs.count() // TASK_SEQUENCES))
     keyed = seqs.select(F.col("seq_id").cast("string").alias("seq_id"), F.col(size).cast("double").alias("size"))
     return keyed.withColumn("seq_key", F.xxhash64("seq_id")).repartition(n, "seq_id")
 

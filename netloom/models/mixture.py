@@ -14,7 +14,20 @@ import numpy as np
 HALF_BIN = 1.0 / 200 / 2
 FLOOR = 1e-10
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+# erf and its slope at the knots of a cubic interpolation, exact to 1e-12; beyond the last knot it is 1.
+_STEPS, _LAST = 512, 6
+_KNOTS = np.arange(_LAST * _STEPS + 2) / _STEPS
+_AT = np.array([math.erf(k) for k in _KNOTS])
+_SLOPE = 2 / math.sqrt(math.pi) * np.exp(-_KNOTS**2) / _STEPS
+
+
+def _erf(z):
+    x = np.minimum(np.abs(z), _LAST) * _STEPS
+    i = x.astype(int)
+    t = x - i
+    u = 1 - t
+    value = u * u * ((1 + 2 * t) * _AT[i] + t * _SLOPE[i]) + t * t * ((1 + 2 * u) * _AT[i + 1] - u * _SLOPE[i + 1])
+    return np.copysign(value, z)
 
 
 def shapes(inputs: int, components: int) -> dict[str, tuple]:
@@ -75,7 +88,7 @@ def _pdf(z):
 
 
 def _cdf(z):
-    return 0.5 * (1.0 + _erf(z / math.sqrt(2)).astype(float))
+    return 0.5 * (1.0 + _erf(z / math.sqrt(2)))
 
 
 def _component_likelihood(y, mean, log_sd, binned):

@@ -19,8 +19,6 @@ from netloom.session import broadcast_if_small, materialize
 
 # Rows one window task is meant to sort; spilled sorts beyond it still finish.
 TARGET_ROWS = 2_000_000
-# On very large tables the target grows so that about this many pieces are cut in all.
-MAX_PIECES = 20_000
 # Time cells a target-sized piece of a heavy key is measured in before it is cut.
 CELLS_PER_CHUNK = 16
 
@@ -48,8 +46,8 @@ class Chunked:
 def _with_halo(df: DataFrame, keys: tuple, id_col: str, n: int) -> DataFrame:
     """Add to every chunk a copy of the ``n`` rows of its key before it.
 
-    row_number() <= n is applied before the shuffle too, so at most n rows per chunk and
-    task move.  Every chunk holds a row, so n chunks back there are n rows.
+    The plain row_number() <= n is a group limit, applied before the shuffle too, so at most
+    n rows per chunk and task move.  Every chunk holds a row, so n chunks back there are n rows.
     """
     marked = df.withColumn("halo", F.lit(False))
     if not n:
@@ -59,7 +57,8 @@ def _with_halo(df: DataFrame, keys: tuple, id_col: str, n: int) -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(-n, -1)
     tails = (
         df.filter(F.col("chunk") >= 0)
-        .withColumn("_back", -F.row_number().over(latest)).filter(F.col("_back") >= -n)
+        .withColumn("_nth", F.row_number().over(latest)).filter(F.col("_nth") <= n)
+        .withColumn("_back", -F.col("_nth")).drop("_nth")
         .groupBy(*keys, "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("_back", F.struct(*names).alias("row")))).alias("_tail"))
     )
@@ -76,7 +75,7 @@ def chunked(
 
     Keys that need no cutting get chunk -1.
 
-    One narrow aggregate sizes the keys; at most ``MAX_PIECES`` of them are heavy.  Their
+    One narrow aggregate sizes the keys; those above ``target_rows`` are heavy.  Their
     flows are counted in equal time cells.  A cell that still exceeds the target (a burst,
     or everything next to one stray time) is divided again over its own range, by number
     once all its flows carry the same time.  Cells in order, summed up, give the chunks.
@@ -88,8 +87,6 @@ def chunked(
         return materialize(rows.groupBy(*group).agg(F.count("*").alias("_n"), *ends))
 
     groups, path, placed = sizes(df, list(keys)), [], df
-    total = groups.agg(F.sum("_n")).first()[0] or 0
-    target_rows = max(target_rows, -(-total // MAX_PIECES))
     while True:
         by_id = F.col("_at_min") == F.col("_at_max")
         lo, hi = (F.when(by_id, F.col(f"_id_{e}")).otherwise(F.col(f"_at_{e}")) for e in ("min", "max"))

@@ -16,22 +16,22 @@ def _with_lags(part: Chunked, x: str, n: int) -> DataFrame:
 
 
 def lag1(df: DataFrame, x: str, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add ``{x}_prev``, the previous value, and drop each series' first row."""
+    """Add ``{x}_prev``, the previous value; rows with a null go, each series' first among them."""
     part = chunked(df, key, halo=1, target_rows=target_rows)
     value, first = lags(part, F.col(x), 1)[0], F.row_number().over(part.window()) == 1
     rows = part.df.withColumns({f"{x}_prev": value, "_first": first})
-    return part.having(rows).result().filter(~F.col("_first")).drop("_first")
+    return part.having(rows).result().filter(~F.col("_first")).drop("_first").dropna()
 
 
 def lead1(df: DataFrame, x: str, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add ``{x}_next``, the next value, and drop each series' last row.
+    """Add ``{x}_next``, the next value; rows with a null go, each series' last among them.
 
     Every pair of neighbours is found at its later row, which carries the earlier one.
     """
     part = chunked(df.withColumn("_row", F.struct(*df.columns)), key, halo=1, target_rows=target_rows)
     pairs = part.having(part.df.withColumn("_before", lags(part, F.col("_row"), 1)[0])).result()
     earlier = pairs.filter(F.col("_before").isNotNull())
-    return earlier.select("_before.*", F.col(x).alias(f"{x}_next"))
+    return earlier.select("_before.*", F.col(x).alias(f"{x}_next")).dropna()
 
 
 def acf(df: DataFrame, x: str, length: int = 10, key: str = "dataset", target_rows: int = TARGET_ROWS) -> DataFrame:

@@ -30,13 +30,11 @@ def _user_flows(make_flows):
 
 
 def _brute_force(rows, agg):
-    """Windows by a plain loop over pandas rows of encoded flows."""
+    """Row i of a user sees rows i .. i + agg of the user's matrix with ``agg`` rows of zeros on top."""
     out = {}
     for _, user in rows.sort_values(["te", "flow_id"]).groupby("this_ip"):
-        buffer = [[0.0] * 16] * agg
-        for _, r in user.iterrows():
-            buffer.append([r[n] for n in cfg.ENCODED_COLUMNS])
-            out[r.flow_id] = [x for row in buffer[-agg - 1:] for x in row]
+        padded = np.vstack([np.zeros((agg, len(cfg.ENCODED_COLUMNS))), user[list(cfg.ENCODED_COLUMNS)].to_numpy(float)])
+        out |= {flow: padded[i:i + agg + 1].ravel().tolist() for i, flow in enumerate(user.flow_id)}
     return out
 
 
@@ -159,3 +157,9 @@ def test_masked_features_follow_the_order(make_flows):
     assert [s for s, v in enumerate(zip(seen, full)) if v[0] != v[1]] == [
         i for i, v in enumerate(full) if i > 1 and v != 0
     ]
+
+
+def test_carried_rows_are_limited_before_the_shuffle(make_flows):
+    part = chunks.chunked(_user_flows(make_flows), "this_ip", halo=3, target_rows=40)
+    plan = part.df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
