@@ -73,16 +73,18 @@ def side_by_side(table: DataFrame, index: str, values: list[str], columns: list[
     return table.groupBy(index).agg(*chosen)
 
 
-def ip_occurrence_curve(flows: DataFrame) -> DataFrame:
-    """External addresses by the number of flow ends they are."""
-    counts = external(endpoints(flows)).groupBy("ip").agg(F.count("*").alias("value"))
-    return rank_curve(counts)
-
-
-def ip_volume_curve(flows: DataFrame) -> DataFrame:
-    """External addresses by the bytes of the flows they are an end of."""
-    sums = external(endpoints(flows, "byt")).groupBy("ip").agg(F.sum("byt").alias("value"))
-    return rank_curve(sums)
+def ip_occurrence_curve(flows: DataFrame, by: str | None = None) -> DataFrame:
+    """External addresses by the number of flow ends they are, one curve per value of ``by``."""
+    group = [by] if by else []
+    counts = external(endpoints(flows, *group)).groupBy(*group, "ip").agg(F.count("*").alias("value"))
+    return rank_curve(counts, within=by)
+
+
+def ip_volume_curve(flows: DataFrame, by: str | None = None) -> DataFrame:
+    """External addresses by the bytes of the flows they are an end of, one curve per value of ``by``."""
+    group = [by] if by else []
+    sums = external(endpoints(flows, "byt", *group)).groupBy(*group, "ip").agg(F.sum("byt").alias("value"))
+    return rank_curve(sums, within=by)
 
 
 def scale_check(flows: DataFrame) -> DataFrame:

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom import config as cfg
 from netloom.functions import columns as c
+from netloom.operators.ranking import rank_rows
 
 
-def endpoint_roles(flows: DataFrame, prefix: str = cfg.INTERNAL_PREFIX) -> DataFrame:
-    """One row per internal end of a flow: ``ip``, ``sent`` and whether the peer is outside."""
+def endpoint_roles(flows: DataFrame, prefix: str = cfg.INTERNAL_PREFIX, *carry: str) -> DataFrame:
+    """One row per internal end of a flow: ``ip``, ``sent``, whether the peer is outside, and the ``carry`` columns."""
     ends = F.array(
         F.struct(F.col("sa").alias("ip"), F.col("da").alias("peer"), F.lit(True).alias("sent")),
         F.struct(F.col("da").alias("ip"), F.col("sa").alias("peer"), F.lit(False).alias("sent")),
     )
-    roles = flows.select(F.explode(ends).alias("end")).select("end.ip", "end.peer", "end.sent")
+    roles = flows.select(*carry, F.explode(ends).alias("end")).select(*carry, "end.ip", "end.peer", "end.sent")
     return roles.filter(c.internal(F.col("ip"), prefix)).select(
-        "ip", "sent", (~c.internal(F.col("peer"), prefix)).alias("peer_outside")
+        *carry, "ip", "sent", (~c.internal(F.col("peer"), prefix)).alias("peer_outside")
     )
 
 
@@ -31,28 +32,29 @@ def user_type(incoming, outgoing):
     )
 
 
-def count_roles(roles: DataFrame) -> DataFrame:
-    """Occurrences, incoming and outgoing flows per address, in one hash aggregate.
+def count_roles(roles: DataFrame, *by: str) -> DataFrame:
+    """Occurrences, incoming and outgoing flows per address (and ``by``), in one hash aggregate.
 
     Partial sums per task leave one row per address and task for the shuffle, so an
     address that holds a third of the flows costs no more than any other.
     """
-    return roles.groupBy("ip").agg(
+    return roles.groupBy(*by, "ip").agg(
         F.count("*").alias("number_of_rows"),
         F.count_if(~F.col("sent") & F.col("peer_outside")).alias("incoming_num"),
         F.count_if(F.col("sent") & F.col("peer_outside")).alias("outgoing_num"),
     )
 
 
-def user_stats(flows: DataFrame, prefix: str = cfg.INTERNAL_PREFIX) -> DataFrame:
-    """Occurrences, incoming, outgoing and type of each internal address (unordered).
+def user_stats(flows: DataFrame, prefix: str = cfg.INTERNAL_PREFIX, by: str | None = None) -> DataFrame:
+    """Occurrences, incoming, outgoing and type of each internal address (unordered), per value of ``by``.
 
     Flows between outside addresses need no filter of their own: neither end is counted.
     """
-    counts = count_roles(endpoint_roles(flows, prefix))
+    group = [by] if by else []
+    counts = count_roles(endpoint_roles(flows, prefix, *group), *group)
     kind = user_type(F.col("incoming_num"), F.col("outgoing_num"))
     return counts.withColumn("user_type", kind).select(
-        "number_of_rows", "ip", "incoming_num", "outgoing_num", "user_type"
+        *group, "number_of_rows", "ip", "incoming_num", "outgoing_num", "user_type"
     )
 
 
@@ -78,17 +80,10 @@ def still_present(previous: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def middle_half(stats: DataFrame) -> DataFrame:
-    """Type-0 addresses at positions [n/4, 3n/4) of the busiest-first order.
-
-    The unpartitioned window runs over host profiles, at most the 65,536 addresses below
-    a two-octet internal prefix, whatever the number of flows.
-    """
-    busy = Window.orderBy(F.desc("number_of_rows"), F.desc("ip"))
-    everyone = Window.partitionBy()
-    ranked = (
-        stats.filter(F.col("user_type") == 0)
-        .withColumn("position", F.row_number().over(busy) - 1)
-        .withColumn("n", F.count("*").over(everyone))
-    )
+    """Type-0 addresses at positions [n/4, 3n/4) of the busiest-first order."""
+    placed = rank_rows(stats.filter(F.col("user_type") == 0), F.desc("number_of_rows"), F.desc("ip"), name="position")
+    # one row, so the join is a broadcast of it
+    total = placed.agg(F.count("*").alias("n"))
+    ranked = placed.withColumn("position", F.col("position") - 1).crossJoin(F.broadcast(total))
     lower, upper = F.floor(F.col("n") / 4), F.floor(F.col("n") * 3 / 4)
     return ranked.filter((F.col("position") >= lower) & (F.col("position") < upper)).drop("n")

@@ -63,13 +63,14 @@ def read_flow_pieces(spark, sf_dir):
     flows = src.raw_columns(_flows(spark, sf_dir))
     path = shared_path(spark, "pieces")
     pieces = [f"{path}/piece{i}" for i in range(5)]
-    part = F.pmod(F.xxhash64("sa", "da", "sp", "te"), F.lit(len(pieces)))
+    part = F.pmod(F.col("sp") + F.col("dp"), F.lit(len(pieces)))
     for i, piece in enumerate(pieces):
-        sinks.write_raw_flows(flows.filter(part == i), piece, header=True)
+        turned = flows.columns[i:] + flows.columns[:i]
+        sinks.write_raw_flows(flows.filter(part == i).select(*turned), piece, header=True)
     whole = f"{path}/whole"
     sinks.write_raw_flows(flows, whole, header=True)
     read = src.read_flow_pieces(spark, {"baseline": pieces, "real": [whole]}, src.FLOW_SCHEMA)
-    return read.groupBy("dataset", "pr").agg(
+    return read.groupBy("dataset", "piece", "pr").agg(
         F.count("*").alias("flows"), F.sum("byt").alias("byt"), F.sum("pkt").alias("pkt")
     )
 
@@ -119,7 +120,14 @@ def write_windows(spark, sf_dir):
 
 def write_reports(spark, sf_dir):
     path = workflows.evaluate(_datasets(spark, sf_dir), REAL)
-    return sinks.read_reports(spark, path).groupBy("report", "run").agg(F.count("*").alias("rows"))
+    value = {
+        "scale": "byt_min", "protocol": "tcp", "system_ports": "flows", "user_ports": "share", "rules": "total",
+        "user_stats": "number_of_rows", "ip_occurrence": "value", "ip_volume": "value",
+    }
+    chosen = F.coalesce(*[F.when(F.col("report") == r, F.get_json_object("row", f"$.{v}")) for r, v in value.items()])
+    return sinks.read_reports(spark, path).groupBy(
+        "report", "run", F.get_json_object("row", "$.dataset").alias("dataset")
+    ).agg(F.count("*").alias("rows"), F.round(F.sum(chosen.cast("double")), 4).alias("total"))
 
 
 def recover_user_list(spark, sf_dir):
@@ -292,6 +300,20 @@ def ip_volume_curve(spark, sf_dir):
     return marginals.ip_volume_curve(_flows(spark, sf_dir)).withColumn("ln_value", F.round("ln_value", 9))
 
 
+def ip_occurrence_by_dataset(spark, sf_dir):
+    curve = marginals.ip_occurrence_curve(_datasets(spark, sf_dir), "dataset")
+    return curve.withColumn("ln_value", F.round("ln_value", 9))
+
+
+def ip_volume_by_dataset(spark, sf_dir):
+    curve = marginals.ip_volume_curve(_datasets(spark, sf_dir), "dataset")
+    return curve.withColumn("ln_value", F.round("ln_value", 9))
+
+
+def user_stats_by_dataset(spark, sf_dir):
+    return profile.user_stats(_datasets(spark, sf_dir), by="dataset")
+
+
 def scale_check(spark, sf_dir):
     checked = marginals.scale_check(_datasets(spark, sf_dir))
     return checked.select("dataset", "byt_min", "pkt_min", _r("byt_ln_max", 9), _r("pkt_ln_max", 9))
@@ -683,7 +705,8 @@ DETERMINISTIC = [
     user_ports_side_by_side,
     endpoint_occurrences, outgoing_num, incoming_num, user_type, user_type_counts, user_stats,
     user_stats_of_day, protocol_share, protocol_value_counts, system_port_top, system_port_hist,
-    user_port_hist, ip_occurrence_curve, ip_volume_curve, scale_check, histogram_cut,
+    user_port_hist, ip_occurrence_curve, ip_volume_curve, ip_occurrence_by_dataset, ip_volume_by_dataset,
+    user_stats_by_dataset, scale_check, histogram_cut,
     histogram_cut_shared, density_hist, hist2d, max_over_sets, laplace_smooth, plain_distribution,
     js_divergence, kl_divergence, js_scorecard, js_scorecard_shared, rule_report,
     lag1, lead1, acf, autocorrelation, context_window, label_row, inter_arrival, middle_half,
@@ -905,27 +928,38 @@ def flow_regressor(spark, sf_dir):
 
 # --- streaming --------------------------------------------------------------
 
+def _as_they_arrive(spark, sf_dir, label, job, steps=4):
+    """Start ``job`` again and again while the events arrive in order of time; gives its folder.
+
+    Each start takes all files that are new as one batch, so state and carried rows
+    pass from batch to batch and over restarts.
+    """
+    folder, path = shared_path(spark, "arriving"), shared_path(spark, label)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, [i / steps for i in range(1, steps)])).first()[0] or []
+    step = sum((F.coalesce(at >= cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        events.filter(step == i).write.mode("append").parquet(folder)
+        job(jobs.stream_flows(spark, folder, "*.parquet", files=1_000_000), path)
+    return path
+
+
 def streaming_user_stats(spark, sf_dir):
-    path = shared_path(spark, "stream-stats")
-    jobs.running_user_stats(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
-    return jobs.read_user_stats(spark, path)
+    return jobs.read_user_stats(spark, _as_they_arrive(spark, sf_dir, "stream-stats", jobs.running_user_stats))
 
 
 def streaming_rule_rates(spark, sf_dir):
-    path = shared_path(spark, "stream-rules")
-    jobs.rule_rates(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
-    return jobs.read_rule_rates(spark, path)
+    return jobs.read_rule_rates(spark, _as_they_arrive(spark, sf_dir, "stream-rules", jobs.rule_rates))
 
 
 def streaming_windows(spark, sf_dir):
-    path = shared_path(spark, "stream-windows")
-    jobs.carried_windows(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    path = _as_they_arrive(spark, sf_dir, "stream-windows", jobs.carried_windows)
     return _position_sums(jobs.read_carried_windows(spark, path))
 
 
 def streaming_user_sink(spark, sf_dir):
-    path = shared_path(spark, "stream-users")
-    jobs.user_sink(jobs.stream_flows(spark, sf_dir, "events.parquet"), path)
+    path = _as_they_arrive(spark, sf_dir, "stream-users", jobs.user_sink)
     return jobs.read_user_sink(spark, path).groupBy("user").agg(
         F.count("*").alias("flows"), F.sum("byt").alias("byt")
     )

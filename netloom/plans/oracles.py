@@ -232,6 +232,18 @@ def _curve(value: str, where: str = "ip NOT LIKE '42.219%'") -> str:
     )
 
 
+SETS = ("sets AS (SELECT dataset, sa AS ip, da AS peer, byt, 1 AS sent FROM d "
+        "UNION ALL SELECT dataset, da, sa, byt, 0 FROM d)")
+
+
+def _set_curve(value: str) -> str:
+    return _datasets(
+        "SELECT dataset, ip, value, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, ip) AS rank, "
+        f"round(ln(value), 9) AS ln_value FROM (SELECT dataset, ip, CAST({value} AS BIGINT) AS value FROM sets "
+        "WHERE ip NOT LIKE '42.219%' GROUP BY dataset, ip)", SETS,
+    )
+
+
 # --- rules ------------------------------------------------------------------
 
 def _listed(values) -> str:
@@ -313,8 +325,9 @@ ORACLES = {
         "FROM flows GROUP BY pr, lable"
     ),
     "read_flow_pieces": _with(
-        "SELECT dataset, pr, count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt, CAST(sum(pkt) AS BIGINT) AS pkt "
-        "FROM flows CROSS JOIN (VALUES ('baseline'), ('real')) v(dataset) GROUP BY dataset, pr"
+        "SELECT dataset, piece, pr, count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt, CAST(sum(pkt) AS BIGINT) AS pkt "
+        "FROM (SELECT 'baseline' AS dataset, CAST((sp + dp) % 5 AS INTEGER) AS piece, * FROM flows "
+        "UNION ALL SELECT 'real', 0, * FROM flows) GROUP BY dataset, piece, pr"
     ),
     "read_windows": POSITION_SUMS,
     "write_user_flows": _with(
@@ -325,17 +338,20 @@ ORACLES = {
         'SELECT this_ip AS "user", count(*) AS windows, count(*) * 112 AS fields FROM flows GROUP BY this_ip'
     ),
     "write_reports": _datasets(
-        "SELECT report, 'run' AS run, rows FROM ("
-        "SELECT 'scale' AS report, count(DISTINCT dataset) AS rows FROM d "
-        "UNION ALL SELECT 'protocol', count(DISTINCT dataset) FROM d "
-        "UNION ALL SELECT 'system_ports', count(*) FROM top "
-        "UNION ALL SELECT 'user_ports', count(*) FROM bars "
-        "UNION ALL SELECT 'rules', 8 * count(DISTINCT dataset) FROM d "
-        "UNION ALL SELECT 'divergence', 6 * (count(DISTINCT dataset) - 1) FROM d "
-        "UNION ALL SELECT 'user_stats', count(*) FROM stats "
-        "UNION ALL SELECT v, count(DISTINCT ip) FROM ends CROSS JOIN (VALUES ('ip_occurrence'), ('ip_volume')) t(v) "
-        "WHERE ip NOT LIKE '42.219%' GROUP BY v)",
-        TOP_PORTS, BARS, _stats(), ENDS,
+        "SELECT report, 'run' AS run, dataset, rows, round(CAST(total AS DOUBLE), 4) AS total FROM ("
+        "SELECT 'scale' AS report, dataset, 1 AS rows, min(byt)::DOUBLE AS total FROM d GROUP BY dataset "
+        "UNION ALL SELECT 'protocol', dataset, 1, avg(CAST(pr = 'TCP' AS INTEGER)) FROM d GROUP BY dataset "
+        "UNION ALL SELECT 'system_ports', dataset, count(*), sum(flows) FROM top GROUP BY dataset "
+        "UNION ALL SELECT 'user_ports', dataset, count(*), sum(share) FROM bars GROUP BY dataset "
+        "UNION ALL SELECT 'rules', dataset, count(DISTINCT rule), count(verdict) FROM verdicts GROUP BY dataset "
+        "UNION ALL SELECT 'divergence', dataset, 6, NULL FROM d WHERE dataset <> 'real' GROUP BY dataset "
+        "UNION ALL SELECT 'user_stats', dataset, count(DISTINCT ip), count(*) FROM sets "
+        "WHERE ip LIKE '42.219.%' GROUP BY dataset "
+        "UNION ALL SELECT 'ip_occurrence', dataset, count(DISTINCT ip), count(*) FROM sets "
+        "WHERE ip NOT LIKE '42.219%' GROUP BY dataset "
+        "UNION ALL SELECT 'ip_volume', dataset, count(DISTINCT ip), sum(byt) FROM sets "
+        "WHERE ip NOT LIKE '42.219%' GROUP BY dataset)",
+        TOP_PORTS, BARS, RULE_ROWS, SETS,
     ),
     "recover_user_list": _with(
         'SELECT "user", count(*) AS rows FROM extracted GROUP BY "user"', _stats(), EXTRACTED
@@ -416,6 +432,15 @@ ORACLES = {
     "user_port_hist": _datasets("SELECT * FROM bars", BARS),
     "ip_occurrence_curve": _curve("count(*)"),
     "ip_volume_curve": _curve("sum(byt)"),
+    "ip_occurrence_by_dataset": _set_curve("count(*)"),
+    "ip_volume_by_dataset": _set_curve("sum(byt)"),
+    "user_stats_by_dataset": _datasets(
+        "SELECT *, CASE WHEN incoming_num > 0 AND outgoing_num > 0 THEN 0 WHEN outgoing_num > 0 THEN 1 "
+        "WHEN incoming_num > 0 THEN 2 ELSE 3 END AS user_type FROM (SELECT dataset, ip, count(*) AS number_of_rows, "
+        "count(*) FILTER (WHERE sent = 0 AND peer NOT LIKE '42.219.%') AS incoming_num, "
+        "count(*) FILTER (WHERE sent = 1 AND peer NOT LIKE '42.219.%') AS outgoing_num "
+        "FROM sets WHERE ip LIKE '42.219.%' GROUP BY dataset, ip)", SETS,
+    ),
     "scale_check": _datasets(
         "SELECT dataset, min(byt)::DOUBLE AS byt_min, min(pkt)::DOUBLE AS pkt_min, "
         "round(ln(max(byt)), 9) AS byt_ln_max, round(ln(max(pkt)), 9) AS pkt_ln_max FROM d GROUP BY dataset"
@@ -679,8 +704,7 @@ ORACLES |= {
     ),
     "streaming_rule_rates": _with(
         "SELECT CAST(epoch(day) AS BIGINT) AS window_start, rule, CAST(coalesce(sum(verdict), 0) AS BIGINT) AS true_count, "
-        "count(verdict) AS total FROM verdicts "
-        "WHERE day + INTERVAL 1 DAY <= (SELECT max(te) - INTERVAL 10 MINUTE FROM flows) GROUP BY day, rule",
+        "count(verdict) AS total FROM verdicts GROUP BY day, rule",
         RULE_ROWS.replace("dataset", "date_trunc('day', te) AS day").replace("FROM d", "FROM flows"),
     ),
     "streaming_windows": POSITION_SUMS,

@@ -49,9 +49,9 @@ def evaluation_reports(flows: DataFrame, real: str, binning: str = "own") -> dic
         "user_ports": marginals.user_port_hist(flows),
         "rules": rule_summary(flows, "dataset"),
         "divergence": divergence.js_scorecard(flows, real, binning),
-        "user_stats": profile.user_stats(flows),
-        "ip_occurrence": marginals.ip_occurrence_curve(flows),
-        "ip_volume": marginals.ip_volume_curve(flows),
+        "user_stats": profile.user_stats(flows, by="dataset"),
+        "ip_occurrence": marginals.ip_occurrence_curve(flows, by="dataset"),
+        "ip_volume": marginals.ip_volume_curve(flows, by="dataset"),
     }
     return reports
 

@@ -73,8 +73,9 @@ def raw_columns(flows: DataFrame) -> DataFrame:
 
 
 def read_raw_flows(spark: SparkSession, path) -> DataFrame:
-    """Headerless raw flow files; file splits take the place of chunks."""
-    return spark.read.schema(FLOW_SCHEMA).option("timestampNTZFormat", TIME_FORMAT).csv(path, header=False)
+    """Headerless raw flow files; file splits take the place of chunks.  A malformed field is an error, not a null."""
+    reader = spark.read.schema(FLOW_SCHEMA).option("timestampNTZFormat", TIME_FORMAT).option("mode", "FAILFAST")
+    return reader.csv(path, header=False)
 
 
 def union_datasets(datasets: dict[str, DataFrame]) -> DataFrame:
@@ -84,9 +85,20 @@ def union_datasets(datasets: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_flow_pieces(spark: SparkSession, datasets: dict[str, list[str]], schema) -> DataFrame:
-    """Header files of several datasets, each the union of its pieces."""
-    reader = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", TIME_FORMAT)
-    return union_datasets({name: reader.csv(paths) for name, paths in datasets.items()})
+    """Header files of several datasets, each the union of its pieces; ``piece`` is a path's place in its list.
+
+    Columns go by the names in the header, in any order.  A file whose header differs from
+    others of its piece, a missing column and a malformed field are errors.
+    """
+    def read(path: str, piece: int) -> DataFrame:
+        named = spark.read.option("header", True).csv(path).schema
+        text = spark.read.schema(named).option("enforceSchema", False).option("mode", "FAILFAST").csv(path, header=True)
+        return text.select(*[F.col(f.name).cast(f.dataType) for f in schema], F.lit(piece).alias("piece"))
+
+    return union_datasets({
+        name: reduce(DataFrame.unionByName, [read(path, i) for i, path in enumerate(paths)])
+        for name, paths in datasets.items()
+    })
 
 
 def read_windows(spark: SparkSession, path, height: int, width: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.sources.flows import TIME_FORMAT
 
@@ -23,9 +24,11 @@ def write_user_flows(df: DataFrame, path: str, user: str = "user") -> None:
     df.hint("rebalance", F.col(user)).write.mode("append").partitionBy(user).parquet(path)
 
 
-def read_user_flows(spark: SparkSession, path: str) -> DataFrame:
-    # Addresses must stay text, whatever partition type inference makes of them.
-    return spark.read.parquet(path).withColumn("user", F.col("user").cast("string"))
+def read_user_flows(spark: SparkSession, path: str, user: str = "user") -> DataFrame:
+    """Flows of a folder per user.  Users stay the text they were: no type is inferred for their column."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == user else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def write_windows(windows: DataFrame, path: str, user: str = "user") -> None:
@@ -35,10 +38,9 @@ def write_windows(windows: DataFrame, path: str, user: str = "user") -> None:
     lines.hint("rebalance", F.col(user)).write.mode("append").partitionBy(user).text(path)
 
 
-def recover_user_list(spark: SparkSession, path: str, pattern: str = r"user=([^/]+)/") -> DataFrame:
-    """Users named by the paths of a per-user folder, with the rows each holds."""
-    files = spark.read.format("parquet").option("recursiveFileLookup", True).load(path)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("user"))
+def recover_user_list(spark: SparkSession, path: str, user: str = "user") -> DataFrame:
+    """Users named by the folders below ``path``, with the rows each holds; no column is read."""
+    named = read_user_flows(spark, path, user).select(F.col(user).alias("user"))
     return named.groupBy("user").agg(F.count("*").alias("rows"))
 
 
@@ -48,11 +50,10 @@ def folder_total(users: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str, name: str, run: str) -> None:
-    """Append one metric table to the report store as (report, run, row as JSON)."""
-    report.select(F.to_json(F.struct("*")).alias("row")).withColumns(
-        {"report": F.lit(name), "run": F.lit(run)}
-    ).write.mode("append").partitionBy("report", "run").parquet(path)
+    """Put one metric table into the report store as rows of JSON; a repeated run replaces its own."""
+    report.select(F.to_json(F.struct("*")).alias("row")).write.mode("overwrite").parquet(f"{path}/report={name}/run={run}")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """``row, report, run`` of every stored table."""
+    return spark.read.schema("row string, report string, run string").parquet(path)

@@ -19,7 +19,9 @@ from netloom.operators.filters import by_endpoint
 from netloom.operators.profile import count_roles, endpoint_roles, user_type
 from netloom.operators.rule_report import rule_verdicts
 from netloom.operators.windows import complete, windows_of, with_inter_arrival
+from netloom.session import materialize
 from netloom.sources.flows import flows_from_events
+from netloom.sources.sinks import read_user_flows
 
 
 def stream_flows(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files: int = 1) -> DataFrame:
@@ -58,7 +60,11 @@ def read_user_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rule_rates(flows: DataFrame, path: str, every: str = "1 day", late: str = "10 minutes") -> None:
-    """Per time window and rule: flows that pass and flows it applies to, once the window is final."""
+    """Per time window and rule: flows that pass and flows it applies to.
+
+    Each batch writes the windows it changed, the open ones too, so the last window is there
+    when the source has no more files; flows later than ``late`` do not change a closed one.
+    """
     timed = rule_verdicts(
         flows.withColumn("time", F.timestamp_micros(c.micros(F.col("te")))), "time"
     ).withWatermark("time", late)
@@ -69,14 +75,19 @@ def rule_rates(flows: DataFrame, path: str, every: str = "1 day", late: str = "1
     ]
     wide = timed.groupBy(F.window("time", every)).agg(*counts)
     stack = ", ".join(f"'{r}', {r}_true, {r}_total" for r in RULES)
-    rows = wide.selectExpr(
-        "unix_seconds(window.start) AS window_start", f"stack({len(RULES)}, {stack}) AS (rule, true_count, total)"
-    )
-    _run(rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rates"), path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.selectExpr(
+            "unix_seconds(window.start) AS window_start", f"stack({len(RULES)}, {stack}) AS (rule, true_count, total)"
+        ).write.mode("overwrite").parquet(f"{path}/rates/batch={number}")
+
+    _run(wide.writeStream.outputMode("update").foreachBatch(write), path)
 
 
 def read_rule_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rates")
+    """The latest counts of each window and rule."""
+    counts = F.max_by(F.struct("true_count", "total"), "batch").alias("s")
+    return spark.read.parquet(f"{path}/rates").groupBy("window_start", "rule").agg(counts).select("window_start", "rule", "s.*")
 
 
 def carried_windows(
@@ -86,7 +97,8 @@ def carried_windows(
 
     A batch leaves behind the last ``agg`` flows of each user, and the next one reads
     them.  Inside a batch the windows are cut like in a batch job, so a user with most of
-    the flows is spread over tasks.  Batches must follow each other in time per user.
+    the flows is spread over tasks.  Batches must follow each other in time per user; one
+    that reaches back behind a user's last flow is an error, and writes nothing.
     """
     spark = flows.sparkSession
     names = flows.columns
@@ -96,8 +108,15 @@ def carried_windows(
 
     def step(batch: DataFrame, number: int) -> None:
         rows = complete(batch).withColumns({"carried": F.lit(False), "known_delta": F.lit(None).cast("double")})
+        rows = materialize(rows)
         if number:
             before = spark.read.schema(rows.schema).parquet(tails(number - 1))
+            at = F.struct("te", "flow_id")
+            last_seen = before.groupBy(F.col(key).alias("k")).agg(F.max(at).alias("last"))
+            first = rows.groupBy(key).agg(F.min(at).alias("first"))
+            late = first.join(last_seen, F.col(key) == F.col("k")).filter("first < last").select(key).first()
+            if late:
+                raise ValueError(f"batch {number} reaches back in time, for one at {late[0]}")
             rows = rows.unionByName(before.withColumn("carried", F.lit(True)))
         part = with_inter_arrival(chunked(rows, key, halo=agg + 1, target_rows=target_rows))
         part = part.having(part.df.withColumn("delta", F.coalesce("known_delta", "delta")))
@@ -129,4 +148,4 @@ def user_sink(flows: DataFrame, path: str) -> None:
 
 
 def read_user_sink(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/users").withColumn("user", F.col("user").cast("string"))
+    return read_user_flows(spark, f"{path}/users")

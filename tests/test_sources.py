@@ -58,6 +58,33 @@ def test_reports_append(spark, flows, tmp_path):
     assert all(r.one == r.two for r in rows)
 
 
+def test_a_repeated_run_replaces_its_reports(spark, tmp_path):
+    for _ in range(2):
+        sinks.write_report(spark.range(3), str(tmp_path), "ids", "one")
+    assert sorted(r.row for r in sinks.read_reports(spark, str(tmp_path)).collect()) == ['{"id":0}', '{"id":1}', '{"id":2}']
+
+
+def test_user_names_stay_text(spark, tmp_path):
+    names = ["007", "1.50", "fe80::1", "2024-01-01"]
+    sinks.write_user_flows(spark.createDataFrame([(n, 1) for n in names], "user string, byt int"), str(tmp_path))
+    assert {r.user for r in sinks.read_user_flows(spark, str(tmp_path)).collect()} == set(names)
+    assert {r.user: r.rows for r in sinks.recover_user_list(spark, str(tmp_path)).collect()} == dict.fromkeys(names, 1)
+
+
+def test_pieces_go_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sa,da,byt,pkt\n1.1.1.1,2.2.2.2,100,3\n")
+    (tmp_path / "b.csv").write_text("pkt,byt,sa,da\n4,200,3.3.3.3,4.4.4.4\n")
+    schema = src.T.StructType([f for f in src.FLOW_SCHEMA if f.name in ("sa", "da", "pkt", "byt")])
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+    rows = src.read_flow_pieces(spark, {"x": paths}, schema).collect()
+    assert sorted((r.piece, r.sa, r.da, r.pkt, r.byt) for r in rows) == [(0, "1.1.1.1", "2.2.2.2", 3, 100), (1, "3.3.3.3", "4.4.4.4", 4, 200)]
+    with pytest.raises(Exception):  # one piece of two headers
+        src.read_flow_pieces(spark, {"x": [str(tmp_path)]}, schema).collect()
+    (tmp_path / "c.csv").write_text("pkt,byt,sa,da\n4,1.5e3x,3.3.3.3,4.4.4.4\n")
+    with pytest.raises(Exception):
+        src.read_flow_pieces(spark, {"x": [str(tmp_path / "c.csv")]}, schema).collect()
+
+
 def test_profile_and_extract(spark, flows, tmp_path):
     stats = workflows.profile_and_extract(flows, None, str(tmp_path / "x"), users=5)
     written = sinks.read_user_flows(spark, str(tmp_path / "x"))

@@ -37,11 +37,10 @@ def test_user_stats(spark, flows, arriving, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/stats").select("batch").distinct().count() == 5
 
 
-def test_rule_rates_of_closed_windows(spark, flows, arriving, tmp_path):
+def test_rule_rates_of_all_windows(spark, flows, arriving, tmp_path):
     jobs.rule_rates(_stream(spark, arriving), str(tmp_path))
     day = F.date_trunc("day", "te")
-    last = flows.agg(F.max(day)).first()[0]
-    want = rule_summary(flows.withColumn("day", day).filter(day < F.lit(last)), "day")
+    want = rule_summary(flows.withColumn("day", day), "day")
     want = sorted((int((r.day - r.day.__class__(1970, 1, 1)).total_seconds()), r.rule, r.true_count, r.total) for r in want.collect())
     got = sorted(tuple(r) for r in jobs.read_rule_rates(spark, str(tmp_path)).collect())
     assert got == want
@@ -55,6 +54,18 @@ def test_windows_are_carried_across_batches(spark, flows, arriving, tmp_path, ta
     assert got == want
 
 
+def test_windows_refuse_a_batch_that_reaches_back(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").orderBy("ts")
+    folder = str(tmp_path / "late")
+    half = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    first = F.unix_micros(F.col("ts").cast("timestamp")) < half
+    for part in (~first, first):
+        events.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="reaches back"):
+        jobs.carried_windows(_stream(spark, folder), str(tmp_path / "out"))
+    assert jobs.read_carried_windows(spark, str(tmp_path / "out")).count() == events.filter(~first).count()
+
+
 def test_user_sink(spark, flows, arriving, tmp_path):
     jobs.user_sink(_stream(spark, arriving), str(tmp_path))
     got = {r.user: r["count"] for r in jobs.read_user_sink(spark, str(tmp_path)).groupBy("user").count().collect()}
