@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import GAP, field, row_keys, with_row
-from netloom.session import materialize
+from netloom.session import broadcast_if_small, materialize
 
 MIN_SITES, MIN_WORDS = 5, 5
 #: Sketch size (relative standard error 1.04 / 2**(LG_K / 2), 1.6 %) and the half width, as a share, of "near".
@@ -49,7 +49,8 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = M
     guessed = materialize(sketched.select("line", "keeper", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = min_sites * (1 - margin) - 1, min_sites * (1 + margin) + 1
     near = guessed.filter(F.col("sites").between(low, high))
-    exact = lines.join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    # a counted, small side spares shuffling the lines by a key that may hold a third of them
+    exact = lines.join(broadcast_if_small(near.select("line")), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites"))
     sure = guessed.filter(F.col("sites") > high).select("line", "keeper")
     return sure.union(near.select("line", "keeper").join(exact.filter(F.col("sites") >= min_sites).select("line"), "line"))
 
