@@ -28,7 +28,7 @@ LG_K, MARGIN = 12, 0.1
 
 def _line_key(line: Column) -> Column:
     """A 128-bit key of a trimmed line; null for lines with too few words."""
-    inner = F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    inner = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     gaps = F.regexp_count(inner, F.lit(GAP))
     return F.when((inner != "") & (gaps + 1 >= MIN_WORDS), F.md5(inner.cast("binary")))
 
@@ -36,8 +36,10 @@ def _line_key(line: Column) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """``k1, k2, doc_id, site, pos, line`` for each line that counts, from rows with a ``row`` column."""
     keys = row_keys(field("doc_id"), field("text"))
+    # keys first: beside the generator they would be hashed from the whole text again for each of its lines
     df = docs.select(*keys, field("doc_id").alias("doc_id"), F.coalesce(field("source"), F.lit("\u0000")).alias("site"),
-                     F.posexplode(F.split(field("text"), "\n")).alias("pos", "raw"))
+                     F.split(field("text"), "\n").alias("lines"))
+    df = df.select("k1", "k2", "doc_id", "site", F.posexplode("lines").alias("pos", "raw"))
     return df.select("k1", "k2", "doc_id", "site", "pos", _line_key(F.col("raw")).alias("line")).filter("line is not null")
 
 
