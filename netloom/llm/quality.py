@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import field, log_gamma, with_row, words
+from netloom.llm.common import field, log_gamma, row_keys, with_row, words
 from netloom.session import broadcast_if_small, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -147,9 +147,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged(measured, certified_cutoffs(measured, labels))
 
 
+def _keys() -> list[Column]:
+    """Rows with equal keys are equal in all that the verdict depends on."""
+    return row_keys(field("doc_id"), field("text"), field("lang"))
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that no rule rejects, all columns kept."""
-    rows = with_row(docs)
-    narrow = measures(with_row(docs.select("doc_id", "text", "lang"))).withColumn("doc_id", field("doc_id")).withColumn("stratum", field("lang")).drop("row")
-    cutoffs = materialize(certified_cutoffs(materialize(narrow), labels))
-    return judged(measures(rows).withColumn("stratum", field("lang")), cutoffs).filter("kept").select("row.*")
+    rows = with_row(docs).select("row", *_keys())
+    # measured once; what stays is found again by key, so that the texts need no second pass of all expressions
+    measured = measures(with_row(docs.select("doc_id", "text", "lang")).select("row", *_keys()))
+    measured = materialize(measured.withColumn("doc_id", field("doc_id")).withColumn("stratum", field("lang")).drop("row"))
+    stay = materialize(judged(measured, certified_cutoffs(measured, labels)).filter("kept").select("k1", "k2").distinct())
+    return rows.join(broadcast_if_small(stay), ["k1", "k2"], "left_semi").select("row.*")
