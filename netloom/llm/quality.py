@@ -39,23 +39,27 @@ RULES: list[tuple[str, bool, list[float]]] = [
 ]
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words inside three-word windows that occur at least twice in the array ``w``."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return windows
+def _same_as_next(sorted_: Column, name: str) -> Column:
+    """The structs of a sorted array whose field ``name`` equals that of a neighbour."""
+    return F.filter(sorted_, lambda s, j: (s[name] == F.get(sorted_, j - 1)[name]).eqNullSafe(True) | (s[name] == F.get(sorted_, j + 1)[name]).eqNullSafe(True))
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` with one column ``row`` gets the base counts of the whole text, as longs."""
     text = F.coalesce(field("text"), F.lit(""))
     df = docs.withColumn("w", words(text))
-    df = df.withColumn("windows", F.when(F.size("w") >= 3, _repeat_words(F.col("w"))).otherwise(F.array().cast("array<string>")))
+    starts = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
+    window = [lambda i, k=k: F.get(F.col("w"), i + k) for k in range(3)]
+    df = df.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(*[at(i) for at in window])))
     df = df.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    # positions of windows that are found again, in order; only texts that have any sort their windows
-    numbered = F.array_sort(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    df = df.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), numbered))
-    again = F.filter("sorted", lambda s, j: (s["x"] == F.get("sorted", j - 1)["x"]).eqNullSafe(True) | (s["x"] == F.get("sorted", j + 1)["x"]).eqNullSafe(True))
-    df = df.withColumn("places", F.array_sort(F.transform(again, lambda s: s["i"])))
+    # windows found again: by hash first, which loses none, then those by their words
+    numbered = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("hashed", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), numbered))
+    df = df.withColumn("likely", _same_as_next(F.col("hashed"), "h"))
+    spelled = F.transform("likely", lambda s: F.struct(F.concat_ws(" ", *[at(s["i"]) for at in window]).alias("x"), s["i"].alias("i")))
+    df = df.withColumn("spelled", F.sort_array(spelled))
+    # their places in order
+    df = df.withColumn("places", F.sort_array(F.transform(_same_as_next(F.col("spelled"), "x"), lambda s: s["i"])))
     covered = F.aggregate(
         F.transform("places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("places", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     counts = {
