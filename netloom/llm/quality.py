@@ -153,7 +153,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _keys() -> list[Column]:
     """Rows with equal keys are equal in all that the verdict depends on."""
-    return row_keys(field("doc_id"), field("text"), field("lang"))
+    return row_keys(field("doc_id"), field("text"), field("text").isNull(), field("lang"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

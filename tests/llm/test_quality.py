@@ -80,3 +80,9 @@ def test_keep_quality_keeps_columns_and_nulls(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 1), (False, 1), (True, 0)]
     assert quality.keep_quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_keep_quality_tells_a_null_text_from_a_null_language(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, good, None), (1, None, good)], "doc_id long, text string, lang string")
+    assert [r["text"] for r in quality.keep_quality(docs, spark.createDataFrame([], LABELS)).collect()] == [good]
