@@ -1,18 +1,23 @@
 """Quality rules with risk-controlled thresholds (operator 1); DataFrame functions only.
 
-Each rule compares a measure of the text with a cutoff.  Cutoffs come from a fixed grid and
-are certified per stratum (language) on labelled documents: of the good ones that pass the base
-rules, ``n`` in all, a cutoff rejects ``k``.  It is certified if, were its true false rejection
-rate ``ALPHA / rules``, ``k`` or fewer rejections had a probability of at most ``DELTA / tests``
-- that is, if the exact (Clopper-Pearson) upper bound at that confidence is no higher than the
-rate.  ``tests`` counts all strata, rules and grid points (Bonferroni), so with
-probability ``1 - DELTA`` every stratum rejects at most ``ALPHA`` of its good documents,
-whichever certified cutoffs are used.  The strictest certified one is used; a rule without any
-rejects nothing in that stratum.
+Each rule compares a measure of the text with a cutoff from a fixed grid.  Cutoffs are certified per
+stratum (language) on labelled documents: of the good ones that pass the base rules, ``n`` in all, a
+policy - a cutoff for some rules at once - rejects ``k``.  It is certified if, were its true false
+rejection rate ``ALPHA``, ``k`` or fewer rejections had a probability of at most ``DELTA / strata`` -
+that is, if the exact (Clopper-Pearson) upper bound at that confidence is no higher than the rate.
+
+Policies are nested and tested in one order from lenient to strict, each step tightening one rule; the
+first that is not certified ends the sequence, so the steps need no division of ``DELTA`` (fixed-sequence
+testing).  Which steps come first is read from the labelled bad documents alone, which no test counts:
+each stands for the step that rejects it first in the grid order, and what a rule needs for its bad
+documents comes before all else.  With probability ``1 - DELTA`` every stratum rejects at most
+``ALPHA`` of its good documents.  Of the last certified policy each rule takes the strictest cutoff that
+rejects at most ``ALPHA / rules`` of the good documents counted, which only makes it more lenient; a rule
+without any rejects nothing in that stratum.
 
 Null text: no words, fails the base rules.  Null language: a stratum of its own.  Null
 ``doc_id``: cannot be labelled, is judged like any other row.  A document with several labels
-counts as good only if all say so; repeated rows with one id count once, by their worst measures.
+counts as good only if all say so, as bad if one does; repeated rows with one id count once, by their worst measures.
 No labels or no documents: no cutoff, or an empty result.
 """
 
@@ -27,7 +32,7 @@ from netloom.llm.common import field, log_gamma, row_keys, with_row, words
 from netloom.session import broadcast_if_small, materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of good documents a stratum may lose to all rules together, and the chance that it loses more.
+#: Share of good documents a stratum may lose to all rules together, and the chance that any stratum loses more.
 ALPHA, DELTA = 0.02, 0.05
 #: Measure, whether high values are bad, and the grid of cutoffs from lenient to strict.
 RULES: list[tuple[str, bool, list[float]]] = [
@@ -115,22 +120,45 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.exp(log_top) * total), F.lit(1.0))
 
 
+def _steps() -> list[tuple[int, int]]:
+    """All (rule, grid point) from lenient to strict: by the share of the rule's grid, then by rule."""
+    return sorted(((r, i) for r, (_, _, grid) in enumerate(RULES) for i in range(len(grid))), key=lambda s: ((s[1] + 1) / len(RULES[s[0]][2]), s[0]))
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``stratum, cutoffs`` (a map from rule to cutoff) from rows ``doc_id, stratum`` and base counts, and ``(doc_id, quality)``."""
-    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count("quality").alias("c"), F.count("*").alias("n"))
-    good = good.filter("q = 1 and c = n").select("doc_id")
+    said = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count("quality").alias("c"), F.count("*").alias("n"))
+    said = said.filter("q = 0 or q = 1 and c = n").select("doc_id", (F.col("q") == 1).alias("good"))
     values = _values()
     passing = measured.filter(~base_failed() & F.col("doc_id").isNotNull()).select("doc_id", "stratum", *[v.alias(r) for r, v in values.items()])
     # one row per document and stratum, so that a repeated row is no further trial
-    held = passing.join(good, "doc_id").groupBy("doc_id", "stratum").agg(*[F.max(r).alias(r) for r in values])
-    tests = [(rule, _grid(cut, high)) for rule, high, grid in RULES for cut in grid]
-    counts = held.groupBy("stratum").agg(
-        F.count("*").alias("n"), *[F.sum((F.col(rule) > cut).cast("long")).alias(f"k{i}") for i, (rule, cut) in enumerate(tests)])
-    strata = F.greatest(F.lit(1), F.lit(max(1, measured.select("stratum").distinct().count())))
-    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"k{i}").alias("k")) for i, (rule, cut) in enumerate(tests)])
+    held = passing.join(said, "doc_id").groupBy("doc_id", "stratum").agg(F.first("good").alias("good"), *[F.max(r).alias(r) for r in values])
+    steps = _steps()
+    place = {s: at for at, s in enumerate(steps)}
+    # where each rule first rejects the document, null if nowhere
+    first = []
+    for r, (rule, high, grid) in enumerate(RULES):
+        spared = sum(((F.col(rule) <= _grid(cut, high)).cast("int") for cut in grid), F.lit(0))
+        first.append(F.get(F.array(*[F.lit(place[r, i]) for i in range(len(grid))]), spared).alias(f"f{r}"))
+    held = materialize(held.select("stratum", "good", *first))
+    names = [f"f{r}" for r in range(len(RULES))]
+    needed = held.filter(~F.col("good")).groupBy("stratum").agg(*[F.max(F.when(F.col(f) == F.least(*names), F.col(f))).alias(f"u{r}") for r, f in enumerate(names)])
+    needed = broadcast_if_small(needed.withColumnRenamed("stratum", "s"))
+    # steps that bad documents need keep their places, all others come after them
+    late = [F.when(F.col(f) <= F.col(f"u{r}"), F.col(f)).otherwise(F.col(f) + len(steps)) for r, f in enumerate(names)]
+    good = held.filter("good").join(needed, F.col("stratum").eqNullSafe(F.col("s")), "left").withColumn("at", F.least(*late))
+    counts = good.groupBy("stratum").agg(
+        F.count("*").alias("n"), *[F.max(f"u{r}").alias(f"u{r}") for r in range(len(RULES))],
+        F.array(*[F.count_if(F.col("at") <= t) for t in range(2 * len(steps))]).alias("k"),
+        F.array(*[F.count_if(F.col(f"f{r}") <= t) for t, (r, _) in enumerate(steps)]).alias("alone"))
+    strata = max(1, measured.select("stratum").distinct().count())
+    rows = F.array(*[F.struct(
+        F.lit(RULES[r][0]).alias("rule"), F.lit(_grid(RULES[r][2][i], RULES[r][1])).alias("cut"), F.get("alone", F.lit(t)).alias("alone"),
+        F.get("k", F.when(F.col(f"u{r}") >= t, t).otherwise(t + len(steps))).alias("k")) for t, (r, i) in enumerate(steps)])
     tested = counts.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    tail = binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES))
-    sure = tested.withColumn("tail", tail).filter(F.col("tail") <= F.lit(delta) / (strata * len(tests)))
+    # the policies are nested, so their tails only grow: what passes is what comes before the first failure
+    sure = tested.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), alpha)).filter(F.col("tail") <= delta / strata)
+    sure = sure.filter(F.col("alone") <= F.col("n") * (alpha / len(RULES)))
     strictest = sure.groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
     return strictest.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cutoffs"))
 

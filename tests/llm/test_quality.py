@@ -86,3 +86,22 @@ def test_keep_quality_tells_a_null_text_from_a_null_language(spark):
     good = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, good, None), (1, None, good)], "doc_id long, text string, lang string")
     assert [r["text"] for r in quality.keep_quality(docs, spark.createDataFrame([], LABELS)).collect()] == [good]
+
+
+def test_few_hundred_good_documents_per_language_certify(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}x" for i in range(500)]
+    docs, labels, n = [], [], {"de": 217, "en": 600, "es": 216, "fr": 300}
+    for lang, count in n.items():
+        for good in [True] * count + [False] * 20:
+            at = len(docs)
+            end = "" if good else "#"
+            docs.append((at, " ".join(w + end for w in rng.choices(vocab, k=60)), lang))
+            labels.append((at, int(good), 0))
+    # good documents that only a late step of another rule rejects take no cutoff from the symbols
+    for k in range(30):
+        docs[n["de"] + 20 + k] = (docs[n["de"] + 20 + k][0], " ".join(w + "longer" for w in rng.choices(vocab, k=60)), "en")
+    out = quality.quality_verdicts(documents(spark, docs), spark.createDataFrame(labels, LABELS)).collect()
+    gone = {lang: sum(not r["kept"] for r in out if docs[r["doc_id"]][2] == lang) for lang in n}
+    assert gone == {"de": 20, "en": 20, "es": 0, "fr": 20}
+    assert all(not labels[r["doc_id"]][1] for r in out if not r["kept"])
