@@ -2,7 +2,10 @@
 
 Patterns find the base kinds: email, ip, card and phone.  These spans are the seeds.  Every mention -
 a seed, or any other word that looks like an identifier (at least ``MIN_LENGTH`` characters, three
-digits among them) - has lexical patterns: the two words before it, and the word on either side.
+digits among them) - has lexical patterns: the two words before it, the word on either side, and, more
+general, one word alone: next before it, second before it, or next after it.  Context words are what
+is left of the words around a mention without ``EDGES`` characters; a mention beside it bounds a word
+as a blank does, and what is nothing but such characters is passed over.
 Patterns and instances (normalised mentions) form a graph.  Spark scores it in turns: a pattern's
 confidence is the mean confidence of its distinct instances, shrunk by ``DOUBT`` imaginary bad ones;
 an instance that is no seed gets the noisy-or of its patterns that are sure and rest on
@@ -17,6 +20,7 @@ instance.  Any ``doc_id``, null too, is passed through.  An empty table gives an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,28 +88,51 @@ def _plain(word: str) -> str:
     return re.sub("[0-9]", "0", word.strip(EDGES).lower())
 
 
+def _pieces(text: str, cuts: list[int]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the words, parted at the sorted ``cuts`` too, that are more than ``EDGES`` characters."""
+    starts, ends, k = [], [], 0
+    for m in WORD.finditer(text):
+        at, end = m.span()
+        while k < len(cuts) and cuts[k] <= at:
+            k += 1
+        while at < end:
+            to = end
+            if k < len(cuts) and cuts[k] < end:
+                to, k = cuts[k], k + 1
+            if text[at:to].strip(EDGES):
+                starts.append(at)
+                ends.append(to)
+            at = to
+    return starts, ends
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and other identifier-like words with their patterns."""
     found = [(s, e, True) for s, _, e in spans]
-    ends, k, top = spans, 0, 0
+    k, top = 0, 0
     for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", text):
         raw = m[0]
         start, end = m.start() + len(raw) - len(raw.lstrip(EDGES)), m.start() + len(raw.rstrip(EDGES))
         if end <= start or not _looks_like_id(text[start:end]):
             continue
-        while k < len(ends) and ends[k][0] < end:
-            top = max(top, ends[k][2])
+        while k < len(spans) and spans[k][0] < end:
+            top = max(top, spans[k][2])
             k += 1
         if top <= start:
             found.append((start, end, False))
+    starts, ends = _pieces(text, sorted({at for s, e, _ in found for at in (s, e)})) if found else ([], [])
     out = []
     for start, end, seed in found:
-        left = [_plain(w) for w in WORD.findall(text[max(0, start - 120):start])][-2:]
-        after = WORD.search(text, end, min(len(text), end + 60))
-        right = _plain(after[0]) if after else ""
+        before, after = bisect_left(starts, start), bisect_left(starts, end)
+        left = [_plain(text[starts[i]:ends[i]]) for i in range(max(0, before - 2), before)]
+        right = _plain(text[starts[after]:ends[after]]) if after < len(starts) else ""
         patterns = []
         if len(left) == 2:
-            patterns.append(f"{left[0]} {left[1]} _")
+            patterns += [f"{left[0]} {left[1]} _", f"{left[0]} * _"]
+        if left:
+            patterns.append(f"{left[-1]} _")
+        if right:
+            patterns.append(f"_ {right}")
         if left and right:
             patterns.append(f"{left[-1]} _ {right}")
         out.append({"start": start, "end": end, "seed": seed, "instance": text[start:end].lower(), "patterns": patterns})

@@ -102,3 +102,23 @@ def test_redaction_and_edge_cases(spark):
     assert texts[100] == "filler text my account email is [id] thanks for reading"
     assert texts[300] == "nothing here at all" and texts[301] is None and out.count() == len(_world())
     assert pii.pii_spans(docs.limit(0)).count() == 0
+
+
+def _patterns(text):
+    return {text[m["start"]:m["end"]]: set(m["patterns"]) for m in pii.mentions(text, pii.base_spans(text))}
+
+
+def test_context_passes_over_quotes_and_bare_signs():
+    found = _patterns('set the TOKEN = "ab12cd34ef" , please')
+    assert found == {"ab12cd34ef": {"the token _", "the * _", "token _", "_ please", "token _ please"}}
+    found = _patterns("mail <x@y.zz>, ip:10.0.0.1!")
+    assert found["x@y.zz"] == {"mail _", "_ ip", "mail _ ip"}
+    assert found["10.0.0.1"] == {"x@y.zz ip _", "x@y.zz * _", "ip _"}
+
+
+def test_general_patterns_discover_behind_a_quote(spark):
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    rows = [(i, f'{words[i]} secret = "user{i}@mail.example.com" {words[-i]} end') for i in range(8)]
+    rows.append((100, 'nine secret = "ab12cd34ef" ten end'))
+    out = {r["doc_id"]: r["spans"] for r in pii.pii_spans(documents(spark, rows)).collect()}
+    assert out[100] == "id:15:25"
