@@ -8,8 +8,11 @@ is left of the words around a mention without ``EDGES`` characters; a mention be
 as a blank does, and what is nothing but such characters is passed over.
 Patterns and instances (normalised mentions) form a graph.  Spark scores it in turns: a pattern's
 confidence is the mean confidence of its distinct instances, shrunk by ``DOUBT`` imaginary bad ones;
-an instance that is no seed gets the noisy-or of its patterns that are sure and rest on
-``MIN_SEEDS`` distinct seeds.  After ``ROUNDS`` turns the mentions in a sure pattern that are no base
+an instance that is no seed gets the noisy-or of the patterns that are sure and have the support of
+``MIN_SEEDS`` distinct instances, each a seed or as sure as a pattern must be after the turn before.  So
+what one turn finds carries patterns of the next.  Confidence never falls; the turns, ``ROUNDS`` at
+least, end when one makes no further pattern sure and adds next to nothing (``SETTLED``) to those that
+are, so that none is still on its way.  The mentions in a sure pattern that are no base
 span become spans of the kind ``id``.
 
 Base spans always stay; an ``id`` span never overlaps one.  Offsets are code points, ends exclusive.
@@ -34,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone", "id")
 MIN_LENGTH, MIN_SEEDS, ROUNDS = 6, 3, 3
 #: A sure pattern's least confidence, and the imaginary instances of confidence 0 that each pattern starts with.
 SURE, DOUBT = 0.8, 0.5
+#: Growth of all sure patterns' confidence together below which a turn counts as the last.
+SETTLED = 1e-6
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -163,13 +168,17 @@ def sure_patterns(mentioned: DataFrame, rounds: int = ROUNDS, sure: float = SURE
     # an instance that is a seed anywhere is one everywhere
     instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     belief = instances.select("instance", F.col("seed").cast("double").alias("conf"), "seed")
-    trusted = None
-    for _ in range(rounds):
+    turn, total, more = 0, 0.0, True
+    while turn < rounds or more:
+        supports = (F.col("seed") | (F.col("conf") >= sure)).cast("long")
         scored = edges.select("pattern", "instance").join(belief, "instance").groupBy("pattern").agg(
-            (F.sum("conf") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        trusted = materialize(scored.filter((F.col("trust") >= sure) & (F.col("seeds") >= min_seeds)).select("pattern", "trust"))
-        doubt = F.exp(F.sum(F.log(1.0 - F.col("trust"))))
-        gained = edges.join(broadcast_if_small(trusted), "pattern").groupBy("instance").agg((1.0 - doubt).alias("gain"))
+            (F.sum("conf") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.sum(supports).alias("support"))
+        trusted = materialize(scored.filter((F.col("trust") >= sure) & (F.col("support") >= min_seeds)).select("pattern", "trust"))
+        turn, before, total = turn + 1, total, trusted.agg(F.sum("trust")).first()[0] or 0.0
+        more = total - before > SETTLED
+        # no less than the surest pattern, whatever the logarithms round to
+        noisy_or = F.greatest(F.max("trust"), 1.0 - F.exp(F.sum(F.log(1.0 - F.col("trust")))))
+        gained = edges.join(broadcast_if_small(trusted), "pattern").groupBy("instance").agg(noisy_or.alias("gain"))
         belief = materialize(instances.join(gained, "instance", "left").select(
             "instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gain", F.lit(0.0))).alias("conf"), "seed"))
     return trusted.select("pattern")

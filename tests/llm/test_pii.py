@@ -122,3 +122,14 @@ def test_general_patterns_discover_behind_a_quote(spark):
     rows.append((100, 'nine secret = "ab12cd34ef" ten end'))
     out = {r["doc_id"]: r["spans"] for r in pii.pii_spans(documents(spark, rows)).collect()}
     assert out[100] == "id:15:25"
+
+
+def test_what_a_turn_finds_supports_patterns_of_the_next(spark):
+    # each pattern holds the instances of the one before and fewer new ones; only the first has seeds
+    sets = [[f"{k}-{i}" for i in range(n)] for k, n in enumerate((400, 60, 9, 1))]
+    rows = [(i, k == 0, f"p{max(k, 1)}") for k, group in enumerate(sets) for i in group]
+    rows += [(i, False, f"p{k + 1}") for k, group in enumerate(sets[1:3], 1) for i in group]
+    rows += [("9-0", False, "far"), ("9-1", False, "far"), ("9-2", False, "far")]
+    got = pii.sure_patterns(spark.createDataFrame(rows, "instance string, seed boolean, pattern string"))
+    assert {r["pattern"] for r in got.collect()} == {"p1", "p2", "p3"}
+    assert pii.sure_patterns(spark.createDataFrame([], "instance string, seed boolean, pattern string")).count() == 0
