@@ -6,8 +6,9 @@ line that a third of all documents share is one small sketch per task.  Estimate
 threshold decide; those near it (within ``MARGIN`` of it) get an exact distinct count.
 
 A boilerplate line stays once: in the document with the smallest id, at its first place.
-Every other occurrence goes; other lines stay as they are, in order.  Lines of fewer than
-``MIN_WORDS`` words never count: they repeat by chance.
+Every other occurrence goes; other lines stay as they are, in order.  Short lines - fewer than
+``MIN_WORDS`` words and fewer than ``MIN_CHARS`` characters, so that a script without blanks is not
+short for that - repeat by chance: they need ``SHORT_TIMES`` as many sites.  Empty lines never count.
 
 Null texts stay null, empty ones empty.  A null source is a site of its own.  A null ``doc_id`` is
 above all ids.  Repeated rows are one document, so both keep the line or both lose it.
@@ -22,39 +23,49 @@ from netloom.llm.common import GAP, field, row_keys, with_row
 from netloom.session import broadcast_if_small, materialize
 
 MIN_SITES, MIN_WORDS = 5, 5
+#: Characters from which a line of few words is not short, and how many times the sites a short one needs.
+MIN_CHARS, SHORT_TIMES = 20, 3
 #: Sketch size (relative standard error 1.04 / 2**(LG_K / 2), 1.6 %) and the half width, as a share, of "near".
 LG_K, MARGIN = 12, 0.1
 
 
-def _line_key(line: Column) -> Column:
-    """A 128-bit key of a trimmed line; null for lines with too few words."""
-    inner = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    gaps = F.regexp_count(inner, F.lit(GAP))
-    return F.when((inner != "") & (gaps + 1 >= MIN_WORDS), F.md5(inner.cast("binary")))
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def _line_key(inner: Column) -> Column:
+    """A 128-bit key of a trimmed line; null for an empty one."""
+    return F.when(inner != "", F.md5(inner.cast("binary")))
+
+
+def _short(inner: Column) -> Column:
+    return (F.length(inner) < MIN_CHARS) & (F.regexp_count(inner, F.lit(GAP)) + 1 < MIN_WORDS)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``k1, k2, doc_id, site, pos, line`` for each line that counts, from rows with a ``row`` column."""
+    """``k1, k2, doc_id, site, pos, line, short`` for each line that is not empty, from rows with a ``row`` column."""
     keys = row_keys(field("doc_id"), field("text"))
     # keys first: beside the generator they would be hashed from the whole text again for each of its lines
     df = docs.select(*keys, field("doc_id").alias("doc_id"), F.coalesce(field("source"), F.lit("\u0000")).alias("site"),
                      F.split(field("text"), "\n").alias("lines"))
     df = df.select("k1", "k2", "doc_id", "site", F.posexplode("lines").alias("pos", "raw"))
-    return df.select("k1", "k2", "doc_id", "site", "pos", _line_key(F.col("raw")).alias("line")).filter("line is not null")
+    inner = _trimmed(F.col("raw"))
+    return df.select("k1", "k2", "doc_id", "site", "pos", _line_key(inner).alias("line"), _short(inner).alias("short")).filter("line is not null")
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
     """``line, keeper`` of every boilerplate line; ``keeper`` is where it stays."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("k1"), F.col("k2"), F.col("pos"))).alias("keeper")
+    need = F.when(F.first("short"), min_sites * SHORT_TIMES).otherwise(min_sites).alias("need")
     # fewer occurrences than sites asked for cannot be spread over as many
-    sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n"), first).filter(F.col("n") >= min_sites)
-    guessed = materialize(sketched.select("line", "keeper", F.hll_sketch_estimate("sketch").alias("sites")))
-    low, high = min_sites * (1 - margin) - 1, min_sites * (1 + margin) + 1
+    sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n"), need, first).filter(F.col("n") >= F.col("need"))
+    guessed = materialize(sketched.select("line", "need", "keeper", F.hll_sketch_estimate("sketch").alias("sites")))
+    low, high = F.col("need") * (1 - margin) - 1, F.col("need") * (1 + margin) + 1
     near = guessed.filter(F.col("sites").between(low, high))
     # a counted, small side spares shuffling the lines by a key that may hold a third of them
-    exact = lines.join(broadcast_if_small(near.select("line")), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    exact = lines.join(broadcast_if_small(near.select("line")), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("exact"))
     sure = guessed.filter(F.col("sites") > high).select("line", "keeper")
-    return sure.union(near.select("line", "keeper").join(exact.filter(F.col("sites") >= min_sites).select("line"), "line"))
+    return sure.union(near.join(exact, "line").filter(F.col("exact") >= F.col("need")).select("line", "keeper"))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

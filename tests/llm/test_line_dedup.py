@@ -54,3 +54,14 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert got == [(False, 1, line), (False, 1, line), (False, 2, ""), (False, 3, ""), (False, 4, "more"), (False, 6, ""), (True, 0, "")]
     assert line_dedup.drop_boilerplate_lines(docs.limit(0)).count() == 0
     assert {r["doc_id"]: r["n_lines"] for r in line_dedup.line_dedup_counts(documents(spark, rows)).collect()}[5] == 0
+
+
+def test_short_lines_need_more_sites_and_length_is_in_characters(spark):
+    need = line_dedup.MIN_SITES * line_dedup.SHORT_TIMES
+    chinese, phrase = "本网站的所有内容均受版权保护未经书面许可不得转载或使用", "All rights reserved."
+    lines = [("Menu", need), ("Home", need - 1), (chinese, line_dedup.MIN_SITES), (phrase, line_dedup.MIN_SITES), (chinese[1:], line_dedup.MIN_SITES - 1)]
+    rows = [(i, "\n".join(["", *[x for x, sites in lines if i < sites], f"own {i}"]), "en", f"site{i}") for i in range(need)]
+    out = {r["doc_id"]: r["clean_text"].split("\n") for r in line_dedup.line_dedup_counts(documents(spark, rows)).collect()}
+    assert out[0] == rows[0][1].split("\n")
+    for i in range(1, need):
+        assert out[i] == ["", *[x for x, sites in lines if i < sites and x in ("Home", chinese[1:])], f"own {i}"]
