@@ -133,3 +133,9 @@ def test_what_a_turn_finds_supports_patterns_of_the_next(spark):
     got = pii.sure_patterns(spark.createDataFrame(rows, "instance string, seed boolean, pattern string"))
     assert {r["pattern"] for r in got.collect()} == {"p1", "p2", "p3"}
     assert pii.sure_patterns(spark.createDataFrame([], "instance string, seed boolean, pattern string")).count() == 0
+
+
+def test_long_neighbours_and_gaps_are_read_whole():
+    one, other = ["https://example.com/" + "part/" * 40 + end for end in ("x", "y")]
+    near = _patterns(f"{one} {'k' * 150} AB-1234" + " " * 200 + other)["ab-1234".upper()]
+    assert near == {f"{one} {'k' * 150} _", f"{one} * _", f"{'k' * 150} _", f"_ {other}", f"{'k' * 150} _ {other}"}
