@@ -82,6 +82,7 @@ ENCODED_COLUMNS = [
 # Netflow layout: one-hot groups, classes of the categorical columns, generation order.
 FLOW_ONE_HOT = ((11, 12), (13, 14, 15))
 FLOW_CLASSES = {5: PORT_CLASSES, 6: PORT_CLASSES, 7: 256, 8: 256, 9: 256, 10: 256}
+FLOW_PORTS = (5, 6)
 FLOW_ORDER = (0, 1, 13, 11, 5, 6, 7, 8, 9, 10, 3, 2, 4)
 FLOW_WINDOW = 5
 
@@ -93,7 +94,8 @@ class ColumnPlan:
     """Which columns are continuous, which discrete, and in what order they are generated.
 
     ``one_hot`` lists groups of adjacent indicator columns (one head per group, named by
-    its first column); ``classes`` gives the class count of integer-coded columns.
+    its first column); ``classes`` gives the class count of integer-coded columns, ``ports``
+    those of them whose classes are port classes.
     ``mode`` "B" lets a head see the context rows and the current-row columns generated
     before it, "A" the context rows only.  ``arch`` sets mixture size and learning rate.
     """
@@ -105,6 +107,7 @@ class ColumnPlan:
     order: tuple = ()
     mode: str = "B"
     arch: str = "A"
+    ports: tuple = ()
 
     def __post_init__(self):
         if self.mode not in ("A", "B"):
@@ -158,4 +161,4 @@ class ColumnPlan:
 
 def flow_plan(mode: str = "B", arch: str = "B") -> ColumnPlan:
     """The plan of the 16 encoded flow columns."""
-    return ColumnPlan(len(ENCODED_COLUMNS), FLOW_WINDOW, FLOW_ONE_HOT, FLOW_CLASSES, FLOW_ORDER, mode, arch)
+    return ColumnPlan(len(ENCODED_COLUMNS), FLOW_WINDOW, FLOW_ONE_HOT, FLOW_CLASSES, FLOW_ORDER, mode, arch, FLOW_PORTS)

@@ -1,9 +1,10 @@
 """Fitting one conditional model per column from a window table.
 
-Continuous columns are conditional mixtures fitted by gradient steps; all of them share
-one Spark job per step, in which every task sums its rows' gradients and Spark adds up the
-sums.  Discrete columns are multinomial logistic regressions.  Only parameters, whose size
-does not depend on the number of flows, ever reach the driver.
+Continuous columns are conditional mixtures, discrete ones softmax heads, both fitted by
+gradient steps; all of them share one Spark job per step, in which every task sums its rows'
+gradients and Spark adds up the sums.  Over a whole table, discrete columns are multinomial
+logistic regressions.  Only parameters, whose size does not depend on the number of flows,
+ever reach the driver.
 """
 
 from __future__ import annotations
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 
 from netloom.config import ColumnPlan
 from netloom.models import mixture
-from netloom.operators.sampling import shuffled_batches
+from netloom.models.store import FitStore
+from netloom.models.training import Training, training_table
 from netloom.session import shared_path
 
 BATCH_ROWS = 512
-# Rows worth a gradient task of their own, and rows one task writes to the training table.
-TASK_ROWS = 1_000
-WRITE_ROWS = 1_000_000
 # Gradient sums are added up in this many groups per column before the last addition.
 GRADIENT_GROUPS = 16
 # Optimizer constants: moment decays and their guard, learning-rate decay and its period.
@@ -58,31 +57,6 @@ class Fitted:
     heads: dict = field(default_factory=dict)
 
 
-def training_table(windows: DataFrame, key: str = "flow_id", batch_rows: int | None = BATCH_ROWS) -> DataFrame:
-    """Windows written once to the shared folder, split by training batch (None: one batch).
-
-    A step that reads one batch scans that batch's files only; a batch of many rows has
-    several files, so that its gradients are spread over tasks.
-    """
-    spark = windows.sparkSession
-    path = shared_path(spark, "training")
-    rows = windows.select(key, "ctx", "label")
-    total = windows.count()
-    size = max(1, total if batch_rows is None else batch_rows)
-    cores = spark.sparkContext.defaultParallelism
-    # small batches are spread over the cores; the files of large ones follow their size
-    parts = max(1, min(cores, size // TASK_ROWS), -(-size // WRITE_ROWS))
-    batched = shuffled_batches(rows, size, total, key).repartition(
-        max(cores, total // WRITE_ROWS), F.col("batch"), F.pmod(F.xxhash64(key), F.lit(parts))
-    )
-    batched.write.partitionBy("batch").parquet(path)
-    return spark.read.parquet(path)
-
-
-def batch_count(training: DataFrame) -> int:
-    return training.agg(F.max("batch")).first()[0] + 1
-
-
 def _block(batch: pa.RecordBatch, plan: ColumnPlan) -> tuple[np.ndarray, np.ndarray]:
     """Context and label arrays of an Arrow batch, one row each."""
     def matrix(name):
@@ -92,8 +66,28 @@ def _block(batch: pa.RecordBatch, plan: ColumnPlan) -> tuple[np.ndarray, np.ndar
     return matrix("ctx")[:, : plan.input_dim], matrix("label")
 
 
+def _classes(label: np.ndarray, plan: ColumnPlan, col: int) -> np.ndarray:
+    """Class numbers of a discrete column in a block of label rows."""
+    if col in plan.group_of:
+        return label[:, list(plan.group_of[col])].argmax(axis=1)
+    return label[:, col].astype(int)
+
+
+def _softmax_gradient(flat: np.ndarray, x: np.ndarray, cls: np.ndarray, count: int) -> tuple[float, np.ndarray]:
+    """Cross-entropy and its gradient, both summed over the rows; ``flat`` holds weights and bias of every class."""
+    block = flat.reshape(count, -1)
+    z = x @ block[:, :-1].T + block[:, -1]
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    row = np.arange(len(cls))
+    loss = -np.log(np.maximum(p[row, cls], mixture.FLOOR)).sum()
+    p[row, cls] -= 1.0
+    return float(loss), np.hstack([p.T @ x, p.sum(axis=0)[:, None]]).ravel()
+
+
 def _gradient_job(rows: DataFrame, plan: ColumnPlan, params: dict, binned: bool) -> dict:
-    """Mean loss and mean gradient per continuous column: one job over the rows."""
+    """Mean loss and mean gradient per column: one job over the rows."""
     shared = rows.sparkSession.sparkContext.broadcast(params)
     masks = {c: np.array(plan.feature_mask(c)) for c in params}
 
@@ -105,9 +99,11 @@ def _gradient_job(rows: DataFrame, plan: ColumnPlan, params: dict, binned: bool)
             x, label = _block(batch, plan)
             n += len(x)
             for col, mask in masks.items():
-                loss, grad = mixture.loss_and_gradient(
-                    shared.value[col], x * mask, label[:, col], plan.components, binned
-                )
+                flat, seen = shared.value[col], x * mask
+                if col in plan.continuous:
+                    loss, grad = mixture.loss_and_gradient(flat, seen, label[:, col], plan.components, binned)
+                else:
+                    loss, grad = _softmax_gradient(flat, seen, _classes(label, plan, col), plan.class_count(col))
                 losses[col] += loss
                 sums[col] = sums[col] + grad if col in sums else grad
         if n:
@@ -158,31 +154,53 @@ def initial_mixtures(plan: ColumnPlan, seed: int = 0) -> dict:
     return {c: mixture.initial(plan.input_dim, plan.components, seed + c) for c in plan.continuous}
 
 
-def fit_continuous(
-    training: DataFrame, plan: ColumnPlan, epochs: int, by_batch: bool = True, binned: bool | None = None,
-    seed: int = 0, log: list | None = None, params: dict | None = None,
+def initial_heads(plan: ColumnPlan) -> dict:
+    return {c: np.zeros(plan.class_count(c) * (plan.input_dim + 1)) for c in plan.discrete}
+
+
+def fit_columns(
+    training: Training, plan: ColumnPlan, epochs: int, store: FitStore, by_batch: bool = True, binned: bool | None = None,
+    seed: int = 0, params: dict | None = None,
 ) -> dict:
-    """Gradient steps on every continuous column together.
+    """Gradient steps on the columns of ``store`` together, up to ``epochs`` epochs in all; returns their parameters.
 
-    ``by_batch`` steps through the batches of each epoch on bin likelihoods, otherwise an
-    epoch is one step over the whole table on densities.  ``log`` receives
-    (epoch, step, column, loss).
+    ``by_batch`` steps through the exact batches of each epoch on bin likelihoods, otherwise an
+    epoch is one step over the whole table on densities.  Every epoch is committed to the
+    store with its losses; a store that holds epochs already is gone on with.
     """
     binned = by_batch if binned is None else binned
-    params = dict(params or initial_mixtures(plan, seed))
+    params = dict(params or {c: p for c, p in (initial_mixtures(plan, seed) | initial_heads(plan)).items() if c in store.columns})
     optimizer = Optimizer(plan.learning_rate)
-    batches = batch_count(training) if by_batch else 1
-    for epoch in range(epochs):
-        order = np.random.default_rng([seed, epoch]).permutation(batches)
-        for step, batch in enumerate(order):
-            rows = training.filter(F.col("batch") == int(batch)) if by_batch else training
+    last = store.last_epoch()
+    if last is not None:
+        optimizer.step, state = store.load(last)
+        params = {c: flat for c, (flat, _, _) in state.items()}
+        optimizer.moments = {c: (first, second) for c, (_, first, second) in state.items()}
+    for epoch in range(0 if last is None else last + 1, epochs):
+        start = time.time()
+        sums, steps = dict.fromkeys(params, 0.0), training.batches if by_batch else 1
+        for step in range(steps):
+            rows = training.batch(epoch, step) if by_batch else training.rows
             result = _gradient_job(rows, plan, params, binned)
             optimizer.update(params, {c: g for c, (_, g) in result.items()}, epoch)
-            if log is not None:
-                log += [(epoch, step, c, loss) for c, (loss, _) in sorted(result.items())]
+            for c, (loss, _) in result.items():
+                sums[c] += loss
+        losses = {c: total / steps for c, total in sums.items()}
+        state = {c: (flat, *optimizer.moments[c]) for c, flat in params.items()}
+        store.commit(epoch, time.time() - start, steps, optimizer.step, losses, state)
     return params
 
 
+def fitted_from(plan: ColumnPlan, params: dict) -> Fitted:
+    """The model that flat parameters stand for."""
+    heads = {}
+    for c in plan.discrete:
+        if c in params:
+            block = params[c].reshape(plan.class_count(c), -1)
+            heads[c] = SoftmaxHead(np.arange(len(block)), block[:, :-1], block[:, -1])
+    return Fitted(plan, {c: params[c] for c in plan.continuous if c in params}, heads)
+
+
 def class_label(plan: ColumnPlan, col: int) -> Column:
     """Class number of a discrete column: position of the indicator, or the label itself."""
     if col in plan.group_of:
@@ -262,10 +280,7 @@ def column_losses(windows: DataFrame, fitted: Fitted, binned: bool = True) -> Da
                     loss = mixture.row_loss(model.mixtures[col], seen, label[:, col], plan.components, binned)
                 elif col in model.heads:
                     head = model.heads[col]
-                    if col in plan.group_of:
-                        cls = label[:, list(plan.group_of[col])].argmax(axis=1)
-                    else:
-                        cls = label[:, col].astype(int)
+                    cls = _classes(label, plan, col)
                     at = np.minimum(np.searchsorted(head.classes, cls), len(head.classes) - 1)
                     p = np.exp(head.log_probabilities(seen)[np.arange(len(cls)), at]) * (head.classes[at] == cls)
                     loss = -np.log(np.maximum(p, mixture.FLOOR))
@@ -299,32 +314,29 @@ def validate_loss(windows: DataFrame, fitted: Fitted, epoch: int = 0) -> DataFra
     return spark.createDataFrame([(epoch, time.time() - start, *row)], schema)
 
 
-def loss_summary(spark: SparkSession, log: list) -> DataFrame:
-    """Mean loss per epoch and column over all of the epoch's steps."""
-    rows = spark.createDataFrame(log, "epoch int, step int, col int, loss double")
-    return rows.groupBy("epoch", "col").agg(F.avg("loss").alias("loss"), F.count("*").alias("steps"))
-
-
 def fit_batches(
-    windows: DataFrame, plan: ColumnPlan, epochs: int, batch_rows: int = BATCH_ROWS, max_iter: int = 20,
-    seed: int = 0, key: str = "flow_id",
+    windows: DataFrame, plan: ColumnPlan, epochs: int, batch_rows: int = BATCH_ROWS, seed: int = 0,
+    key: str = "flow_id", path: str | None = None,
 ) -> tuple[Fitted, DataFrame]:
-    """Fit all columns batch by batch; returns the model and the loss per epoch and column."""
-    training = training_table(windows, key, batch_rows)
-    log: list = []
-    mixtures = fit_continuous(training, plan, epochs, seed=seed, log=log)
-    fitted = Fitted(plan, mixtures, fit_all_discrete(training, plan, max_iter=max_iter))
-    return fitted, loss_summary(windows.sparkSession, log)
+    """Fit all columns batch by batch; returns the model and the log, one row per epoch.
+
+    ``path`` keeps the training table, the parameters of every epoch and the log; a fit that
+    was ended there goes on after its last finished epoch.
+    """
+    path = path or shared_path(windows.sparkSession, "fit")
+    store = FitStore(windows.sparkSession, path, tuple(sorted(plan.order)))
+    training = training_table(windows, f"{path}/training", key, batch_rows)
+    return fitted_from(plan, fit_columns(training, plan, epochs, store, seed=seed)), store.log()
 
 
 def fit(windows: DataFrame, plan: ColumnPlan, epochs: int = 100, max_iter: int = 20, seed: int = 0,
-        key: str = "flow_id") -> tuple[Fitted, DataFrame]:
-    """Fit all columns on the whole table, one gradient step per epoch."""
-    training = training_table(windows, key, batch_rows=None)
-    log: list = []
-    mixtures = fit_continuous(training, plan, epochs, by_batch=False, seed=seed, log=log)
-    fitted = Fitted(plan, mixtures, fit_all_discrete(training, plan, max_iter=max_iter))
-    return fitted, loss_summary(windows.sparkSession, log)
+        key: str = "flow_id", path: str | None = None) -> tuple[Fitted, DataFrame]:
+    """Fit all columns on the whole table: one gradient step per epoch on densities, logistic regressions for classes."""
+    path = path or shared_path(windows.sparkSession, "fit")
+    store = FitStore(windows.sparkSession, path, tuple(sorted(plan.continuous)))
+    training = training_table(windows, f"{path}/training", key)
+    mixtures = fit_columns(training, plan, epochs, store, by_batch=False, seed=seed)
+    return Fitted(plan, mixtures, fit_all_discrete(training.rows, plan, max_iter=max_iter)), store.log()
 
 
 # --- stored parameters ------------------------------------------------------

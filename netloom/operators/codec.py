@@ -12,7 +12,8 @@ from netloom.functions import columns as c
 def default_local_ip(seq: Column, addresses=None, seed: int = 0) -> Column:
     """One address per sequence out of a fixed list, chosen by a hash of the sequence."""
     pool = F.array(*[F.lit(a) for a in addresses or cfg.DEFAULT_LOCAL_ADDRESSES])
-    return F.get(pool, F.pmod(F.xxhash64(F.lit(seed), seq), F.size(pool)).cast("int"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(seq.cast("string"), F.lit(""))).cast("binary"))
+    return F.get(pool, (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.size(pool)).cast("int"))
 
 
 def _address(octets: list[Column]) -> Column:

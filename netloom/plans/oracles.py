@@ -653,7 +653,29 @@ ORACLES = {
         DELTAS, ENCODED,
     ),
 }
-ORACLES["sampled_ip_curve"] = ORACLES["ip_occurrence_curve"]
+
+
+def _hash(seed: int, *key: str) -> str:
+    """The hash that samples are decided by; fixed-width hex digits order like the numbers."""
+    return "substr(md5('" + str(seed) + "' || " + " || ".join(f"':' || {k}" for k in key) + "), 1, 15)"
+
+
+ADDRESSES = ", ".join(f"'{a}'" for a in cfg.DEFAULT_LOCAL_ADDRESSES)
+ORACLES |= {
+    "sample_flows": _with(f"SELECT {FIELDS} FROM flows ORDER BY {_hash(131, 'flow_id')}, flow_id LIMIT 5000"),
+    "pick_users": _with(
+        f"SELECT ip, number_of_rows, position FROM middle ORDER BY {_hash(131, 'ip')}, ip LIMIT 100", _stats(), MIDDLE),
+    "sampled_ip_curve": _with(
+        "SELECT ip, value, row_number() OVER (ORDER BY value DESC, ip) AS rank, round(ln(value), 9) AS ln_value FROM ("
+        f"SELECT ip, count(*) AS value FROM (SELECT ip FROM ends WHERE ip NOT LIKE '42.219.%' ORDER BY {_hash(131, 'flow_id', 'ip')} LIMIT 5000) "
+        "GROUP BY ip)", ENDS),
+    "shuffled_batches": _with(
+        "SELECT epoch, batch, least(512, n - batch * 512) AS flows, least(512, n - batch * 512) AS distinct_flows, TRUE AS remixed "
+        "FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(count(*) / 512) AS BIGINT))) AS batch FROM flows), (SELECT unnest(range(2)) AS epoch)"),
+    "default_local_ip": _with(
+        f"SELECT flow_id, ([{ADDRESSES}])[CAST('0x' || substr(md5('0:' || flow_id), 1, 15) AS BIGINT) % {len(cfg.DEFAULT_LOCAL_ADDRESSES)} + 1] AS ip "
+        "FROM flows"),
+}
 
 # --- learned operators: counts and properties that must hold -----------------
 
@@ -685,7 +707,7 @@ ORACLES |= {
         ), DELTAS, ENCODED, LABELS,
     ),
     "sample_rows": _with(
-        "SELECT this_ip AS seq_id, count(*) AS rows, count(*) AS one_hot, CAST(count(*) - 1 AS INTEGER) AS last_step "
+        "SELECT this_ip AS seq_id, count(*) AS rows, count(*) AS one_hot, count(*) - 1 AS last_step "
         "FROM flows GROUP BY this_ip"
     ),
     "sample_time_span": _with(
@@ -695,9 +717,41 @@ ORACLES |= {
         "SELECT this_ip AS seq_id, count(*) AS rows, CAST(count(*) - 1 AS INTEGER) AS last_step FROM flows GROUP BY this_ip"
     ),
     "flow_classifier": _datasets(
-        "SELECT CASE pr WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 ELSE 2 END AS actual, count(*) AS rows "
+        "SELECT CASE pr WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 ELSE 2 END AS actual, count(*) AS rows, TRUE AS near_majority "
         "FROM d WHERE dataset = 'real' GROUP BY 1"
     ),
+    # a bin of 0.005 holds its width times the density, to the digits compared
+    "binned_nll": _with(
+        " UNION ALL ".join(
+            f"SELECT {i} AS col, 'binned_nll' AS kind, round(avg(-ln(0.005 * exp(-0.5 * x * x) / sqrt(2 * pi()) + 1e-10)), 3) AS loss, count(*) AS n "
+            f"FROM (SELECT {_MODEL_VALUE.get(i, cfg.ENCODED_COLUMNS[i])} AS x FROM encoded)"
+            for i in MODEL_CONTINUOUS
+        ), DELTAS, ENCODED,
+    ),
+    "cross_entropy": _with(" UNION ALL ".join(
+        f"SELECT {i} AS col, 'cross_entropy' AS kind, round(ln({cfg.flow_plan().class_count(i)}), 6) AS loss, count(*) AS n, TRUE AS improved FROM flows"
+        for i in cfg.flow_plan().discrete)),
+    "validate_loss": _with("SELECT 1 AS epoch, 13 AS columns, TRUE AS timed, TRUE AS same"),
+    "fit_batches": _with(
+        "SELECT epoch, CAST(ceil(count(*) / 2048) AS INTEGER) AS steps, 13 AS columns, TRUE AS timed, TRUE AS lower "
+        "FROM flows, (SELECT unnest(range(2)) AS epoch) GROUP BY epoch"),
+    "fit_resumed": _with(" UNION ALL ".join(f"SELECT {i} AS col, 2 AS epochs, TRUE AS same" for i in sorted(cfg.FLOW_ORDER))),
+    "epoch_batches": _with(
+        "SELECT epoch, batch, least(2048, n - batch * 2048) AS flows, least(2048, n - batch * 2048) AS distinct_flows, "
+        "least(2048, n - batch * 2048) AS as_dealt "
+        "FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(count(*) / 2048) AS BIGINT))) AS batch FROM flows), (SELECT unnest(range(2)) AS epoch)"),
+    "fit_whole_table": "SELECT epoch, 1 AS steps, 5 AS columns, TRUE AS timed, TRUE AS lower FROM (SELECT unnest(range(2)) AS epoch)",
+    "save_and_load_models": _with(" UNION ALL ".join(
+        f"SELECT {i} AS col, '{'binned_nll' if i in MODEL_CONTINUOUS else 'cross_entropy'}' AS kind, count(*) AS n, TRUE AS same FROM flows"
+        for i in sorted(cfg.FLOW_ORDER))),
+    "generate_flows": _with(
+        "SELECT DISTINCT this_ip AS seq_id, TRUE AS reached, 3 AS legs, TRUE AS in_bounds, TRUE AS local FROM flows"),
+    "generate_many_users": _with(
+        'SELECT DISTINCT this_ip AS "user", day, 3 AS legs, TRUE AS clock, TRUE AS in_bounds FROM flows, (SELECT unnest(range(2)) AS day)'),
+    "generate_long_request": _with(
+        "SELECT '42.219.1.1' AS seq_id, count(*) AS rows, count(*) AS steps, count(*) - 1 AS last_step, "
+        "CAST(ceil(count(*) / 500) AS BIGINT) AS legs FROM flows"),
+    "flow_regressor": _with("SELECT count(*) AS rows, TRUE AS near_mean FROM flows WHERE flow_id % 2 = 0"),
     # streaming
     "streaming_user_stats": _with(
         "SELECT ip, number_of_rows, incoming_num, outgoing_num, user_type FROM stats", _stats()

@@ -27,16 +27,17 @@ def profile_and_extract(flows: DataFrame, day: str | None, path: str, users: int
 
 def synthesize(
     flows: DataFrame, users: DataFrame, days: int, epochs: int, plan: cfg.ColumnPlan | None = None,
-    span: float = 86_400.0, batch_rows: int = fitting.BATCH_ROWS, max_iter: int = 20, seed: int = 0,
-    key: str = "this_ip",
+    span: float = 86_400.0, batch_rows: int = fitting.BATCH_ROWS, seed: int = 0, key: str = "this_ip",
+    path: str | None = None,
 ) -> tuple[DataFrame, fitting.Fitted, DataFrame]:
     """Fit the column models on real flows and generate flow records for every user and day.
 
-    Returns the generated flows, the model and the training losses.
+    Returns the generated flows, the model and the training log.  ``path`` keeps the fit, so
+    that a call after an interruption goes on with it.
     """
     plan = plan or cfg.flow_plan()
     training = windows.prepare_windows(flows, agg=plan.window, key=key, hour_max=24, clip=True)
-    fitted, losses = fitting.fit_batches(training, plan, epochs, batch_rows, max_iter, seed)
+    fitted, losses = fitting.fit_batches(training, plan, epochs, batch_rows, seed, path=path)
     return generating.generate_many_users(users, days, fitted, span, seed), fitted, losses
 
 

@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from netloom import config as cfg
-from netloom.models import fitting, generating, mixture, tasks
-from netloom.operators import windows
+from netloom.models import fitting, generating, mixture, tasks, training
+from netloom.models.store import FitStore, losses_by_column
+from netloom.operators import sampling, windows
 
 PLAN = cfg.ColumnPlan(dim=3, window=1, classes={1: 5, 2: 2})
 
@@ -83,8 +85,10 @@ def fitted(table):
 
 
 def test_fit_lowers_the_loss(table, fitted):
-    model, losses = fitted
-    first, last = (losses.filter(F.col("epoch") == e).first().loss for e in (0, 24))
+    model, log = fitted
+    assert log.count() == 25 and log.filter("steps = 1 and seconds > 0").count() == 25
+    losses = {r.epoch: r.loss for r in losses_by_column(log).collect()}
+    first, last = losses[0], losses[24]
     assert last < first - 0.5
     scored = {r.col: r for r in fitting.column_losses(table, model, binned=False).collect()}
     assert {c: r.kind for c, r in scored.items()} == {0: "mixture_nll", 1: "cross_entropy", 2: "cross_entropy"}
@@ -92,14 +96,87 @@ def test_fit_lowers_the_loss(table, fitted):
     assert scored[1].loss < 1.2 < math.log(5)
 
 
-def test_batches_cover_every_row(table):
-    training = fitting.training_table(table, batch_rows=100)
-    assert fitting.batch_count(training) == 6 and training.count() == 600
-    log: list = []
-    fitting.fit_continuous(training, PLAN, 2, log=log)
-    assert len(log) == 12 and {(e, s) for e, s, _, _ in log} == {(e, s) for e in range(2) for s in range(6)}
-    summary = fitting.loss_summary(table.sparkSession, log).collect()
-    assert sorted((r.epoch, r.steps) for r in summary) == [(0, 6), (1, 6)]
+@pytest.mark.parametrize(("rows", "batch_rows"), [(600, 100), (333, 50), (7, 100), (40, 1), (1, 1)])
+def test_batches_are_exact_and_differ_by_epoch(spark, tmp_path, monkeypatch, rows, batch_rows):
+    monkeypatch.setattr(training, "SHELF_ROWS", 100)
+    frame = spark.range(rows).select(F.col("id").alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
+    made = training.training_table(frame, str(tmp_path), batch_rows=batch_rows)
+    want = [min(batch_rows, rows - b * batch_rows) for b in range(made.batches)]
+    mixes = []
+    for epoch in (0, 3):
+        dealt = {}
+        for r in made.numbered(epoch).collect():
+            dealt.setdefault(r.batch, set()).add(r.flow_id)
+        assert [len(dealt[b]) for b in range(made.batches)] == want
+        assert set().union(*dealt.values()) == set(range(rows))
+        # what is read by ranges of positions is what the numbers say
+        for b in sorted({0, made.batches // 2, made.batches - 1}):
+            ranges = made.ranges(epoch, b)
+            assert sum(end - low for low, end in ranges) == want[b] and len(ranges) <= training.BUCKETS_PER_BATCH + 4
+            assert {r.flow_id for r in made.batch(epoch, b).collect()} == dealt[b]
+        mixes.append(dealt)
+    if rows > 300:
+        assert sum(len(mixes[0][b] & mixes[1][b]) for b in mixes[0]) < rows / 2
+    again = training.training_table(frame.limit(0), str(tmp_path), batch_rows=999)
+    assert (again.total, again.batch_rows) == (rows, batch_rows)
+
+
+def test_batches_read_the_files_of_their_positions_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "SHELF_ROWS", 100)
+    frame = spark.range(5_000).select(F.col("id").alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
+    made = training.training_table(frame, str(tmp_path), batch_rows=32)
+    shelves = {int(f.split("shelf=")[1].split("/")[0]) for f in made.batch(0, 3).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert shelves == {low // 100 for low, _ in made.ranges(0, 3)} | {(end - 1) // 100 for _, end in made.ranges(0, 3)}
+    assert len(shelves) <= 20 < 50
+
+
+def test_permutation_is_one_to_one_and_undone(spark):
+    for total in (1, 2, 3, 10, 97, 1_000):
+        moved = {r.x: r.y for r in spark.range(total).select(F.col("id").alias("x"), sampling.permuted(F.col("id"), total, 5, 2).alias("y")).collect()}
+        assert sorted(moved.values()) == list(range(total))
+        assert all(sampling.position_at(y, total, 5, 2) == x for x, y in moved.items())
+    assert spark.range(1).select(F.xxhash64(F.lit(-5).cast("long"), F.lit(7).cast("long")).alias("h")).first().h % (1 << 64) == sampling.hash_long(
+        7, sampling.hash_long(-5 % (1 << 64)))
+
+
+def test_a_stopped_fit_goes_on_where_it_was(spark, table, tmp_path, monkeypatch):
+    whole, whole_log = fitting.fit_batches(table, PLAN, 4, 150, path=str(tmp_path / "whole"))
+    path, calls, job = str(tmp_path / "stopped"), [], fitting._gradient_job
+
+    def fails_later(*args):
+        calls.append(1)
+        if len(calls) == 11:  # in the third epoch
+            raise RuntimeError("lost")
+        return job(*args)
+
+    monkeypatch.setattr(fitting, "_gradient_job", fails_later)
+    with pytest.raises(RuntimeError):
+        fitting.fit_batches(table, PLAN, 4, 150, path=path)
+    store = FitStore(spark, path, tuple(sorted(PLAN.order)))
+    assert store.last_epoch() == 1
+    # a version without a log entry does not count
+    spark.createDataFrame([(0, "flat", [9.0])], "col int, name string, data array<double>").write.parquet(f"{path}/parameters/version=lost")
+    monkeypatch.setattr(fitting, "_gradient_job", job)
+    again, log = fitting.fit_batches(table, PLAN, 4, 150, path=path)
+    assert np.allclose(again.mixtures[0], whole.mixtures[0], atol=1e-9)
+    assert all(np.allclose(again.heads[c].weights, whole.heads[c].weights, atol=1e-9) for c in (1, 2))
+    assert log.columns == ["epoch", "seconds", "steps", "optimizer_step", "version", "loss_0", "loss_1", "loss_2"]
+    for a, b in zip(log.orderBy("epoch").collect(), whole_log.orderBy("epoch").collect(), strict=True):
+        assert (a.epoch, a.steps, a.optimizer_step) == (b.epoch, 4, b.optimizer_step)
+        assert [a.loss_0, a.loss_1, a.loss_2] == pytest.approx([b.loss_0, b.loss_1, b.loss_2])
+    with pytest.raises(KeyError):
+        store.load(9)
+
+
+def test_softmax_gradient_against_differences():
+    rng = np.random.default_rng(0)
+    flat, x, cls = rng.normal(size=4 * 4), rng.normal(size=(5, 3)), np.array([0, 3, 1, 1, 2])
+    loss, grad = fitting._softmax_gradient(flat, x, cls, 4)
+    for i in range(len(flat)):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        up, down = (fitting._softmax_gradient(flat + d, x, cls, 4)[0] for d in (step, -step))
+        assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
 def test_gradient_job_does_not_depend_on_partitions(table):
@@ -110,14 +187,13 @@ def test_gradient_job_does_not_depend_on_partitions(table):
 
 
 def test_label_hook_changes_the_classes(table):
-    training = fitting.training_table(table, batch_rows=None)
-    head = fitting.fit_discrete(training, PLAN, 1, max_iter=3, label_hook=lambda c: (c % 2).cast("int"))
+    head = fitting.fit_discrete(table, PLAN, 1, max_iter=3, label_hook=lambda c: (c % 2).cast("int"))
     assert head.classes.tolist() == [0, 1]
 
 
 def test_single_class_needs_no_fit(spark, table):
     constant = table.withColumn("label", F.array(F.lit(0.5), F.lit(3.0), F.lit(1.0)))
-    head = fitting.fit_discrete(fitting.training_table(constant, batch_rows=None), PLAN, 1)
+    head = fitting.fit_discrete(constant, PLAN, 1)
     assert head.classes.tolist() == [3] and head.log_probabilities(np.ones((2, 6))).tolist() == [[0.0], [0.0]]
 
 
@@ -157,6 +233,28 @@ def test_sampled_rows_do_not_depend_on_spread(spark, fitted):
     assert one != other
 
 
+def test_legs_of_a_long_request(spark, table, fitted):
+    model, _ = fitted
+    pool = generating.window_pool(table, PLAN, 50)
+    assert pool.shape == (50, 1, 3)
+    real = {tuple(r.ctx[3:]) for r in table.collect()}
+    assert {tuple(p[0]) for p in pool} <= real
+    one = spark.createDataFrame([("u", 2_005), ("v", 3), ("w", 0)], "seq_id string, rows long")
+    parts = generating.sample_rows(one, model, seed=1, partitions=3, pool=pool, leg_rows=100)
+    assert parts.rdd.getNumPartitions() == 3
+    spread = generating.sample_rows(one, model, seed=1, partitions=13, pool=pool, leg_rows=100).toPandas().sort_values(["seq_id", "step"], ignore_index=True)
+    parts = parts.toPandas().sort_values(["seq_id", "step"], ignore_index=True)
+    assert parts[["seq_id", "leg", "step"]].equals(spread[["seq_id", "leg", "step"]])
+    assert np.allclose(np.vstack(parts.row), np.vstack(spread.row))
+    u = parts[parts.seq_id == "u"]
+    assert u.step.tolist() == list(range(2_005)) and u.leg.tolist() == [s // 100 for s in range(2_005)]
+    assert parts[parts.seq_id == "v"].step.tolist() == [0, 1, 2] and "w" not in set(parts.seq_id)
+    # legs are not copies of each other, and the first is what an uncut request begins with
+    assert len({tuple(r) for r in u[u.step % 100 == 4].row}) == 21
+    uncut = generating.sample_rows(one.filter("seq_id = 'u'"), model, seed=1).filter("step < 100").orderBy("step").toPandas()
+    assert np.allclose(np.vstack(uncut.row), np.vstack(u[u.leg == 0].row))
+
+
 def test_sampled_series_follow_the_data(spark, table, fitted):
     rows = generating.sample_rows(_sequences(spark, 40, 50), fitted[0], seed=5)
     x = rows.select(F.col("row")[0].alias("x"), F.col("cls")[0].alias("c")).toPandas()
@@ -201,6 +299,32 @@ def test_time_span_of_a_flow_model(spark):
     assert flows.time_duration.between(0, 363).all() and set(flows.pr) <= {"TCP", "UDP", "Other"}
 
 
+def test_legs_of_a_time_span(spark):
+    """Legs end on their last second exactly, and all but the first start behind a window of their hour."""
+    plan = cfg.flow_plan(arch="A")
+    model = fitting.Fitted(plan, fitting.initial_mixtures(plan), fitting.fitted_from(plan, fitting.initial_heads(plan)).heads)
+    pool = np.zeros((48, plan.window, plan.dim))
+    pool[:, -1, 0] = (np.arange(48) % 24) / 24
+    pool[:, -1, 2] = np.arange(48) / 100
+    seqs = spark.createDataFrame([("a", 10_000.0), ("b", 7_200.0), ("c", 50.0)], "seq_id string, span double")
+    rows = generating.sample_time_span(seqs, model, seed=3, pool=pool, leg_seconds=3_600)
+    flat = generating.flow_columns(rows, plan).toPandas()
+    flat["seconds"] = np.floor(flat.delta_x * cfg.DELTA_MAX)
+    sums = flat.groupby(["seq_id", "leg"]).seconds.sum()
+    assert [sums["a", 0], sums["a", 1], sums["b", 0]] == [3_600] * 3
+    assert sums["a", 2] >= 2_800 and sums["b", 1] >= 3_600 and sums["c", 0] >= 50 and len(sums) == 6
+    assert flat.delta_x.between(0, 1).all()
+    for (_, leg), part in flat.sort_values("step").groupby(["seq_id", "leg"]):
+        clock = leg * 3_600 + part.seconds.cumsum() - part.seconds
+        assert np.allclose(part.hour_x, np.floor(clock / 3_600) / 24)
+    hours = np.floor(pool[:, -1, 0] * 24 + 1e-6)
+    start = generating._opening(pool, hours, np.arange(9), 1, np.array([0, 1, 2] * 3), np.array([0.0, 3_600, 90_000] * 3), (9, plan.window + 1, plan.dim))
+    assert not start[::3].any() and set(start[1::3, -2, 0] * 24) == {1.0} == set(start[2::3, -2, 0] * 24)
+    with pytest.raises(PythonException, match="does not reach"):
+        still = fitting.Fitted(plan, {c: 0.0 * p - (c == 1) * 9.0 for c, p in model.mixtures.items()}, model.heads)
+        generating.sample_time_span(seqs, still, still_steps=50).count()
+
+
 def test_artificial_series(spark):
     series = spark.createDataFrame([("a", 3000), ("b", 1), ("c", 0)], "seq_id string, rows int")
     rows = generating.artificial_series(series, [0.9, 0.8], seed=2).toPandas()
