@@ -112,13 +112,21 @@ def write_user_flows(spark, sf_dir):
     )
 
 
+def read_one_user(spark, sf_dir):
+    """Flows of five users out of the clustered storage of all, and that no file without them is read."""
+    path = _written_users(spark, sf_dir)
+    users = [r.user for r in sinks.recover_user_list(spark, path).orderBy(F.desc("rows"), "user").limit(5).collect()]
+    read = sinks.read_user_flows(spark, path, *users).select("user", "flow_id", "byt", F.col("_metadata.file_path").alias("file"))
+    held = sinks.stored_files(spark, path).select("file", "first", "last")
+    return read.join(F.broadcast(held), "file").groupBy("user").agg(
+        F.count("*").alias("flows"), F.sum("byt").alias("byt"), F.every(F.col("user").between(F.col("first"), F.col("last"))).alias("in_range"))
+
+
 def write_windows(spark, sf_dir):
     path = shared_path(spark, "windows")
     sinks.write_windows(_windows(spark, sf_dir), path)
-    files = spark.read.option("recursiveFileLookup", True).text(path)
-    user = F.regexp_extract(F.col("_metadata.file_path"), r"user=([^/]+)/", 1)
-    fields = F.size(F.split("value", ","))
-    return files.groupBy(user.alias("user")).agg(
+    fields = F.size(F.split("line", ","))
+    return sinks.read_user_flows(spark, path).groupBy("user").agg(
         F.count("*").alias("windows"), F.sum(fields.cast("long")).alias("fields")
     )
 
@@ -707,7 +715,7 @@ def custom_encoder(spark, sf_dir):
 
 
 DETERMINISTIC = [
-    read_raw_flows, read_flow_pieces, read_windows, write_user_flows, write_windows, write_reports,
+    read_raw_flows, read_flow_pieces, read_windows, write_user_flows, read_one_user, write_windows, write_reports,
     recover_user_list, folder_totals, prepare_windows,
     on_day, touches_internal, extract_users, extract_user, by_direction, by_protocol, by_port_class,
     external_endpoints, drop_invalid, metric_columns,
@@ -1027,10 +1035,11 @@ def flow_regressor(spark, sf_dir):
 
 # --- streaming --------------------------------------------------------------
 
-def _as_they_arrive(spark, sf_dir, label, job, steps=4):
-    """Start ``job`` again and again while the events arrive in order of time; gives its folder.
+def _as_they_arrive(spark, sf_dir, label, job, steps=4, order=None):
+    """Start ``job`` again and again while the events arrive in ``steps`` files; gives its folder.
 
-    Each start takes all files that are new as one batch, so state and carried rows
+    Files hold ranges of time, earliest first, or with ``order`` another number of the step of
+    each event.  Each start takes all files that are new as one batch, so state and carried rows
     pass from batch to batch and over restarts.
     """
     folder, path = shared_path(spark, "arriving"), shared_path(spark, label)
@@ -1038,6 +1047,7 @@ def _as_they_arrive(spark, sf_dir, label, job, steps=4):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.agg(F.percentile_approx(at, [i / steps for i in range(1, steps)])).first()[0] or []
     step = sum((F.coalesce(at >= cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    step = step if order is None else order(step)
     for i in range(len(cuts) + 1):
         events.filter(step == i).write.mode("append").parquet(folder)
         job(jobs.stream_flows(spark, folder, "*.parquet", files=1_000_000), path)
@@ -1052,6 +1062,18 @@ def streaming_rule_rates(spark, sf_dir):
     return jobs.read_rule_rates(spark, _as_they_arrive(spark, sf_dir, "stream-rules", jobs.rule_rates))
 
 
+def streaming_late_flows(spark, sf_dir):
+    """Flows reported and late per day, the events arriving in no order of time: together they are the input."""
+    path = _as_they_arrive(spark, sf_dir, "stream-late", jobs.rule_rates, order=lambda _: F.col("event_id") % 4)
+    return jobs.read_window_flows(spark, path)
+
+
+def streaming_late_windows(spark, sf_dir):
+    """Windows of events whose files arrive latest first: every window is as if they had come in order."""
+    path = _as_they_arrive(spark, sf_dir, "stream-reversed", jobs.carried_windows, order=lambda step: 3 - step)
+    return _position_sums(jobs.read_carried_windows(spark, path))
+
+
 def streaming_windows(spark, sf_dir):
     path = _as_they_arrive(spark, sf_dir, "stream-windows", jobs.carried_windows)
     return _position_sums(jobs.read_carried_windows(spark, path))
@@ -1070,5 +1092,5 @@ LEARNED = [
     generate_many_users, generate_long_request, artificial_series, artificial_correlation, flow_classifier, flow_confusion,
     flow_regressor,
 ]
-STREAMING = [streaming_user_stats, streaming_rule_rates, streaming_windows, streaming_user_sink]
+STREAMING = [streaming_user_stats, streaming_rule_rates, streaming_late_flows, streaming_windows, streaming_late_windows, streaming_user_sink]
 QUERIES |= {q.__name__: q for q in LEARNED + STREAMING}

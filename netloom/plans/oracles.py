@@ -334,6 +334,11 @@ ORACLES = {
         'SELECT "user", count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt, min(flow_id) AS first_flow '
         'FROM extracted GROUP BY "user"', _stats(), EXTRACTED,
     ),
+    "read_one_user": _with(
+        'SELECT "user", count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt, TRUE AS in_range FROM extracted '
+        'WHERE "user" IN (SELECT "user" FROM extracted GROUP BY "user" ORDER BY count(*) DESC, "user" LIMIT 5) GROUP BY "user"',
+        _stats(), EXTRACTED,
+    ),
     "write_windows": _with(
         'SELECT this_ip AS "user", count(*) AS windows, count(*) * 112 AS fields FROM flows GROUP BY this_ip'
     ),
@@ -761,6 +766,14 @@ ORACLES |= {
         "count(verdict) AS total FROM verdicts GROUP BY day, rule",
         RULE_ROWS.replace("dataset", "date_trunc('day', te) AS day").replace("FROM d", "FROM flows"),
     ),
+    # the watermark of a step is the latest time of the steps before it, less ten minutes
+    "streaming_late_flows": _with(
+        "SELECT CAST(epoch(day) AS BIGINT) AS window_start, count(*) FILTER (NOT late) AS reported, count(*) FILTER (late) AS late FROM ("
+        "SELECT date_trunc('day', te) AS day, coalesce(date_trunc('day', te) + INTERVAL 1 DAY <= mark - INTERVAL 10 MINUTE, FALSE) AS late "
+        "FROM flows JOIN (SELECT step, max(newest) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark "
+        "FROM (SELECT flow_id % 4 AS step, max(te) AS newest FROM flows GROUP BY step)) ON flow_id % 4 = step) GROUP BY day"
+    ),
+    "streaming_late_windows": POSITION_SUMS,
     "streaming_windows": POSITION_SUMS,
     "streaming_user_sink": _with(
         'SELECT ip AS "user", count(*) AS flows, CAST(sum(byt) AS BIGINT) AS byt '

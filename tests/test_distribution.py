@@ -116,12 +116,35 @@ def test_sample_does_not_depend_on_partitions(spark):
     assert one == many != other
 
 
-def test_batches_hold_every_row_once(spark):
-    rows = sampling.shuffled_batches(spark.range(5000), 512, 5000, "id").groupBy("batch").count().collect()
-    assert len(rows) == 10 and sum(r["count"] for r in rows) == 5000
-    first = sampling.shuffled_batches(spark.range(100), 10, 100, "id", epoch=0).collect()
-    second = sampling.shuffled_batches(spark.range(100), 10, 100, "id", epoch=1).collect()
-    assert first != second
+@pytest.mark.parametrize("small", [100_000, 20, 1])
+def test_sample_is_the_smallest_hashes_whatever_a_slice_holds(spark, monkeypatch, small):
+    monkeypatch.setattr(sampling, "SLICE_ROWS", small)
+    monkeypatch.setattr(sampling, "REFINE_BITS", 3)
+    frame = spark.range(2_000).withColumn("name", F.concat(F.lit("n"), "id"))
+    hashed = sorted((r.h, r.id) for r in frame.select("id", sampling.sample_hash(131, "name").alias("h")).collect())
+    for n in (1, 137, 1_999, 2_000, 2_001):
+        got = sampling.sample_n(frame, n, "name").collect()
+        assert sorted(r.id for r in got) == sorted(i for _, i in hashed[:n])
+    assert sampling.sample_n(frame, 0, "name").count() == 0
+
+
+def test_sample_of_repeated_keys_and_rows(spark):
+    frame = spark.range(1_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("v"), F.lit(None).cast("string").alias("n"))
+    for n in (1, 300, 500, 700, 999):
+        got = sampling.sample_n(frame, n, "k", "n")
+        assert got.count() == n and got.columns == frame.columns
+        assert got.exceptAll(frame).count() == 0
+    plan = sampling.sample_n(frame, 500, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_batches_hold_every_row_once_and_exactly_their_size(spark):
+    rows = sampling.shuffled_batches(spark.range(5000), 512, "id").groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).collect()
+    assert {r.batch: (r.n, r.d) for r in rows} == {b: (512, 512) for b in range(9)} | {9: (392, 392)}
+    first = {(r.id, r.batch) for r in sampling.shuffled_batches(spark.range(100), 10, "id", epoch=0).collect()}
+    second = {(r.id, r.batch) for r in sampling.shuffled_batches(spark.range(100), 10, "id", epoch=1).collect()}
+    assert len(first & second) < 40
+    assert sampling.shuffled_batches(spark.range(0), 10, "id").count() == 0
 
 
 def test_scalers(spark):
