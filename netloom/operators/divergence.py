@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom import config as cfg
 from netloom.functions.binning import with_left_closed_bin, with_right_closed_bin
 from netloom.operators.filters import drop_invalid, metric_columns
+from netloom.session import materialize
 
 
 def histograms(
@@ -17,8 +18,9 @@ def histograms(
 
     ``binning`` "own" spans each dataset's own range, "shared" the range over all of
     them.  Right-closed bins count from 1, left-closed ones from 0.  One aggregate finds
-    the ranges, one row per dataset, which is broadcast to the binning pass; binning sums
-    up per task before the shuffle, so at most ``bins`` rows per column leave a task.
+    the ranges, one row per dataset, which is kept and broadcast to the binning pass: two scans
+    in all.  Binning sums up per task before the shuffle, so at most ``bins`` rows per column
+    leave a task.
     """
     base = df.select("dataset", *[F.col(n).cast("double").alias(n) for n in columns])
     spans = base.groupBy("dataset").agg(
@@ -33,6 +35,7 @@ def histograms(
         )
     elif binning != "own":
         raise ValueError(f"unknown binning {binning!r}")
+    spans = materialize(spans)
     to_bin = with_right_closed_bin if closed == "right" else with_left_closed_bin
     first = 1 if closed == "right" else 0
     # Datasets are named by the caller, a handful: their ranges may be broadcast.
@@ -89,10 +92,14 @@ def plain_distribution(hist: DataFrame) -> DataFrame:
 
 
 def align(dist: DataFrame, real: str) -> DataFrame:
-    """Each other dataset's distribution ``q`` beside the real one ``p``, bin by bin."""
-    of_real = dist.filter(F.col("dataset") == real).select("column", "bin", "p")
-    others = dist.filter(F.col("dataset") != real).select("dataset", "column", "bin", F.col("p").alias("q"))
-    return others.join(of_real, ["column", "bin"])
+    """Each other dataset's distribution ``q`` beside the real one ``p``, bin by bin.
+
+    The real value of a bin is carried to its other rows by a window over the distributions, a row
+    per dataset, column and bin, so the distributions are worked out once.
+    """
+    of_real = F.max(F.when(F.col("dataset") == real, F.col("p"))).over(Window.partitionBy("column", "bin"))
+    both = dist.select("dataset", "column", "bin", F.col("p").alias("q"), of_real.alias("p"))
+    return both.filter((F.col("dataset") != real) & F.col("p").isNotNull()).select("column", "bin", "dataset", "q", "p")
 
 
 def _relative_entropy(p: Column, q: Column) -> Column:

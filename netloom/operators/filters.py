@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom import config as cfg
 from netloom.functions import columns as c
-from netloom.session import broadcast_if_small
+from netloom.session import broadcast_if_small, materialize
 
 
 def on_day(flows: DataFrame, day: str) -> DataFrame:
@@ -32,10 +32,11 @@ def by_endpoint(flows: DataFrame) -> DataFrame:
 def extract_users(flows: DataFrame, users: DataFrame) -> DataFrame:
     """Each flow once for each listed endpoint; ``users`` has one column ``user``.
 
-    An equi-join on the exploded endpoint, not an OR condition.  A user list too long to
+    An equi-join on the exploded endpoint, not an OR condition.  The list is worked out once,
+    counted and joined as a copy.  A user list too long to
     broadcast is joined by shuffle, where adaptive execution splits a heavy user.
     """
-    listed = broadcast_if_small(users.select("user").distinct())
+    listed = broadcast_if_small(materialize(users.select("user").distinct()))
     return by_endpoint(flows).join(listed, "user", "left_semi")
 
 
@@ -64,6 +65,17 @@ def by_direction(flows: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"unknown direction {direction!r}")
 
 
+def with_directions(flows: DataFrame) -> DataFrame:
+    """Each flow once for every direction it belongs to, in one scan: ``direction`` outgoing, incoming, all."""
+    whole = F.lit(True)
+    for name in flows.columns:
+        whole = whole & F.col(f"`{name}`").isNotNull()
+    marks = F.array(
+        F.when(c.internal(F.col("sa"), cfg.INTERNAL_NET), "outgoing"), F.when(c.internal(F.col("da"), cfg.INTERNAL_NET), "incoming"),
+        F.when(whole, "all"))
+    return flows.withColumn("direction", F.explode(F.filter(marks, lambda m: m.isNotNull())))
+
+
 def by_protocol(flows: DataFrame, pr: str) -> DataFrame:
     return flows.filter(F.col("pr") == pr)
 

@@ -25,13 +25,13 @@ def protocol_value_counts(flows: DataFrame) -> DataFrame:
     return flows.groupBy("dataset", code).agg(F.count("*").alias("flows"))
 
 
-def system_port_top(flows: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` commonest system destination ports per dataset and protocol, with their share.
+def system_port_top(flows: DataFrame, n: int = 10, by: tuple = ("dataset", "pr")) -> DataFrame:
+    """The ``n`` commonest system destination ports per dataset and protocol (or other ``by``), with their share.
 
-    The windows run over counts, at most 1,024 per dataset and protocol.
+    The windows run over counts, at most 1,024 per group.
     """
-    counts = by_port_class(flows, "system").groupBy("dataset", "pr", "dp").agg(F.count("*").alias("flows"))
-    group = Window.partitionBy("dataset", "pr")
+    counts = by_port_class(flows, "system").groupBy(*by, "dp").agg(F.count("*").alias("flows"))
+    group = Window.partitionBy(*by)
     return (
         counts.withColumn("share", F.col("flows") / F.sum("flows").over(group))
         .withColumn("rank", F.row_number().over(group.orderBy(F.desc("flows"), F.asc("dp"))))
@@ -39,37 +39,41 @@ def system_port_top(flows: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def system_port_hist(flows: DataFrame, bins: int = 1024) -> DataFrame:
-    """Equal-width histogram of system destination ports over their own range."""
-    ports = by_port_class(flows, "system").select("dataset", F.col("dp").cast("double").alias("dp"))
-    return histograms(ports, ["dp"], bins, closed="left")
+def system_port_hist(flows: DataFrame, bins: int = 1024, by: tuple = ("dataset",)) -> DataFrame:
+    """Equal-width histogram of system destination ports, every group of ``by`` over its own range."""
+    ports = by_port_class(flows, "system").select(F.struct(*by).alias("dataset"), F.col("dp").cast("double").alias("dp"))
+    hist = histograms(ports, ["dp"], bins, closed="left")
+    return hist.withColumnRenamed("dataset", "_group").select("_group.*", "column", "lo", "hi", "bin", "n")
 
 
-def user_port_hist(flows: DataFrame) -> DataFrame:
+def user_port_hist(flows: DataFrame, by: tuple = ("dataset", "pr")) -> DataFrame:
     """Share of user destination ports in bars of 6000 ports from 1024 on, zeros kept.
 
     The bars are fixed, so they are counted side by side in one scan and turned to rows.
     """
     starts = range(cfg.FIRST_USER_PORT, cfg.PORT_MAX + 1, cfg.USER_PORT_BAR)
     port = F.col("dp")
-    wide = by_port_class(flows, "user").groupBy("dataset", "pr").agg(
+    wide = by_port_class(flows, "user").groupBy(*by).agg(
         F.count("*").alias("total"),
         *[F.count_if((port >= s) & (port < s + cfg.USER_PORT_BAR)).alias(f"n{s}") for s in starts],
     )
     stack = ", ".join(f"{s}, n{s} / total" for s in starts)
-    return wide.selectExpr("dataset", "pr", f"stack({len(starts)}, {stack}) AS (port, share)")
+    return wide.selectExpr(*by, f"stack({len(starts)}, {stack}) AS (port, share)")
 
 
-def side_by_side(table: DataFrame, index: str, values: list[str], columns: list[tuple[str, str]]) -> DataFrame:
+def side_by_side(
+    table: DataFrame, index: str, values: list[str], columns: list[tuple], by: tuple = ("dataset", "pr")
+) -> DataFrame:
     """Port tables of all datasets next to each other: one row per ``index``.
 
-    ``columns`` lists the (dataset, protocol) pairs, which bounds the width.
+    ``columns`` lists the groups of ``by`` that are shown, which bounds the width.
     """
-    chosen = [
-        F.max(F.when((F.col("dataset") == d) & (F.col("pr") == p), F.col(v))).alias(f"{d}_{p}_{v}")
-        for d, p in columns
-        for v in values
-    ]
+    chosen = []
+    for group in columns:
+        here = F.lit(True)
+        for name, value in zip(by, group, strict=True):
+            here = here & (F.col(name) == value)
+        chosen += [F.max(F.when(here, F.col(v))).alias("_".join([*group, v])) for v in values]
     return table.groupBy(index).agg(*chosen)
 
 

@@ -131,16 +131,34 @@ def write_windows(spark, sf_dir):
     )
 
 
+#: Of each stored report, what names a row and the values in it that are compared.
+REPORT_VALUES = {
+    "scale": ([], ["byt_min", "pkt_min", "byt_ln_max", "pkt_ln_max"]),
+    "protocol": ([], ["tcp", "udp", "other"]),
+    "system_ports": (["pr", "rank"], ["dp", "flows", "share"]),
+    "user_ports": (["pr", "port"], ["share"]),
+    "rules": (["rule"], ["true_count", "total"]),
+    "divergence": (["column"], ["js", "kl_forward", "kl_reverse"]),
+    "user_stats": (["ip"], ["number_of_rows", "incoming_num", "outgoing_num", "user_type"]),
+    "ip_occurrence": (["ip"], ["value", "rank"]),
+    "ip_volume": (["ip"], ["value", "rank"]),
+}
+
+
 def write_reports(spark, sf_dir):
-    path = workflows.evaluate(_datasets(spark, sf_dir), REAL)
-    value = {
-        "scale": "byt_min", "protocol": "tcp", "system_ports": "flows", "user_ports": "share", "rules": "total",
-        "user_stats": "number_of_rows", "ip_occurrence": "value", "ip_volume": "value",
-    }
-    chosen = F.coalesce(*[F.when(F.col("report") == r, F.get_json_object("row", f"$.{v}")) for r, v in value.items()])
-    return sinks.read_reports(spark, path).groupBy(
-        "report", "run", F.get_json_object("row", "$.dataset").alias("dataset")
-    ).agg(F.count("*").alias("rows"), F.round(F.sum(chosen.cast("double")), 4).alias("total"))
+    """The values of all stored reports, read back: one row per report, dataset, row and value."""
+    stored = sinks.read_reports(spark, workflows.evaluate(_datasets(spark, sf_dir), REAL))
+
+    def of(name):
+        return F.get_json_object("row", f"$.{name}")
+
+    parts = []
+    for report, (names, values) in REPORT_VALUES.items():
+        pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), of(v).cast("double").alias("value")) for v in values]))
+        parts.append(stored.filter(F.col("report") == report).select(
+            "report", "run", of("dataset").alias("dataset"), F.concat_ws("|", *[of(n) for n in names]).alias("item"), pairs.alias("v")))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.select("report", "run", "dataset", "item", "v.name", F.round("v.value", 6).alias("value"))
 
 
 def recover_user_list(spark, sf_dir):
@@ -253,6 +271,26 @@ def user_ports_side_by_side(spark, sf_dir):
     return marginals.side_by_side(bars, "port", ["share"], PORT_TABLES)
 
 
+DIRECTIONS = ("outgoing", "incoming", "all")
+DIRECTED_TABLES = [(d, p, w) for d in (REAL, GENERATED) for p in ("TCP", "UDP") for w in DIRECTIONS]
+DIRECTED = ("dataset", "pr", "direction")
+
+
+def _directed(spark, sf_dir):
+    return filters.with_directions(_datasets(spark, sf_dir))
+
+
+def system_ports_by_direction(spark, sf_dir):
+    top = marginals.system_port_top(_directed(spark, sf_dir), by=DIRECTED).withColumn("share", F.round("share", 9))
+    return marginals.side_by_side(
+        top.withColumn("port", F.col("dp").cast("double")), "rank", ["port", "share"], DIRECTED_TABLES, DIRECTED)
+
+
+def user_ports_by_direction(spark, sf_dir):
+    bars = marginals.user_port_hist(_directed(spark, sf_dir), by=DIRECTED).withColumn("share", F.round("share", 9))
+    return marginals.side_by_side(bars, "port", ["share"], DIRECTED_TABLES, DIRECTED)
+
+
 # --- aggregations -----------------------------------------------------------
 
 def endpoint_occurrences(spark, sf_dir):
@@ -301,6 +339,19 @@ def system_port_hist(spark, sf_dir):
     return marginals.system_port_hist(_datasets(spark, sf_dir)).select("dataset", "bin", "n")
 
 
+def directed_system_port_top(spark, sf_dir):
+    return marginals.system_port_top(_directed(spark, sf_dir), by=DIRECTED).withColumn("share", F.round("share", 9))
+
+
+def directed_system_port_hist(spark, sf_dir):
+    hist = marginals.system_port_hist(_directed(spark, sf_dir), by=DIRECTED)
+    return hist.select(*DIRECTED, "bin", "n")
+
+
+def directed_user_port_hist(spark, sf_dir):
+    return marginals.user_port_hist(_directed(spark, sf_dir), by=DIRECTED).withColumn("share", F.round("share", 9))
+
+
 def user_port_hist(spark, sf_dir):
     return marginals.user_port_hist(_datasets(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
@@ -720,7 +771,8 @@ DETERMINISTIC = [
     on_day, touches_internal, extract_users, extract_user, by_direction, by_protocol, by_port_class,
     external_endpoints, drop_invalid, metric_columns,
     flows_of_listed_users, still_present, aligned_histograms, system_ports_side_by_side,
-    user_ports_side_by_side,
+    user_ports_side_by_side, system_ports_by_direction, user_ports_by_direction,
+    directed_system_port_top, directed_system_port_hist, directed_user_port_hist,
     endpoint_occurrences, outgoing_num, incoming_num, user_type, user_type_counts, user_stats,
     user_stats_of_day, protocol_share, protocol_value_counts, system_port_top, system_port_hist,
     user_port_hist, ip_occurrence_curve, ip_volume_curve, ip_occurrence_by_dataset, ip_volume_by_dataset,

@@ -273,6 +273,44 @@ RULE_ROWS = "verdicts AS (" + " UNION ALL ".join(
     f"SELECT dataset, '{name}' AS rule, CAST(({sql}) AS INTEGER) AS verdict FROM d" for name, sql in RULES.items()
 ) + ")"
 
+
+
+def _reports() -> str:
+    """Every value of every report, one row each."""
+    sizes = {f"{n}_{kind}": f"{value.format(n)}" for n in ("byt", "pkt") for kind, value in (("min", "min({})::DOUBLE"), ("ln_max", "ln(max({}))"))}
+    shares = {"tcp": "pr = 'TCP'", "udp": "pr = 'UDP'", "other": "pr NOT IN ('TCP', 'UDP')"}
+    curve = ("SELECT dataset, ip, value, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, ip) AS rank FROM ("
+             "SELECT dataset, ip, {} AS value FROM sets WHERE ip NOT LIKE '42.219%' GROUP BY dataset, ip)")
+    kinds = ("CASE WHEN incoming_num > 0 AND outgoing_num > 0 THEN 0 WHEN outgoing_num > 0 THEN 1 WHEN incoming_num > 0 THEN 2 ELSE 3 END")
+    tables = {
+        "scale": ("", {n: n for n in sizes}, "SELECT dataset, " + ", ".join(f"{v} AS {n}" for n, v in sizes.items()) + " FROM d GROUP BY dataset"),
+        "protocol": ("", {n: n for n in shares}, "SELECT dataset, " + ", ".join(f"avg(CAST({v} AS INTEGER)) AS {n}" for n, v in shares.items()) + " FROM d GROUP BY dataset"),
+        "system_ports": ("pr || '|' || rank", {n: n for n in ("dp", "flows", "share")}, TOP_PORTS.split("AS (", 1)[1].rsplit(")", 1)[0].replace("round(share, 9)", "share")),
+        "user_ports": ("pr || '|' || port", {"share": "share"}, "SELECT * FROM bars"),
+        "rules": ("rule", {n: n for n in ("true_count", "total")},
+                  "SELECT dataset, rule, coalesce(sum(verdict), 0) AS true_count, count(verdict) AS total FROM verdicts GROUP BY dataset, rule"),
+        "divergence": ("col", {n: n for n in ("js", "kl_forward", "kl_reverse")}, _score_select()),
+        "user_stats": ("ip", {n: n for n in ("number_of_rows", "incoming_num", "outgoing_num", "user_type")},
+                       f"SELECT *, {kinds} AS user_type FROM (SELECT dataset, ip, count(*) AS number_of_rows, "
+                       "count(*) FILTER (WHERE sent = 0 AND peer NOT LIKE '42.219.%') AS incoming_num, "
+                       "count(*) FILTER (WHERE sent = 1 AND peer NOT LIKE '42.219.%') AS outgoing_num "
+                       "FROM sets WHERE ip LIKE '42.219.%' GROUP BY dataset, ip)"),
+        "ip_occurrence": ("ip", {n: n for n in ("value", "rank")}, curve.format("count(*)")),
+        "ip_volume": ("ip", {n: n for n in ("value", "rank")}, curve.format("sum(byt)")),
+    }
+    rows = [
+        f"SELECT '{report}' AS report, 'run' AS run, dataset, {item or repr('')} AS item, '{name}' AS name, "
+        f"round(CAST({value} AS DOUBLE), 6) AS value FROM ({table})"
+        for report, (item, values, table) in tables.items() for name, value in values.items()
+    ]
+    return _datasets(" UNION ALL ".join(rows), *HIST, SMOOTH, ALIGNED, BARS, RULE_ROWS, SETS)
+
+
+def _score_select() -> str:
+    return ("SELECT dataset, col, (sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2 AS js, "
+            "sum(p * ln(p / q)) AS kl_forward, sum(q * ln(q / p)) AS kl_reverse FROM aligned GROUP BY dataset, col")
+
+
 # --- series -----------------------------------------------------------------
 
 DW = f"PARTITION BY dataset {ORDER}"
@@ -342,22 +380,7 @@ ORACLES = {
     "write_windows": _with(
         'SELECT this_ip AS "user", count(*) AS windows, count(*) * 112 AS fields FROM flows GROUP BY this_ip'
     ),
-    "write_reports": _datasets(
-        "SELECT report, 'run' AS run, dataset, rows, round(CAST(total AS DOUBLE), 4) AS total FROM ("
-        "SELECT 'scale' AS report, dataset, 1 AS rows, min(byt)::DOUBLE AS total FROM d GROUP BY dataset "
-        "UNION ALL SELECT 'protocol', dataset, 1, avg(CAST(pr = 'TCP' AS INTEGER)) FROM d GROUP BY dataset "
-        "UNION ALL SELECT 'system_ports', dataset, count(*), sum(flows) FROM top GROUP BY dataset "
-        "UNION ALL SELECT 'user_ports', dataset, count(*), sum(share) FROM bars GROUP BY dataset "
-        "UNION ALL SELECT 'rules', dataset, count(DISTINCT rule), count(verdict) FROM verdicts GROUP BY dataset "
-        "UNION ALL SELECT 'divergence', dataset, 6, NULL FROM d WHERE dataset <> 'real' GROUP BY dataset "
-        "UNION ALL SELECT 'user_stats', dataset, count(DISTINCT ip), count(*) FROM sets "
-        "WHERE ip LIKE '42.219.%' GROUP BY dataset "
-        "UNION ALL SELECT 'ip_occurrence', dataset, count(DISTINCT ip), count(*) FROM sets "
-        "WHERE ip NOT LIKE '42.219%' GROUP BY dataset "
-        "UNION ALL SELECT 'ip_volume', dataset, count(DISTINCT ip), sum(byt) FROM sets "
-        "WHERE ip NOT LIKE '42.219%' GROUP BY dataset)",
-        TOP_PORTS, BARS, RULE_ROWS, SETS,
-    ),
+    "write_reports": _reports(),
     "recover_user_list": _with(
         'SELECT "user", count(*) AS rows FROM extracted GROUP BY "user"', _stats(), EXTRACTED
     ),
@@ -666,7 +689,30 @@ def _hash(seed: int, *key: str) -> str:
 
 
 ADDRESSES = ", ".join(f"'{a}'" for a in cfg.DEFAULT_LOCAL_ADDRESSES)
+DIRECTIONS = {"outgoing": "sa LIKE '42.219%'", "incoming": "da LIKE '42.219%'", "all": "TRUE"}
+# each dataset and direction as a dataset of its own
+DIRECTED = ("flows_of AS (" + " UNION ALL ".join(f"SELECT *, '{w}' AS direction FROM d WHERE {cond}" for w, cond in DIRECTIONS.items()) + "), "
+            "directed AS (SELECT * REPLACE (dataset || '|' || direction AS dataset) FROM flows_of)")
+PARTED = "split_part(dataset, '|', 1) AS dataset, split_part(dataset, '|', 2) AS direction"
+
+
+def _directed_table(index: str, table: str, values: dict[str, str]) -> str:
+    chosen = ", ".join(
+        f'max({v}) FILTER (WHERE dataset = \'{d}|{w}\' AND pr = \'{p}\') AS "{d}_{p}_{w}_{name}"'
+        for d in ("real", "generated") for p in ("TCP", "UDP") for w in DIRECTIONS for name, v in values.items())
+    return f"SELECT {index}, {chosen} FROM {table} GROUP BY {index}"
+
+
+_TOP, _BARS = (t.replace("FROM d ", "FROM directed ") for t in (TOP_PORTS, BARS))
 ORACLES |= {
+    "system_ports_by_direction": _datasets(_directed_table("rank", "top", {"port": "dp::DOUBLE", "share": "share"}), DIRECTED, _TOP),
+    "user_ports_by_direction": _datasets(_directed_table("port", "bars", {"share": "share"}), DIRECTED, _BARS),
+    "directed_system_port_top": _datasets(f"SELECT * EXCLUDE (dataset), {PARTED} FROM top", DIRECTED, _TOP),
+    "directed_user_port_hist": _datasets(f"SELECT * EXCLUDE (dataset), {PARTED} FROM bars", DIRECTED, _BARS),
+    "directed_system_port_hist": _datasets(
+        f"SELECT {PARTED}, split_part(dataset, '|', 3) AS pr, bin, n FROM hist", DIRECTED,
+        "system AS (SELECT dataset || '|' || pr AS dataset, dp::DOUBLE AS dp FROM directed WHERE dp < 1024)", _long(["dp"], "system"),
+        _left_closed(1024)),
     "sample_flows": _with(f"SELECT {FIELDS} FROM flows ORDER BY {_hash(131, 'flow_id')}, flow_id LIMIT 5000"),
     "pick_users": _with(
         f"SELECT ip, number_of_rows, position FROM middle ORDER BY {_hash(131, 'ip')}, ip LIMIT 100", _stats(), MIDDLE),
