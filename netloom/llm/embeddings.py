@@ -13,7 +13,7 @@ Equal vectors are compared once, with their count.  Where vectors are spread eve
 the bounds exclude little and the work is that of all pairs in blocks; no exact method does better there.
 
 Null, empty or zero vectors and those with null, NaN or infinite components link with nothing: no links,
-a component of their own id.  Vectors of different lengths do not link.  Rows with an equal vector link
+a component of their own id.  Components may be of any number type.  Vectors of different lengths do not link.  Rows with an equal vector link
 with each other, also when they repeat an id.  A null id never names a component that has another id.
 An empty table gives an empty one.  Other columns are not read.
 """
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm.common import components
 from netloom.session import materialize
@@ -65,6 +66,9 @@ def with_class(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding, cls``; ``cls`` is null where a vector cannot link."""
     e = F.col("embedding").cast("array<double>")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(e, lambda x: x != 0)
+    # single precision stays as it is; any other number is compared in double precision
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    vectors = vectors.select("vec_id", F.col("embedding") if single else e.alias("embedding"))
     return vectors.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)), F.md5(F.to_json("embedding").cast("binary"))).alias("cls"))
 
 
@@ -100,7 +104,8 @@ def _copies(dim: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarra
                     taken = batch.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(np.full(len(rows), home)), *taken.columns], ["cell", "home", "cls", "n", "embedding"])
 
-    return dim.select("cls", "n", "embedding").mapInArrow(copy, "cell int, home boolean, cls string, n long, embedding array<float>")
+    kind = dim.schema["embedding"].dataType.simpleString()
+    return dim.select("cls", "n", "embedding").mapInArrow(copy, f"cell int, home boolean, cls string, n long, embedding {kind}")
 
 
 def _block_pairs(copies: DataFrame) -> DataFrame:

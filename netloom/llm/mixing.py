@@ -33,8 +33,8 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and how often a source may be repeated at most.
 BUDGET, MAX_PASSES = 1.5, 2
 SEED = 17
-#: Words that the knapsack program fits at least; eight longest documents if that is more.
-WINDOW = 1 << 14
+#: Words that the knapsack program fits at least; eight longest of its documents if that is more; and at most.
+WINDOW, MAX_WINDOW = 1 << 14, 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -78,15 +78,25 @@ def fit_budget(lengths: list[int], counts: list[int], rest: int) -> list[int]:
         before, seen = seen * rest // total, seen + counts[i]
         taken[i] = seen * rest // total - before
     gap = rest - sum(lengths[i] * taken[i] for i in order)
+    short = [i for i in order if 8 * lengths[i] <= MAX_WINDOW]
+    if len(short) < len(order):
+        for i in order:
+            more = min(counts[i] - taken[i], gap // lengths[i])
+            taken[i], gap = taken[i] + more, gap - more * lengths[i]
+        order = short
+    if not order:
+        return taken
     # hand some back, of all lengths in turn, so that the program has documents to choose from
     window, more = max(WINDOW, 8 * lengths[order[0]]), True
+    if gap > window:
+        return taken  # all documents that fit are taken
     while more:
         more = False
         for i in order:
             if taken[i] and gap + lengths[i] <= window:
                 taken[i], gap, more = taken[i] - 1, gap + lengths[i], True
     # bounded knapsack: the bits of ``reach`` are the sums that can be made; each remembers the length that made it first
-    reach, full, last = 1, (1 << (gap + 1)) - 1, np.full(gap + 1, -1)
+    reach, full, last = 1, (1 << (gap + 1)) - 1, np.full(gap + 1, -1, np.int32)
     for i in order:
         size, front = lengths[i], reach
         for _ in range(min(counts[i] - taken[i], gap // size)):

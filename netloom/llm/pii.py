@@ -41,10 +41,12 @@ SURE, DOUBT = 0.8, 0.5
 SETTLED = 1e-6
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match never begins inside a run of digits nor gives part of one back: each run is read once
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DIGIT = re.compile("[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 EDGES = "\"'`.,;:!?()[]{}<>|*#$%&=/\\"
 
@@ -115,8 +117,10 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and other identifier-like words with their patterns."""
     found = [(s, e, True) for s, _, e in spans]
     k, top = 0, 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", text):
+    for m in WORD.finditer(text):
         raw = m[0]
+        if not DIGIT.search(raw):
+            continue
         start, end = m.start() + len(raw) - len(raw.lstrip(EDGES)), m.start() + len(raw.rstrip(EDGES))
         if end <= start or not _looks_like_id(text[start:end]):
             continue

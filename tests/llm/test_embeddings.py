@@ -33,13 +33,13 @@ def _world(seed, spread):
     return rows + [(n + i, v) for i, v in enumerate(odd)]
 
 
-@pytest.mark.parametrize(("per_pivot", "block", "spread"), [(20, 16, 0.25), (4096, 4096, 0.3), (3, 5, 0.6)])
-def test_equals_all_pairs(spark, monkeypatch, per_pivot, block, spread):
+@pytest.mark.parametrize(("per_pivot", "block", "spread", "kind"), [(20, 16, 0.25, "float"), (4096, 4096, 0.3, "float"), (3, 5, 0.6, "float"), (20, 16, 0.25, "double")])
+def test_equals_all_pairs(spark, monkeypatch, per_pivot, block, spread, kind):
     monkeypatch.setattr(embeddings, "PER_PIVOT", per_pivot)
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rows = _world(per_pivot, spread)
     n, component = _brute(rows)
-    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)).collect()
     assert len(out) == len(rows)
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out} == {i: (n[i], component[i], component[i] == i) for i in range(len(rows))}
     assert any(n)
@@ -51,6 +51,16 @@ def test_bounds_exclude_far_cells(spark):
     assert cell.tolist() == [0, 1, 2] and copy.tolist() == [[False] * 3, [False] * 3, [False, True, False]]
 
 
+def test_doubles_are_compared_as_doubles(spark):
+    # 0.9 lies between the two cosines; in single precision both components are the same number
+    near, far = 0.9 + 1e-12, 0.9 - 1e-12
+    rows = [(0, [1.0, 0.0])] + [(i, [c, np.sqrt(1 - c * c)]) for i, c in ((1, near), (2, far))]
+    out = embeddings.near_duplicates(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in out} == {0: 1, 1: 2, 2: 1}
+    whole = spark.createDataFrame([(0, [1, 0]), (1, [2, 0]), (2, [0, 5])], "vec_id long, embedding array<int>")
+    assert {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(whole).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.01]), (None, None), (7, [0.0, 1.0])]
     out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -53,6 +54,23 @@ def test_fit_budget_of_a_large_histogram_is_exact():
     assert sum(a * b for a, b in zip(taken, lengths)) == rest
 
 
+def test_fit_budget_with_very_long_documents_is_bounded():
+    rng = random.Random(5)
+    lengths = sorted({rng.randint(1, 300_000) for _ in range(9_999)} | {1_000_000})
+    counts = [rng.randint(1, 3) for _ in lengths]
+    for share in (0.001, 0.37, 0.999):
+        rest = int(sum(a * b for a, b in zip(lengths, counts)) * share)
+        start = time.monotonic()
+        taken = mixing.fit_budget(lengths, counts, rest)
+        assert time.monotonic() - start < 20
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        assert rest - sum(a * b for a, b in zip(lengths, taken)) == 0
+    # only long ones: as many as fit
+    assert mixing.fit_budget([400_000, 1_000_000], [3, 2], 1_900_000) == [2, 1]
+    assert mixing.fit_budget([1_000_000], [1], 999_999) == [0]
+    assert mixing.fit_budget([5, 1_000_000], [2, 1], 999_999) == [2, 0]
+
+
 def _docs(n=600):
     rng = random.Random(4)
     names = ["hot", "b", "Z", "é", None, "tiny"]

@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.llm import pii
@@ -139,3 +141,22 @@ def test_long_neighbours_and_gaps_are_read_whole():
     one, other = ["https://example.com/" + "part/" * 40 + end for end in ("x", "y")]
     near = _patterns(f"{one} {'k' * 150} AB-1234" + " " * 200 + other)["ab-1234".upper()]
     assert near == {f"{one} {'k' * 150} _", f"{one} * _", f"{'k' * 150} _", f"_ {other}", f"{'k' * 150} _ {other}"}
+
+
+@pytest.mark.parametrize("text", [
+    "字" * 1_000_000, "a" * 1_000_000, "7" * 1_000_000, "1." * 500_000, "1.2.3" * 200_000, "1 2-" * 250_000, "+1" + "(" * 1_000_000,
+    "a@" * 500_000, "@" * 1_000_000, "a1b2c3 " * 100_000, "x." * 500_000 + "@y",
+])
+def test_long_texts_take_linear_time(text):
+    start = time.monotonic()
+    spans = pii.base_spans(text)
+    pii.mentions(text, spans)
+    assert time.monotonic() - start < 30
+
+
+def test_ip_spans_are_those_of_the_plain_pattern():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(8)
+    for _ in range(3_000):
+        text = "".join(rng.choices("12 .9", weights=(4, 3, 1, 5, 2), k=rng.randint(0, 30)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
