@@ -93,8 +93,9 @@ def _position_sums(rows: DataFrame) -> DataFrame:
 def read_windows(spark, sf_dir):
     path = shared_path(spark, "windows")
     sinks.write_windows(_windows(spark, sf_dir), path)
+    sinks.export_windows(spark, path, f"{path}/text")
     width = len(cfg.ENCODED_COLUMNS)
-    return _position_sums(src.read_windows(spark, f"{path}/*", cfg.FLOW_WINDOW + 1, width))
+    return _position_sums(src.read_windows(spark, f"{path}/text", cfg.FLOW_WINDOW + 1, width))
 
 
 def _written_users(spark, sf_dir) -> str:
@@ -546,7 +547,7 @@ def shuffled_batches(spark, sf_dir):
     flows = _flows(spark, sf_dir).select("flow_id")
     mixes = [sampling.shuffled_batches(flows, 512, "flow_id", epoch=e) for e in (0, 1)]
     stay = mixes[0].join(mixes[1].withColumnRenamed("flow_id", "f"), (F.col("flow_id") == F.col("f")) & mixes[0]["batch"].eqNullSafe(mixes[1]["batch"]))
-    moved = (F.lit(2 * stay.count()) < F.lit(flows.count())).alias("remixed")
+    moved = (F.lit(stay.count()) < F.lit(flows.count())).alias("remixed")
     rows = [m.select(F.lit(e).alias("epoch"), "batch", "flow_id") for e, m in enumerate(mixes)]
     return rows[0].unionByName(rows[1]).groupBy("epoch", "batch").agg(
         F.count("*").alias("flows"), F.count_distinct("flow_id").alias("distinct_flows")).select("*", moved)
