@@ -20,7 +20,7 @@ HEADLINE = [
     "density_hist", "hist2d", "acf", "autocorrelation", "pearson", "mse_same_row", "mse_temporal",
     "inter_arrival", "encode_flows", "context_window", "prepare_windows", "cumulative_clock",
     "decode_flows", "sample_flows", "ordinal_encode", "write_user_flows", "mixture_nll",
-    "artificial_series", "flow_classifier", "streaming_user_stats", "streaming_rule_rates",
+    "shuffled_batches", "read_one_user", "flow_classifier", "streaming_user_stats", "streaming_rule_rates",
 ]
 
 
