@@ -76,6 +76,15 @@ def with_directions(flows: DataFrame) -> DataFrame:
     return flows.withColumn("direction", F.explode(F.filter(marks, lambda m: m.isNotNull())))
 
 
+def by_piece(flows: DataFrame, real: str) -> DataFrame:
+    """Every piece of a generated dataset as a dataset of its own, named ``dataset|piece``; the real one stays whole.
+
+    Scores, rule lines and marginals of the result are those of each piece.
+    """
+    piece = F.concat_ws("|", "dataset", F.col("piece").cast("string"))
+    return flows.withColumn("dataset", F.when(F.col("dataset") == real, F.col("dataset")).otherwise(piece)).drop("piece")
+
+
 def by_protocol(flows: DataFrame, pr: str) -> DataFrame:
     return flows.filter(F.col("pr") == pr)
 

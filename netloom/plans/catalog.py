@@ -446,6 +446,19 @@ def rule_report(spark, sf_dir):
     return rule_summary(_datasets(spark, sf_dir), "dataset").withColumn("share", F.round("share", 9))
 
 
+def _pieces(spark, sf_dir):
+    piece = F.pmod(F.floor(F.col("flow_id") / 2), F.lit(5))
+    return filters.by_piece(_datasets(spark, sf_dir).withColumn("piece", piece), REAL)
+
+
+def js_scorecard_by_piece(spark, sf_dir):
+    return divergence.js_scorecard(_pieces(spark, sf_dir), REAL).select("dataset", "column", _r("js", 9))
+
+
+def rule_report_by_piece(spark, sf_dir):
+    return rule_summary(_pieces(spark, sf_dir), "dataset").withColumn("share", F.round("share", 9))
+
+
 def _rule(rule: str):
     def verdicts(spark, sf_dir):
         flows = rule_verdicts(_flows(spark, sf_dir), "flow_id", rules=[rule])
@@ -779,7 +792,7 @@ DETERMINISTIC = [
     user_port_hist, ip_occurrence_curve, ip_volume_curve, ip_occurrence_by_dataset, ip_volume_by_dataset,
     user_stats_by_dataset, scale_check, histogram_cut,
     histogram_cut_shared, density_hist, hist2d, max_over_sets, laplace_smooth, plain_distribution,
-    js_divergence, kl_divergence, js_scorecard, js_scorecard_shared, rule_report,
+    js_divergence, kl_divergence, js_scorecard, js_scorecard_shared, rule_report, js_scorecard_by_piece, rule_report_by_piece,
     lag1, lead1, acf, autocorrelation, context_window, label_row, inter_arrival, middle_half,
     cumulative_clock,
     top20_users, ranked_destinations, sample_flows, sampled_ip_curve, pick_users, head_flows,
@@ -1060,10 +1073,14 @@ def flow_classifier(spark, sf_dir):
 
 
 def flow_confusion(spark, sf_dir):
+    """Cells of the table of actual and predicted classes: they add up to the rows of each class."""
     train, test = _task_rows(spark, sf_dir)
     inputs = ["sp", "dp", "td", "ln_byt", "ln_pkt"]
-    task = tasks.flow_classifier(train, test, inputs, "code", epochs=30)
-    return tasks.classification_table(task.predict(test), "code")
+    task = tasks.flow_classifier(train, test, inputs, "code", epochs=100)
+    table = tasks.classification_table(task.predict(test), "code")
+    return table.groupBy("actual").agg(
+        F.sum("rows").alias("rows"), F.every(F.col("predicted").isin(0, 1, 2)).alias("known"),
+        (F.count("*") == F.count_distinct("predicted")).alias("distinct_cells"))
 
 
 def flow_regressor(spark, sf_dir):

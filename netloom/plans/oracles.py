@@ -688,6 +688,13 @@ def _hash(seed: int, *key: str) -> str:
     return "substr(md5('" + str(seed) + "' || " + " || ".join(f"':' || {k}" for k in key) + "), 1, 15)"
 
 
+# each piece of the generated set as a dataset
+PIECES = "d AS (SELECT *, CASE WHEN flow_id % 2 = 0 THEN 'real' ELSE 'generated|' || (flow_id // 2 % 5) END AS dataset FROM flows)"
+ORACLES |= {
+    "js_scorecard_by_piece": ORACLES["js_scorecard"].replace(DATASETS, PIECES),
+    "rule_report_by_piece": ORACLES["rule_report"].replace(DATASETS, PIECES),
+}
+
 ADDRESSES = ", ".join(f"'{a}'" for a in cfg.DEFAULT_LOCAL_ADDRESSES)
 DIRECTIONS = {"outgoing": "sa LIKE '42.219%'", "incoming": "da LIKE '42.219%'", "all": "TRUE"}
 # each dataset and direction as a dataset of its own
@@ -803,6 +810,9 @@ ORACLES |= {
         "SELECT '42.219.1.1' AS seq_id, count(*) AS rows, count(*) AS steps, count(*) - 1 AS last_step, "
         "CAST(ceil(count(*) / 500) AS BIGINT) AS legs FROM flows"),
     "flow_regressor": _with("SELECT count(*) AS rows, TRUE AS near_mean FROM flows WHERE flow_id % 2 = 0"),
+    "flow_confusion": _datasets(
+        "SELECT CASE pr WHEN 'TCP' THEN 0 WHEN 'UDP' THEN 1 ELSE 2 END AS actual, count(*) AS rows, TRUE AS known, TRUE AS distinct_cells "
+        "FROM d WHERE dataset = 'real' GROUP BY 1"),
     # streaming
     "streaming_user_stats": _with(
         "SELECT ip, number_of_rows, incoming_num, outgoing_num, user_type FROM stats", _stats()
