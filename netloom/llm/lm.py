@@ -1,22 +1,24 @@
 """Scoring texts with a context-tree weighted byte model (operator 9).
 
-A text is its lower-cased words and one end.  Each token is coded as its bytes and a closing blank,
-the end as one line feed; the context of a byte is what stands before it in the token, at most
-``DEPTH`` bytes back (blanks before the start, so the context tree is whole).  Bytes are decomposed
+A text is its lower-cased words and one end, written as a running stream of bytes: each word and a blank,
+then a line feed.  The context of a byte is the ``depth`` bytes before it in that stream, across words
+(blanks before the start, so the context tree is whole).  Bytes are decomposed
 into eight binary decisions.  A node of the tree is (context, bits of the byte so far) with the counts
 of both bits; its Krichevsky-Trofimov estimate and the product of its children are mixed half and half
 at every depth.  After learning, a bit's probability is the path's mixture of the KT estimates at all
 depths with their posterior weights; its code length per byte is ``-log2``.
 
-Everything follows from counts, so Spark counts words, then (context, byte) pairs, then nodes, level by
-level from the deepest to the root (one aggregate each) and weights the paths from the root down (one join
-each).  A token's score is a sum over its bytes.  Words are looked up by a shuffle join, except for
-the ``COMMON`` most frequent ones, which go to every worker as a table of that bounded size: these are
-most of the running words, and the hot keys of the join.
+Everything follows from counts.  Tasks sort the packed (context, byte) pairs of their texts and pass on each
+pair once with its number; Spark sums these, then nodes, level by
+level from the deepest to the root (one aggregate each), and weights the paths from the root down (one join
+each).  A text's score is a sum over its pairs.  The most frequent pairs and words go to every worker as
+tables of bounded size (``COMMON_PAIRS``, ``COMMON``): these are most of the running text, and the hot keys
+of the join.  What is left of each text is counted and looked up by a shuffle join.
 
 Null text: empty, the end only.  Null ``doc_id``: taken as the empty text, whose checksum is 0, so held
 out.  Repeated rows are learned and scored each.  Empty table: empty result.  All texts held out: the
-untrained model, one bit per bit.  Words that were never learned stand in the tree with counts of 0.
+untrained model, one bit per bit.  Pairs that were never learned stand in the tree with counts of 0.
+Texts of any length are read in pieces of ``PIECE`` bytes, each with the context before it.
 """
 
 from __future__ import annotations
@@ -29,19 +31,21 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import log_gamma
-from netloom.session import broadcast_if_small, shared_path
+from netloom.session import shared_path
 
 #: Bytes of context; up to 7, with the byte itself, fit into a long.
-DEPTH = 5
-#: Words whose scores every worker keeps, and distinct words that a task counts before it passes them on.
-COMMON, COUNTED = 200_000, 400_000
-#: Pairs of context and byte up to which their scores are broadcast; more are shuffled.
-BROADCAST_PAIRS = 1_000_000
-BLANK, END = 0x20, 0x0A
+DEPTH = 6
+#: Words whose counts, and pairs whose scores, every worker keeps.
+COMMON, COMMON_PAIRS = 200_000, 2_000_000
+#: Distinct words and distinct pairs that a task counts before it passes them on.
+COUNTED, COUNTED_PAIRS = 400_000, 4_000_000
+#: Texts, and bytes of their stream, that a task looks at together.
+TEXTS, PIECE = 256, 2_000_000
 LN2 = math.log(2.0)
 
 
@@ -76,34 +80,70 @@ def count_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def _keys(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The packed (context, byte) of every byte of every word and its closing blank, and the bytes per word."""
+def _stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The streams of texts given as words, one behind the other with ``depth`` blanks before each, and where each one ends."""
     pad = b" " * depth
-    data = np.frombuffer(pad + b" ".join(w + pad for w in words), np.uint8) if words else np.zeros(0, np.uint8)
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    if not len(words):
-        return np.zeros(0, np.int64), sizes
-    # a word and its closing blank stand at ``depth + start``, where each word takes its size and ``depth`` blanks
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes) + depth
-    key = np.zeros(len(inner), np.int64)
-    data = data.astype(np.int64)
-    for back in range(depth, -1, -1):
-        key = (key << 8) | data[inner - back]
-    return key, sizes
-
-
-def pair_counts(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """``key, n``: training occurrences of each packed (context, byte), also of those with none."""
+    parts = [pad + b"".join(w + b" " for w in ws) + b"\n" for ws in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+
+
+def _keys(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed (context, byte) of every byte of the texts, and the number of its text, in pieces."""
+    data, ends = _stream(texts, depth)
+    starts = np.append(0, ends)[:-1]
+    for low in range(0, len(data), PIECE):
+        high = min(low + PIECE, len(data))
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.clip(ends, low, high) - np.clip(starts, low, high))
+        at = np.flatnonzero(np.arange(low, high) - starts[owner] >= depth)
+        owner = owner[at]
+        at += low
+        key = np.zeros(len(at), np.int64)
+        for back in range(depth, -1, -1):
+            key <<= 8
+            key |= data[at - back]
+        yield key, owner
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of the counts of each."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """``key, n``: training occurrences of each packed (context, byte) of any text, also of those with none."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = _keys(batch.column(0).to_pylist(), depth)
-            distinct, at = np.unique(keys, return_inverse=True)
-            n = np.zeros(len(distinct), np.int64)
-            np.add.at(n, at, np.repeat(batch.column(1).to_numpy(), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["key", "n"])
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def merged() -> pa.RecordBatch:
+            key, n = _summed(keys, counts)
+            keys[:], counts[:] = [key], [n]
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    return vocabulary.select("word", "c").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
+                held = np.array(part.column(1).to_pylist(), bool)
+                for key, owner in _keys([tokens(text) for text in part.column(0).to_pylist()], depth):
+                    out = held[owner]
+                    for mine, learned in ((key[~out], True), (key[out], False)):
+                        distinct, n = np.unique(mine, return_counts=True)
+                        keys.append(distinct)
+                        counts.append(n if learned else np.zeros(len(n), np.int64))
+                    if sum(map(len, keys)) > COUNTED_PAIRS:
+                        found = merged()
+                        if found.num_rows > COUNTED_PAIRS // 2:
+                            yield found
+                            keys.clear()
+                            counts.clear()
+        if keys:
+            yield merged()
+
+    parts = docs.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(count, "key long, n long")
+    return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _bits(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -125,7 +165,7 @@ def _one() -> Column:
 
 
 def pair_scores(pairs: DataFrame, depth: int) -> DataFrame:
-    """``key, bits``: the log2 probability of each pair's byte in its context under the weighted tree."""
+    """``key, n, bits``: the log2 probability of each pair's byte in its context under the weighted tree."""
     ones, zeros = F.sum(F.col("n") * F.col("bit")), F.sum(F.col("n") * (1 - F.col("bit")))
     level = _bits(pairs, "n").groupBy("ctx", "node").agg(zeros.alias("n0"), ones.alias("n1"))
     level = _written(level.withColumn("kt", _log_kt()).withColumn("pw", F.col("kt")), "level")
@@ -147,24 +187,67 @@ def pair_scores(pairs: DataFrame, depth: int) -> DataFrame:
         child = levels.pop().withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)))
         path = child.join(parent, ["up", "node"]).drop("up")
     leaf = path.select("ctx", "node", (F.col("got") + F.col("left") * _one()).alias("one"))
-    scored = _bits(pairs).join(leaf, ["ctx", "node"])
+    scored = _bits(pairs, "n").join(leaf, ["ctx", "node"])
     bit = F.log2(F.when(F.col("bit") == 1, F.col("one")).otherwise(1.0 - F.col("one")))
-    return scored.groupBy("key").agg(F.sum(bit).alias("bits"))
+    return scored.groupBy("key").agg(F.max("n").alias("n"), F.sum(bit).alias("bits"))
 
 
-def word_scores(vocabulary: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
-    """``word, c, n, bits`` for every word."""
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                keys, sizes = _keys(part.column(0).to_pylist(), depth)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(keys))], ["word", "c", "n", "spelt"])
+def _most_frequent(df: DataFrame, limit: int) -> pa.Table:
+    """Rows of the greatest ``n``, at most ``limit``: all whose ``n`` reaches a bound that eighths of octaves decide."""
+    octave = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8)).otherwise(-1)
+    sizes = sorted(df.groupBy(octave.alias("o")).count().collect(), reverse=True)  # a row per eighth of an octave
+    bound, room = math.inf, limit
+    for o, rows in sizes:
+        if rows > room:
+            break
+        bound, room = o, room - rows
+    return df.filter(octave >= F.lit(float(bound))).toArrow()
 
-    spelt = vocabulary.select("word", "c", "n").mapInArrow(spell, "word binary, c long, n long, spelt array<long>")
-    letters = spelt.select("word", "c", "n", F.explode("spelt").alias("key"))
-    joined = letters.join(broadcast_if_small(scores, BROADCAST_PAIRS), "key")
-    return joined.groupBy("word").agg(F.max("c").alias("c"), F.max("n").alias("n"), F.sum("bits").alias("bits"))
+
+def _shared(spark, table: pa.Table) -> Broadcast:
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, table.schema) as stream:
+        stream.write_table(table)
+    return spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
+
+
+class _Places:
+    """Where each of some distinct keys, none negative, stands: an open-addressed table, looked up array by array."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            won = self.keys[slot] == keys[left]
+            self.place[slot[won]] = left[won]
+            left, slot = left[~won], self._next(slot[~won])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # Fibonacci hashing: 2^64 over the golden ratio
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that are not there."""
+        slot = self._slot(keys)
+        here = self.keys[slot]
+        out = self.place[slot]
+        left = np.flatnonzero((here != keys) & (here >= 0))
+        out[here < 0] = -1
+        while len(left):
+            slot[left] = self._next(slot[left])
+            here = self.keys[slot[left]]
+            met = here == keys[left]
+            out[left] = np.where(met, self.place[slot[left]], -1)
+            left = left[~met & (here >= 0)]
+        return out
 
 
 def _log10_base(c: int | np.ndarray, total: int, distinct: int):
@@ -179,32 +262,24 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     trained = docs.filter(~held_out(F.col("doc_id"))).count()
     sums = vocabulary.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = (sums["c"] or 0) + trained, (sums["v"] or 0) + (trained > 0)
-    blanks = sum(BLANK << 8 * i for i in range(depth))
-    end = spark.createDataFrame([((blanks << 8) | END, trained)], "key long, n long")
-    scores = _written(pair_scores(_written(pair_counts(vocabulary, depth).union(end), "pairs"), depth), "scores")
-    end_bits = scores.filter(F.col("key") == ((blanks << 8) | END)).first()["bits"]
-    words = _written(word_scores(vocabulary, scores, depth), "words")
-    common = words.orderBy(F.desc("n"), "word").select("word", "c", "bits").limit(COMMON).toArrow()  # at most COMMON short rows
-    packed = pa.BufferOutputStream()
-    with pa.ipc.new_stream(packed, common.schema) as stream:
-        stream.write_table(common)
-    table = spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
-    del common, packed
-    rows = _written(_with_common(docs, table, total, distinct), "rows")
-    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times")
-    part = rare.join(words, "word").select(
-        "rid", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))).alias("base"), (F.col("times") * F.col("bits")).alias("bits"))
-    part = part.groupBy("rid").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("bits").alias("rare_bits"))
+    scores = _written(pair_scores(_written(pair_counts(docs, depth), "pairs"), depth), "scores")
+    words = _shared(spark, _most_frequent(vocabulary, COMMON).select(["word", "c"]))
+    pairs = _shared(spark, _most_frequent(scores, COMMON_PAIRS).select(["key", "bits"]))
+    rows = _written(_with_common(docs, depth, words, pairs, total, distinct), "rows")
+    base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
+    rare = rows.select("rid", F.explode("rare_words").alias("r")).select("rid", "r.word", "r.times").join(vocabulary, "word").groupBy("rid").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * base).alias("rare_base"))
+    left = rows.select("rid", F.explode("rare_pairs").alias("r")).select("rid", "r.key", "r.times").join(scores, "key").groupBy("rid").agg(
+        F.sum(F.col("times") * F.col("bits")).alias("rare_bits"))
     zero = F.lit(0.0)
-    out = rows.drop("rare").join(part, "rid", "left")
-    bits = F.col("bits") + F.coalesce("rare_bits", zero) + F.lit(end_bits)
+    out = rows.drop("rare_words", "rare_pairs").join(rare, "rid", "left").join(left, "rid", "left")
+    bits = F.col("bits") + F.coalesce("rare_bits", zero)
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), (F.col("n_tokens") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(trained > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero) + F.lit(float(_log10_base(trained, total, distinct)))).alias("base_score"),
-        (bits * F.lit(math.log10(2.0))).alias("score"), (-bits / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+        (bits * F.lit(math.log10(2.0))).alias("score"), (-bits / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -214,30 +289,55 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _with_common(docs: DataFrame, table, total: int, distinct: int) -> DataFrame:
-    """A row number per document, the sums over its common words, and its other words with their counts."""
+def _lists(owner: np.ndarray, key: np.ndarray, texts: int) -> pa.ListArray:
+    """Per text its distinct keys and how often each occurs."""
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    offsets = np.searchsorted(owner[first], np.arange(texts + 1))
+    items = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times.astype(np.int32))], ["key", "times"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+
+def _with_common(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast, total: int, distinct: int) -> DataFrame:
+    """A row number per document, the sums over its common words and pairs, and its other words and pairs with their counts."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = pa.ipc.open_stream(table.value).read_all()
+        common = pa.ipc.open_stream(words.value).read_all()
         place = {w: i for i, w in enumerate(common["word"].to_pylist())}
-        counts, bits = common["c"].to_numpy().astype(np.int64), np.append(common["bits"].to_numpy(), 0.0)
+        counts = common["c"].to_numpy().astype(np.int64)
         known = np.append(counts > 0, False)
         base = np.append(_log10_base(counts, total, distinct), 0.0)
+        scored = pa.ipc.open_stream(pairs.value).read_all()
+        places, pair_bits = _Places(scored["key"].to_numpy()), np.append(scored["bits"].to_numpy(), 0.0)
         rid = TaskContext.get().partitionId() << 33
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                out: dict[str, list] = {k: [] for k in ("rid", "n_tokens", "n_bytes", "known", "base", "bits", "rare")}
-                for text in part.column(1).to_pylist():
-                    ws = tokens(text)
+            for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
+                texts = [tokens(text) for text in part.column(1).to_pylist()]
+                bits, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+                rare_keys, rare_owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for key, owner in _keys(texts, depth):
+                    at = places.of(key)
+                    bits += np.bincount(owner, pair_bits[at], len(texts))
+                    n_bytes += np.bincount(owner, minlength=len(texts))
+                    rare_keys.append(key[at < 0])
+                    rare_owners.append(owner[at < 0])
+                out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "rare")}
+                for ws in texts:
                     at = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
                     rare = Counter([ws[i] for i in np.flatnonzero(at < 0)])
-                    values = (rid, len(ws), sum(map(len, ws)) + len(ws), int(known[at].sum()), float(base[at].sum()), float(bits[at].sum()),
-                              [{"word": w, "times": n} for w, n in rare.items()])
+                    values = (len(ws), int(known[at].sum()), float(base[at].sum()), [{"word": w, "times": n} for w, n in rare.items()])
                     for column, value in zip(out.values(), values, strict=True):
                         column.append(value)
-                    rid += 1
-                arrays = [pa.array(v, rare_type) if k == "rare" else pa.array(v, pa.float64() if k in ("base", "bits") else pa.int64()) for k, v in out.items()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *out])
+                arrays = {
+                    "doc_id": part.column(0), "rid": pa.array(np.arange(rid, rid + len(texts))), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
+                    "n_bytes": pa.array(n_bytes), "known": pa.array(out["known"], pa.int64()), "base": pa.array(out["base"], pa.float64()),
+                    "bits": pa.array(bits), "rare_words": pa.array(out["rare"], rare_type),
+                    "rare_pairs": _lists(np.concatenate(rare_owners), np.concatenate(rare_keys), len(texts))}
+                rid += len(texts)
+                yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(score, f"doc_id {kind}, rid long, n_tokens long, n_bytes long, known long, base double, bits double, rare array<struct<word:binary,times:int>>")
+    return docs.mapInArrow(score, f"doc_id {kind}, rid long, n_tokens long, n_bytes long, known long, base double, bits double, "
+                           "rare_words array<struct<word:binary,times:int>>, rare_pairs array<struct<key:long,times:int>>")

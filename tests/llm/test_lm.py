@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from netloom.llm import lm
@@ -16,18 +17,19 @@ def _tokens(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
 
 
-def _tree_scores(train: Counter, tokens, depth):
-    """log2 probabilities by the textbook recursion: dictionaries of nodes, no shared tables."""
-    def symbols(token):
-        data = b" " * depth + token + (b"" if token == b"\n" else b" ")
-        return [(data[i - depth:i], data[i]) for i in range(depth, len(data))]
+def _symbols(text, depth):
+    data = b" " * depth + b"".join(t + b" " for t in _tokens(text)) + b"\n"
+    return [(data[i - depth:i], data[i]) for i in range(depth, len(data))]
 
+
+def _tree_scores(train, texts, depth):
+    """log2 probabilities of texts by the textbook recursion: dictionaries of nodes, no shared tables."""
     counts = Counter()
-    for token, n in train.items():
-        for ctx, byte in symbols(token):
-            for d in range(depth + 1):
-                for k in range(8):
-                    counts[ctx[depth - d:], (byte + 256) >> (8 - k), byte >> (7 - k) & 1] += n
+    for pair, n in Counter(p for text in train for p in _symbols(text, depth)).items():
+        ctx, byte = pair
+        for d in range(depth + 1):
+            for k in range(8):
+                counts[ctx[depth - d:], (byte + 256) >> (8 - k), byte >> (7 - k) & 1] += n
     children = {}
     for ctx, node, _ in counts:
         if ctx:
@@ -58,29 +60,60 @@ def _tree_scores(train: Counter, tokens, depth):
         w = math.exp(kt(part, node) - math.log(2) - pw(part, node))
         return w * own + (1 - w) * predict(ctx, d + 1, node, bit)
 
-    return {t: sum(math.log2(predict(ctx, 0, (byte + 256) >> (8 - k), byte >> (7 - k) & 1)) for ctx, byte in symbols(t) for k in range(8)) for t in tokens}
+    made = {}
+
+    def bits(ctx, byte):
+        if (ctx, byte) not in made:
+            made[ctx, byte] = sum(math.log2(predict(ctx, 0, (byte + 256) >> (8 - k), byte >> (7 - k) & 1)) for k in range(8))
+        return made[ctx, byte]
+
+    return [sum(bits(*p) for p in _symbols(t, depth)) for t in texts]
 
 
-@pytest.mark.parametrize(("depth", "common", "pairs"), [(3, 5, 0), (7, 200_000, 10**6)])
-def test_equals_textbook_tree(spark, monkeypatch, depth, common, pairs):
+@pytest.mark.parametrize(("depth", "common", "pairs", "piece"), [(3, 5, 40, 100), (7, 200_000, 2_000_000, 2_000_000), (6, 0, 0, 7)])
+def test_equals_textbook_tree(spark, monkeypatch, depth, common, pairs, piece):
     monkeypatch.setattr(lm, "COMMON", common)
-    monkeypatch.setattr(lm, "BROADCAST_PAIRS", pairs)
+    monkeypatch.setattr(lm, "COMMON_PAIRS", pairs)
+    monkeypatch.setattr(lm, "PIECE", piece)
     rng = random.Random(depth)
     vocab = ["the", "The", "then", "é", "ouvre", "a", "ab", "abc", "thé", "x" * 30]
-    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(30)] + [None, "", "\t\n", "unseen" + "q" * 9, "the " * 3000]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(30)] + [None, "", "\t\n", "unseen" + "q" * 9, "the " * 300]
     ids = [*range(len(texts) - 1), None]
     out = {r["doc_id"]: r for r in lm.lm_scores(documents(spark, list(zip(ids, texts))), depth).collect()}
     assert len(out) == len(texts)
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i in ids}
     train = Counter(t for i, x in zip(ids, texts) if not held[i] for t in [*_tokens(x), b"\n"])
     total, distinct = sum(train.values()), len(train)
-    every = {t for x in texts for t in _tokens(x)} | {b"\n"}
-    bits = _tree_scores(train, every, depth)
-    for i, x in zip(ids, texts):
+    bits = _tree_scores([x for i, x in zip(ids, texts) if not held[i]], texts, depth)
+    for i, x, b in zip(ids, texts, bits, strict=True):
         ts, r = [*_tokens(x), b"\n"], out[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ts), sum(t in train for t in ts), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[t] + .1) / (total + .1 * (distinct + 1))) for t in ts), rel=1e-9)
-        assert r["score"] == pytest.approx(math.log10(2) * sum(bits[t] for t in ts), rel=1e-7)
+        assert r["score"] == pytest.approx(math.log10(2) * b, rel=1e-7)
+        assert r["bits_per_byte"] == pytest.approx(-b / len(_symbols(x, depth)), rel=1e-7)
+
+
+def test_word_order_counts(spark):
+    learned = [(i, "red fox ran home") for i in range(100, 140)]
+    rows = [*learned, (1, "red fox ran home"), (2, "home ran fox red")]
+    out = {r["doc_id"]: r for r in lm.lm_scores(documents(spark, rows)).collect()}
+    assert out[1]["base_score"] == pytest.approx(out[2]["base_score"]) and out[1]["score"] > out[2]["score"] + 1
+
+
+def test_counts_are_passed_on_in_parts(spark, monkeypatch):
+    rows = documents(spark, [(i, " ".join(f"w{j * 7 % 53}" for j in range(i, i + 90))) for i in range(60)])
+    whole = {r["key"]: r["n"] for r in lm.pair_counts(rows, 4).collect()}
+    for name, value in (("COUNTED_PAIRS", 50), ("TEXTS", 3), ("PIECE", 64)):
+        monkeypatch.setattr(lm, name, value)
+    assert {r["key"]: r["n"] for r in lm.pair_counts(rows, 4).collect()} == whole
+
+
+def test_places_find_all_keys_and_no_others():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 62, 5000))
+    places = lm._Places(keys[::2])
+    assert places.of(keys).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(keys))]
+    assert lm._Places(keys[:0]).of(keys).max() == -1
 
 
 def test_probabilities_of_bytes_sum_to_one(spark):
