@@ -9,9 +9,10 @@ at every depth.  After learning, a bit's probability is the path's mixture of th
 depths with their posterior weights; its code length per byte is ``-log2``.
 
 Everything follows from counts.  Tasks sort the packed (context, byte) pairs of their texts and pass on each
-pair once with its number; Spark sums these, then nodes, level by
-level from the deepest to the root (one aggregate each), and weights the paths from the root down (one join
-each).  A text's score is a sum over its pairs.  The most frequent pairs and words go to every worker as
+pair once with its number; Spark sums these.  All pairs whose contexts end alike but for the ``LOCAL`` oldest
+bytes are a subtree of their own: the lowest levels of many subtrees are worked out together, group by group.
+The levels above are summed one by one up to the root (one aggregate each) and the paths weighted from the
+root down (one join each), then within the groups again.  A text's score is a sum over its pairs.  The most frequent pairs and words go to every worker as
 tables of bounded size (``COMMON_PAIRS``, ``COMMON``): these are most of the running text, and the hot keys
 of the join.  What is left of each text is counted and looked up by a shuffle join.
 
@@ -44,6 +45,8 @@ DEPTH = 6
 COMMON, COMMON_PAIRS = 200_000, 2_000_000
 #: Distinct words and distinct pairs that a task counts before it passes them on.
 COUNTED, COUNTED_PAIRS = 400_000, 4_000_000
+#: Levels that are worked out within a subtree (one of at most ``256 ** (LOCAL + 1)`` pairs), and pairs of a group of subtrees on average.
+LOCAL, GROUP_PAIRS = 2, 65_536
 #: Texts, and bytes of their stream, that a task looks at together.
 TEXTS, PIECE = 256, 2_000_000
 LN2 = math.log(2.0)
@@ -146,14 +149,6 @@ def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _bits(pairs: DataFrame, *columns: str) -> DataFrame:
-    """Each pair's eight decisions: ``ctx, node`` (the bits before, behind a leading 1) and ``bit``."""
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    df = pairs.select("key", *columns, F.shiftrightunsigned("key", 8).alias("ctx"), byte.alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    node = F.expr("cast(shiftright(byte + 256, 8 - k) as int)")
-    return df.select("key", *columns, "ctx", node.alias("node"), F.expr("cast(shiftright(byte, 7 - k) & 1 as int)").alias("bit"))
-
-
 def _log_kt() -> Column:
     a, b = F.col("n0").cast("double"), F.col("n1").cast("double")
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - F.lit(math.log(math.pi))
@@ -164,32 +159,97 @@ def _one() -> Column:
     return (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
 
 
+def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The logarithms of the KT estimates of whole sequences, by Stirling's series at x + 8."""
+    def log_gamma_of(x: np.ndarray) -> np.ndarray:
+        z = x + 8.0
+        i = 1.0 / z
+        series = i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i * (1 / 1680 - i * i / 1188))))
+        steps = sum(np.log(x + k) for k in range(8))
+        return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
+
+    return log_gamma_of(n0 + 0.5) + log_gamma_of(n1 + 0.5) - log_gamma_of(n0 + n1 + 1.0) - math.log(math.pi)
+
+
+class _Subtrees:
+    """The nodes of whole subtrees, level by level from the deepest to depth ``top``.
+
+    A node is its context, shifted by 8, and the bits before its decision behind a leading 1: a mask
+    takes away the oldest byte.  ``levels`` holds nodes, counts and weighted logarithms; ``above`` where each
+    node's parent stands in the next level; ``nodes`` the eight nodes of each pair in the deepest.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, top: int):
+        key = key.view(np.uint64)
+        byte = (key & np.uint64(255)).astype(np.int64)[:, None]
+        k = np.arange(8)
+        self.bit = byte >> (7 - k) & 1
+        node, at = np.unique((key >> np.uint64(8) << np.uint64(8))[:, None] | ((byte + 256) >> (8 - k)).astype(np.uint64), return_inverse=True)
+        self.nodes = at.reshape(-1, 8)
+        n1 = np.bincount(self.nodes.ravel(), (n[:, None] * self.bit).ravel(), len(node))
+        n0 = np.bincount(self.nodes.ravel(), (n[:, None] * (1 - self.bit)).ravel(), len(node))
+        self.levels, self.above = [(node, n0, n1, _kt(n0, n1))], []
+        for d in range(depth - 1, top - 1, -1):
+            below = self.levels[-1]
+            node, at = np.unique(below[0] & np.uint64((1 << 8 * d + 8) - 1), return_inverse=True)
+            n0, n1, product = (np.bincount(at, x, len(node)) for x in below[1:])
+            self.levels.append((node, n0, n1, np.logaddexp(_kt(n0, n1), product) - LN2))
+            self.above.append(at)
+
+    def bits(self, got: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Each pair's log2 probability, from what the levels above the top give and leave to its nodes."""
+        for (_, n0, n1, weighted), at in zip(self.levels[:0:-1], self.above[::-1], strict=True):
+            share = left * np.minimum(1.0, np.exp(_kt(n0, n1) - LN2 - weighted))
+            got, left = (got + share * (n1 + 0.5) / (n0 + n1 + 1.0))[at], (left - share)[at]
+        _, n0, n1, _ = self.levels[0]
+        one = (got + left * (n1 + 0.5) / (n0 + n1 + 1.0))[self.nodes]
+        return np.log2(np.where(self.bit == 1, one, 1.0 - one)).sum(axis=1)
+
+
 def pair_scores(pairs: DataFrame, depth: int) -> DataFrame:
     """``key, n, bits``: the log2 probability of each pair's byte in its context under the weighted tree."""
-    ones, zeros = F.sum(F.col("n") * F.col("bit")), F.sum(F.col("n") * (1 - F.col("bit")))
-    level = _bits(pairs, "n").groupBy("ctx", "node").agg(zeros.alias("n0"), ones.alias("n1"))
-    level = _written(level.withColumn("kt", _log_kt()).withColumn("pw", F.col("kt")), "level")
+    top = max(0, depth - LOCAL)
+    groups = pairs.count() // GROUP_PAIRS + 1
+
+    def group(ctx: Column) -> Column:
+        return F.pmod(F.xxhash64(ctx), F.lit(groups)).alias("g")
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, n = table["key"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(key)
+        return key[order], n[order]
+
+    def nodes(table: pa.Table) -> pa.Table:
+        node, n0, n1, weighted = _Subtrees(*arrays(table), depth, top).levels[-1]
+        return pa.table({"ctx": (node >> np.uint64(8)).astype(np.int64), "node": (node & np.uint64(255)).astype(np.int32),
+                         "n0": n0.astype(np.int64), "n1": n1.astype(np.int64), "pw": weighted})
+
+    def scored(table: pa.Table, path: pa.Table) -> pa.Table:
+        key, n = arrays(table)
+        order = np.lexsort((path["node"].to_numpy(), path["ctx"].to_numpy()))  # as the top's nodes stand
+        bits = _Subtrees(key, n, depth, top).bits(path["got"].to_numpy()[order], path["left"].to_numpy()[order])
+        return pa.table({"key": key, "n": n, "bits": bits})
+
+    tail = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
+    grouped = pairs.select(group(tail), "key", "n").groupBy("g")
+    level = _written(grouped.applyInArrow(nodes, "ctx long, node int, n0 long, n1 long, pw double"), "level")
     levels = [level]
-    for d in range(depth - 1, -1, -1):
+    for d in range(top - 1, -1, -1):
         up = level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        up = up.withColumn("kt", _log_kt())
-        top = F.greatest("kt", "below")
-        mixed = top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("below") - top)) - F.lit(LN2)
-        level = _written(up.withColumn("pw", mixed).drop("below"), "level")
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below")).withColumn("kt", _log_kt())
+        larger = F.greatest("kt", "below")
+        mixed = larger + F.log(F.exp(F.col("kt") - larger) + F.exp(F.col("below") - larger)) - F.lit(LN2)
+        level = _written(up.select("ctx", "node", "n0", "n1", mixed.alias("pw")), "level")
         levels.append(level)
     # from the root: ``got`` is what the shallower depths give to a 1, ``left`` the weight that goes on
-    weight = F.exp(F.col("kt") - F.lit(LN2) - F.col("pw"))
+    share = F.col("left") * F.least(F.lit(1.0), F.exp(_log_kt() - F.lit(LN2) - F.col("pw")))
     path = levels.pop().withColumn("got", F.lit(0.0)).withColumn("left", F.lit(1.0))
-    for d in range(1, depth + 1):
-        share = F.col("left") * F.least(F.lit(1.0), weight)
+    for d in range(1, top + 1):
         parent = path.select(F.col("ctx").alias("up"), "node", (F.col("got") + share * _one()).alias("got"), (F.col("left") - share).alias("left"))
         child = levels.pop().withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)))
         path = child.join(parent, ["up", "node"]).drop("up")
-    leaf = path.select("ctx", "node", (F.col("got") + F.col("left") * _one()).alias("one"))
-    scored = _bits(pairs, "n").join(leaf, ["ctx", "node"])
-    bit = F.log2(F.when(F.col("bit") == 1, F.col("one")).otherwise(1.0 - F.col("one")))
-    return scored.groupBy("key").agg(F.max("n").alias("n"), F.sum(bit).alias("bits"))
+    paths = path.select(group(F.col("ctx")), "ctx", "node", "got", "left").groupBy("g")
+    return grouped.cogroup(paths).applyInArrow(scored, "key long, n long, bits double")
 
 
 def _most_frequent(df: DataFrame, limit: int) -> pa.Table:
@@ -212,23 +272,23 @@ def _shared(spark, table: pa.Table) -> Broadcast:
 
 
 class _Places:
-    """Where each of some distinct keys, none negative, stands: an open-addressed table, looked up array by array."""
+    """Where each of some distinct keys stands: an open-addressed table, looked up array by array."""
 
     def __init__(self, keys: np.ndarray):
         self.bits = max(4, (2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.keys = np.zeros(1 << self.bits, np.int64)
         self.place = np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(keys))
+        left = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(left):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[left[free]]
-            won = self.keys[slot] == keys[left]
-            self.place[slot[won]] = left[won]
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]
+            won = self.place[slot] == left
+            self.keys[slot[won]] = keys[left[won]]
             left, slot = left[~won], self._next(slot[~won])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # Fibonacci hashing: 2^64 over the golden ratio
+        mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # Fibonacci hashing: 2^64 over the golden ratio
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _next(self, slot: np.ndarray) -> np.ndarray:
@@ -237,16 +297,12 @@ class _Places:
     def of(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, -1 for those that are not there."""
         slot = self._slot(keys)
-        here = self.keys[slot]
         out = self.place[slot]
-        left = np.flatnonzero((here != keys) & (here >= 0))
-        out[here < 0] = -1
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
         while len(left):
             slot[left] = self._next(slot[left])
-            here = self.keys[slot[left]]
-            met = here == keys[left]
-            out[left] = np.where(met, self.place[slot[left]], -1)
-            left = left[~met & (here >= 0)]
+            out[left] = self.place[slot[left]]
+            left = left[(out[left] >= 0) & (self.keys[slot[left]] != keys[left])]
         return out
 
 

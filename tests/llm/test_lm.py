@@ -70,11 +70,12 @@ def _tree_scores(train, texts, depth):
     return [sum(bits(*p) for p in _symbols(t, depth)) for t in texts]
 
 
-@pytest.mark.parametrize(("depth", "common", "pairs", "piece"), [(3, 5, 40, 100), (7, 200_000, 2_000_000, 2_000_000), (6, 0, 0, 7)])
+@pytest.mark.parametrize(("depth", "common", "pairs", "piece"), [(3, 5, 40, 100), (7, 200_000, 2_000_000, 2_000_000), (6, 0, 0, 7), (1, 9, 9, 50)])
 def test_equals_textbook_tree(spark, monkeypatch, depth, common, pairs, piece):
     monkeypatch.setattr(lm, "COMMON", common)
     monkeypatch.setattr(lm, "COMMON_PAIRS", pairs)
     monkeypatch.setattr(lm, "PIECE", piece)
+    monkeypatch.setattr(lm, "GROUP_PAIRS", max(50, pairs))
     rng = random.Random(depth)
     vocab = ["the", "The", "then", "é", "ouvre", "a", "ab", "abc", "thé", "x" * 30]
     texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 30))) for _ in range(30)] + [None, "", "\t\n", "unseen" + "q" * 9, "the " * 300]
@@ -110,7 +111,7 @@ def test_counts_are_passed_on_in_parts(spark, monkeypatch):
 
 def test_places_find_all_keys_and_no_others():
     rng = np.random.default_rng(5)
-    keys = np.unique(rng.integers(0, 1 << 62, 5000))
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
     places = lm._Places(keys[::2])
     assert places.of(keys).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(keys))]
     assert lm._Places(keys[:0]).of(keys).max() == -1
