@@ -48,7 +48,7 @@ COUNTED, COUNTED_PAIRS = 400_000, 4_000_000
 #: Levels that are worked out within a subtree (one of at most ``256 ** (LOCAL + 1)`` pairs), and pairs of a group of subtrees on average.
 LOCAL, GROUP_PAIRS = 2, 65_536
 #: Texts, and bytes of their stream, that a task looks at together.
-TEXTS, PIECE = 256, 2_000_000
+TEXTS, PIECE = 1024, 2_000_000
 LN2 = math.log(2.0)
 
 
@@ -84,27 +84,22 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The streams of texts given as words, one behind the other with ``depth`` blanks before each, and where each one ends."""
+    """The streams of texts given as words, one behind the other with ``depth`` blanks before each, and where each one starts."""
     pad = b" " * depth
-    parts = [pad + b"".join(w + b" " for w in ws) + b"\n" for ws in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    parts = [pad + b" ".join([*ws, b"\n"]) for ws in texts]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return np.frombuffer(b"".join(parts), np.uint8), np.append(0, ends)
 
 
-def _keys(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The packed (context, byte) of every byte of the texts, and the number of its text, in pieces."""
-    data, ends = _stream(texts, depth)
-    starts = np.append(0, ends)[:-1]
+def _keys(data: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Where a piece of the stream begins, the packed (context, byte) of its bytes, and which of these are blanks before a text."""
+    room = np.append(np.zeros(7, np.uint8), data)  # eight bytes can be read up to each place
+    last_eight = np.ndarray(len(data), ">u8", room.data, strides=(1,))
+    before = (starts[:-1, None] + np.arange(depth)).ravel()
     for low in range(0, len(data), PIECE):
-        high = min(low + PIECE, len(data))
-        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.clip(ends, low, high) - np.clip(starts, low, high))
-        at = np.flatnonzero(np.arange(low, high) - starts[owner] >= depth)
-        owner = owner[at]
-        at += low
-        key = np.zeros(len(at), np.int64)
-        for back in range(depth, -1, -1):
-            key <<= 8
-            key |= data[at - back]
-        yield key, owner
+        key = (last_eight[low:low + PIECE] & np.uint64((1 << 8 * depth + 8) - 1)).astype(np.uint64).view(np.int64)
+        pads = before[slice(*np.searchsorted(before, [low, low + len(key)]))] - low
+        yield low, key, pads
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,19 +124,19 @@ def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
 
         for batch in batches:
             for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
-                held = np.array(part.column(1).to_pylist(), bool)
-                for key, owner in _keys([tokens(text) for text in part.column(0).to_pylist()], depth):
-                    out = held[owner]
-                    for mine, learned in ((key[~out], True), (key[out], False)):
-                        distinct, n = np.unique(mine, return_counts=True)
+                held = part.column(1).to_pylist()
+                texts = [tokens(text) for text in part.column(0).to_pylist()]
+                for out in (False, True):
+                    for _, key, pads in _keys(*_stream([ws for ws, h in zip(texts, held, strict=True) if h == out], depth), depth):
+                        distinct, n = np.unique(np.delete(key, pads), return_counts=True)
                         keys.append(distinct)
-                        counts.append(n if learned else np.zeros(len(n), np.int64))
-                    if sum(map(len, keys)) > COUNTED_PAIRS:
-                        found = merged()
-                        if found.num_rows > COUNTED_PAIRS // 2:
-                            yield found
-                            keys.clear()
-                            counts.clear()
+                        counts.append(np.zeros(len(n), np.int64) if out else n)
+                        if sum(map(len, keys)) > COUNTED_PAIRS:
+                            found = merged()
+                            if found.num_rows > COUNTED_PAIRS // 2:
+                                yield found
+                                keys.clear()
+                                counts.clear()
         if keys:
             yield merged()
 
@@ -367,29 +362,39 @@ def _with_common(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast
         scored = pa.ipc.open_stream(pairs.value).read_all()
         places, pair_bits = _Places(scored["key"].to_numpy()), np.append(scored["bits"].to_numpy(), 0.0)
         rid = TaskContext.get().partitionId() << 33
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         for batch in batches:
             for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
                 texts = [tokens(text) for text in part.column(1).to_pylist()]
-                bits, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                rare_keys, rare_owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-                for key, owner in _keys(texts, depth):
+                data, starts = _stream(texts, depth)
+                bits, rare_keys, rare_owners = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for low, key, pads in _keys(data, starts, depth):
                     at = places.of(key)
-                    bits += np.bincount(owner, pair_bits[at], len(texts))
-                    n_bytes += np.bincount(owner, minlength=len(texts))
-                    rare_keys.append(key[at < 0])
-                    rare_owners.append(owner[at < 0])
-                out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "rare")}
+                    found = pair_bits[at]
+                    found[pads] = 0.0
+                    first, end = np.searchsorted(starts, [low, low + len(key)])
+                    cuts = np.append([0] if first == len(starts) or starts[first] > low else [], starts[first:end] - low).astype(np.int64)
+                    whose = np.arange(end - len(cuts), end)
+                    bits[whose] += np.add.reduceat(found, cuts)
+                    at[pads] = 0
+                    rare = np.flatnonzero(at < 0)
+                    rare_keys.append(key[rare])
+                    rare_owners.append(np.searchsorted(starts, rare + low, "right") - 1)
+                sums: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "rare")}
+                rare_words: list[bytes] = []
+                rare_times: list[int] = []
                 for ws in texts:
                     at = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
-                    rare = Counter([ws[i] for i in np.flatnonzero(at < 0)])
-                    values = (len(ws), int(known[at].sum()), float(base[at].sum()), [{"word": w, "times": n} for w, n in rare.items()])
-                    for column, value in zip(out.values(), values, strict=True):
+                    rare_of = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
+                    rare_words += rare_of.keys()
+                    rare_times += rare_of.values()
+                    for column, value in zip(sums.values(), (len(ws), known[at].sum(), base[at].sum(), len(rare_of)), strict=True):
                         column.append(value)
+                items = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32())], ["word", "times"])
+                offsets = pa.array(np.append(0, np.cumsum(sums["rare"], dtype=np.int64)), pa.int32())
                 arrays = {
-                    "doc_id": part.column(0), "rid": pa.array(np.arange(rid, rid + len(texts))), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                    "n_bytes": pa.array(n_bytes), "known": pa.array(out["known"], pa.int64()), "base": pa.array(out["base"], pa.float64()),
-                    "bits": pa.array(bits), "rare_words": pa.array(out["rare"], rare_type),
+                    "doc_id": part.column(0), "rid": pa.array(np.arange(rid, rid + len(texts))), "n_tokens": pa.array(sums["n_tokens"], pa.int64()),
+                    "n_bytes": pa.array(np.diff(starts) - depth), "known": pa.array(sums["known"], pa.int64()), "base": pa.array(sums["base"], pa.float64()),
+                    "bits": pa.array(bits), "rare_words": pa.ListArray.from_arrays(offsets, items),
                     "rare_pairs": _lists(np.concatenate(rare_owners), np.concatenate(rare_keys), len(texts))}
                 rid += len(texts)
                 yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
