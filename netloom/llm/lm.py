@@ -141,7 +141,8 @@ def pair_counts(docs: DataFrame, depth: int) -> DataFrame:
             yield merged()
 
     parts = docs.select("text", held_out(F.col("doc_id")).alias("held")).mapInArrow(count, "key long, n long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+    # tasks have summed their pairs already: dealt first, they are not summed once more before the shuffle
+    return parts.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _log_kt() -> Column:
@@ -266,38 +267,46 @@ def _shared(spark, table: pa.Table) -> Broadcast:
     return spark.sparkContext.broadcast(packed.getvalue().to_pybytes())
 
 
-class _Places:
-    """Where each of some distinct keys stands: an open-addressed table, looked up array by array."""
+class _Values:
+    """The value of each of some distinct keys: an open-addressed table with key and value side by side, read array by array."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, (2 * len(keys)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.int64)
-        self.place = np.full(1 << self.bits, -1, np.int32)
+        place = np.full(1 << self.bits, -1, np.int32)
         left = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(left):
-            free = self.place[slot] < 0
-            self.place[slot[free]] = left[free]
-            won = self.place[slot] == left
-            self.keys[slot[won]] = keys[left[won]]
-            left, slot = left[~won], self._next(slot[~won])
+            free = place[slot] < 0
+            place[slot[free]] = left[free]
+            lost = place[slot] != left
+            left, slot = left[lost], self._next(slot[lost])
+        table = np.zeros((len(place), 2), np.int64)
+        table[:, 0] = np.append(keys, 0)[place]
+        table[:, 1] = np.append(values, np.nan).view(np.int64)[place]  # not a number: a free slot
+        self.table = table.view(np.complex128)[:, 0]  # sixteen bytes that are fetched as one element
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # Fibonacci hashing: 2^64 over the golden ratio
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (mixed >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _next(self, slot: np.ndarray) -> np.ndarray:
         return (slot + 1) & ((1 << self.bits) - 1)
 
+    def _fetch(self, slot: np.ndarray) -> np.ndarray:
+        return self.table.take(slot).view(np.int64).reshape(-1, 2)
+
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 for those that are not there."""
+        """The value of each key, not a number for those that are not there."""
         slot = self._slot(keys)
-        out = self.place[slot]
-        left = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        here = self._fetch(slot)
+        out = here[:, 1].copy().view(np.float64)
+        left = np.flatnonzero(here[:, 0] != keys)
+        left = left[~np.isnan(out[left])]
         while len(left):
             slot[left] = self._next(slot[left])
-            out[left] = self.place[slot[left]]
-            left = left[(out[left] >= 0) & (self.keys[slot[left]] != keys[left])]
+            here = self._fetch(slot[left])
+            out[left] = here[:, 1].copy().view(np.float64)
+            left = left[(here[:, 0] != keys[left]) & ~np.isnan(out[left])]
         return out
 
 
@@ -360,7 +369,7 @@ def _with_common(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast
         known = np.append(counts > 0, False)
         base = np.append(_log10_base(counts, total, distinct), 0.0)
         scored = pa.ipc.open_stream(pairs.value).read_all()
-        places, pair_bits = _Places(scored["key"].to_numpy()), np.append(scored["bits"].to_numpy(), 0.0)
+        values = _Values(scored["key"].to_numpy(), scored["bits"].to_numpy())
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
@@ -368,15 +377,14 @@ def _with_common(docs: DataFrame, depth: int, words: Broadcast, pairs: Broadcast
                 data, starts = _stream(texts, depth)
                 bits, rare_keys, rare_owners = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for low, key, pads in _keys(data, starts, depth):
-                    at = places.of(key)
-                    found = pair_bits[at]
+                    found = values.of(key)
                     found[pads] = 0.0
+                    rare = np.flatnonzero(np.isnan(found))
+                    found[rare] = 0.0
                     first, end = np.searchsorted(starts, [low, low + len(key)])
                     cuts = np.append([0] if first == len(starts) or starts[first] > low else [], starts[first:end] - low).astype(np.int64)
                     whose = np.arange(end - len(cuts), end)
                     bits[whose] += np.add.reduceat(found, cuts)
-                    at[pads] = 0
-                    rare = np.flatnonzero(at < 0)
                     rare_keys.append(key[rare])
                     rare_owners.append(np.searchsorted(starts, rare + low, "right") - 1)
                 sums: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "rare")}

@@ -109,12 +109,12 @@ def test_counts_are_passed_on_in_parts(spark, monkeypatch):
     assert {r["key"]: r["n"] for r in lm.pair_counts(rows, 4).collect()} == whole
 
 
-def test_places_find_all_keys_and_no_others():
+def test_values_of_all_keys_and_no_others():
     rng = np.random.default_rng(5)
-    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
-    places = lm._Places(keys[::2])
-    assert places.of(keys).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(keys))]
-    assert lm._Places(keys[:0]).of(keys).max() == -1
+    keys = np.append(0, np.unique(rng.integers(-(1 << 62), 1 << 62, 5000)))
+    values = lm._Values(keys[::2], np.arange(len(keys))[::2] / 4)
+    assert [None if np.isnan(v) else v for v in values.of(keys)] == [i / 4 if i % 2 == 0 else None for i in range(len(keys))]
+    assert np.isnan(lm._Values(keys[1:1], np.zeros(0)).of(keys)).all()
 
 
 def test_probabilities_of_bytes_sum_to_one(spark):
