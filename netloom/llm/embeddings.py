@@ -1,13 +1,20 @@
 """Near-duplicate embeddings by an exact metric range join (operator 8).
 
-On unit vectors cosine >= c is Euclidean distance <= e with e = sqrt(2 - 2c).  Pivots (a bounded sample
-of the vectors, see ``PIVOTS``) split space into cells: a vector's home is its nearest pivot.  If u of
-cell j lies within e of v of cell i, the triangle inequality gives d(v, p_j) <= d(v, p_i) + 2e, and,
-with the least and greatest distance of j's members to p_j, low_j - e <= d(v, p_j) <= high_j + e.
-Vectors that meet both are copied to cell j, for j < i only, as each pair needs one meeting place.  A
-cell is compared in blocks of at most ``BLOCK`` rows, each pair of blocks by itself, so a cell with any
-share of the table is many independent tasks.  A task passes on the number of links of each vector and a
-spanning forest of its links, not the pairs.
+On unit vectors cosine >= c is Euclidean distance <= e with e = sqrt(2 - 2c).  Pivots, drawn by hash from a
+cell's own vectors, divide it: a vector's home is its nearest pivot.  If u of part j lies within e of v with
+nearest pivot i, the triangle inequality gives d(v, p_j) <= d(v, p_i) + 2e, and, with the least and greatest
+distance of j's members to p_j, low_j - e <= d(v, p_j) <= high_j + e; and v is at most e behind the plane half
+way between p_i and p_j, on whose other side u lies.  Vectors that meet all of them are guests of j, members for
+j < i only, as each pair needs one meeting place; guests of the divided cell meet all members, so they become
+guests of every part in reach.
+
+Division starts with one cell per length of vectors and goes on, level by level, in every cell of more than
+``PER_PIVOT`` members as long as it pays: on one hashed chunk of the cell the parts together must need at most
+``PAYS`` of its comparisons.  So cells stay small however many vectors there are, and no cell is divided in vain.
+Each level deals rows in chunks of at most about ``BLOCK`` to tasks, together with their cell's pivots.  What is left
+is compared in blocks of at most ``BLOCK`` rows, each pair of blocks by itself, so a cell with any share of the
+table is many independent tasks.  A task passes on the number of links of each vector and a spanning forest
+of its links, not the pairs.
 
 Equal vectors are compared once, with their count.  Where vectors are spread evenly in many dimensions
 the bounds exclude little and the work is that of all pairs in blocks; no exact method does better there.
@@ -21,11 +28,10 @@ An empty table gives an empty one.  Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +39,14 @@ from netloom.llm.common import components
 from netloom.session import materialize
 
 COSINE = 0.9
-#: One pivot for so many distinct vectors, and at most so many pivots, taken by smallest hash.
-PER_PIVOT, PIVOTS = 4096, 512
+#: One pivot for so many members of a cell, at most so many for one division, and the share of comparisons it may keep.
+PER_PIVOT, FAN, PAYS = 1024, 2048, 0.8
 #: Rows of a block, and rows of it that are multiplied at a time.
 BLOCK, STRIP = 4096, 512
 #: Room for rounding in the bounds; the cosine itself is compared as it is.
 SLACK = 1e-6
 
 
-
 def _units(arrays: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     """The vectors of a list column as rows of unit length, in double precision."""
     arrays = arrays.combine_chunks() if isinstance(arrays, pa.ChunkedArray) else arrays
@@ -72,47 +77,130 @@ def with_class(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding", F.when(F.coalesce(sound, F.lit(False)), F.md5(F.to_json("embedding").cast("binary"))).alias("cls"))
 
 
-def _homes(dim: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``cell, low, high, n``: the span of members' distances to each pivot, and their number."""
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d = _distances(_units(batch.column(0)), pivots)
-                cell = d.argmin(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(d[np.arange(len(d)), cell])], ["cell", "d"])
-
-    return dim.select("embedding").mapInArrow(home, "cell int, d double").groupBy("cell").agg(
-        F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
-
-
-def _reached(d: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's home, and which other cells of lower number it must be copied to."""
+def _reached(d: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float, home: np.ndarray | None = None,
+             apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest pivot, and the parts whose guest it is: of lower number for members, any for guests."""
     cell = d.argmin(axis=1)
     own = d[np.arange(len(d)), cell][:, None]
-    copy = (d <= own + 2 * radius) & (d <= high + radius) & (d >= low - radius) & (np.arange(d.shape[1]) < cell[:, None])
-    return cell, copy
-
-
-def _copies(dim: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, radius: float) -> DataFrame:
-    """``cell, home, cls, n, embedding`` for every cell in which a vector takes part."""
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                cell, also = _reached(_distances(_units(batch.column(2)), pivots), low, high, radius)
-                row, other = np.nonzero(also)
-                for rows, cells, home in ((np.arange(len(cell)), cell, True), (row, other, False)):
-                    taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(np.full(len(rows), home)), *taken.columns], ["cell", "home", "cls", "n", "embedding"])
-
-    kind = dim.schema["embedding"].dataType.simpleString()
-    return dim.select("cls", "n", "embedding").mapInArrow(copy, f"cell int, home boolean, cls string, n long, embedding {kind}")
+    copy = (d <= own + 2 * radius) & (d <= high + radius) & (d >= low - radius)
+    if apart is not None:
+        copy &= d * d - own * own <= 2 * radius * apart[cell] + SLACK
+    lower = np.arange(d.shape[1]) < cell[:, None]
+    return cell, copy & (lower if home is None else lower | ~home[:, None])
+
+
+def _spans(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Least and greatest distance of a chunk's members to the pivot of their part."""
+    if not rows.num_rows or not pivots.num_rows:
+        return pa.table({"cell": pa.array([], pa.string()), "part": pa.array([], pa.int32()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+    at, units = _units(pivots["pivots"][0].values), _units(rows["embedding"])
+    nearest = [(d.argmin(axis=1), d.min(axis=1)) for d in (_distances(units[i:i + STRIP], at) for i in range(0, len(units), STRIP))]
+    part, own = (np.concatenate(n) for n in zip(*nearest, strict=True))
+    low, high = np.full(len(at), math.inf), np.full(len(at), -math.inf)
+    np.minimum.at(low, part, own)
+    np.maximum.at(high, part, own)
+    held = np.unique(part)
+    cell = pa.array([pivots["cell"][0].as_py()] * len(held), pa.string())
+    return pa.table({"cell": cell, "part": pa.array(held.astype(np.int32)), "low": low[held], "high": high[held]})
+
+
+def _placed(rows: pa.Table, pivots: pa.Table, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a chunk's rows in parts: row number, part, and whether it is a member there."""
+    at = _units(pivots["pivots"][0].values)
+    low, high = np.full(len(at), math.inf), np.full(len(at), -math.inf)
+    for s in pivots["spans"][0].as_py():  # one per part
+        low[s["part"]], high[s["part"]] = s["low"], s["high"]
+    apart, home, units = _distances(at, at), rows["home"].to_numpy(), _units(rows["embedding"])
+    places = []
+    for i in range(0, len(units), STRIP):
+        member = home[i:i + STRIP]
+        cell, guest = _reached(_distances(units[i:i + STRIP], at), low, high, radius, member, apart)
+        own, (row, part) = np.flatnonzero(member), np.nonzero(guest)
+        places.append((np.append(own, row) + i, np.append(cell[own], part), np.arange(len(own) + len(row)) < len(own)))
+    return tuple(np.concatenate(p) for p in zip(*places, strict=True))
+
+
+def _gain(radius: float):
+    """The comparisons of a chunk's rows now, and after the division."""
+    def gain(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        now = then = 0.0
+        if rows.num_rows and pivots.num_rows:
+            _, part, member = _placed(rows, pivots, radius)
+            members, guests = np.bincount(part[member], minlength=FAN), np.bincount(part[~member], minlength=FAN)
+            n = float(member.sum())
+            now, then = n * (n / 2 + rows.num_rows - n), float((members * (members / 2 + guests)).sum())
+        return pa.table({"cell": pa.array([t["cell"][0].as_py() for t in (rows, pivots) if t.num_rows][:1], pa.string()), "now": [now], "then": [then]})
+
+    return gain
+
+
+def _divide(radius: float):
+    """A chunk's rows in every part in which they take part."""
+    def divide(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        kept = rows.select(["cls", "n", "embedding"])
+        if not rows.num_rows or not pivots.num_rows:
+            kept, part, member, cell = kept.slice(0, 0), [], np.zeros(0, bool), ""
+        else:
+            row, part, member = _placed(rows, pivots, radius)
+            kept, cell = kept.take(pa.array(row)), pivots["cell"][0].as_py()
+        names = pa.array([f"{cell}/{j}" for j in part], pa.string())
+        return pa.table([names, pa.array(member), *kept.columns], ["cell", "home", "cls", "n", "embedding"])
+
+    return divide
+
+
+def _together(rows: DataFrame, pivots: DataFrame):
+    """Each chunk's rows beside the pivots of its cell."""
+    # aliases, as both sides stem from the same columns
+    side = pivots.select(*[F.col(c).alias(c) for c in pivots.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    return rows.groupBy("cell", "chunk").cogroup(side.groupBy("cell", "chunk"))
+
+
+def _division(rows: DataFrame, radius: float, level: int) -> tuple[DataFrame, DataFrame] | None:
+    """The cells whose division pays, and the rows of their parts; None if there are none."""
+    sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("total"))
+    large = materialize(sizes.filter(F.col("homes") > PER_PIVOT).select(
+        "cell", "homes", F.least(F.lit(FAN), F.ceil(F.col("homes") / PER_PIVOT)).alias("k"), F.ceil(F.col("total") / BLOCK).alias("chunks")))
+    if large.isEmpty():
+        return None
+    dealt = rows.join(large, "cell").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    # about twice as many as needed are drawn, so that few rows of a cell are ranked; fewer pivots would do as well
+    draw = F.shiftrightunsigned(F.xxhash64("cls", F.lit(level)), 1).cast("double") / F.lit(2.0 ** 63)
+    drawn = dealt.filter("home").withColumn("draw", draw).filter(F.col("draw") * F.col("homes") < 2 * F.col("k") + 64)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("draw", "cls"))
+    pivots = materialize(drawn.withColumn("rank", rank).filter(F.col("rank") <= F.col("k")).groupBy("cell", "chunks").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "embedding"))), lambda x: x["embedding"]).alias("pivots")))
+    members = dealt.filter("home").select("cell", "chunk", "embedding")
+    spans = _together(members, pivots).applyInArrow(_spans, "cell string, part int, low double, high double")
+    spans = spans.groupBy("cell", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = spans.groupBy("cell").agg(F.collect_list(F.struct("part", "low", "high")).alias("spans"))  # at most FAN each
+    pivots = materialize(pivots.join(spans, "cell"))
+    first = _together(dealt.filter("chunk = 0").select("cell", "chunk", "home", "embedding"), pivots.withColumn("chunks", F.lit(1).cast("long")))
+    gain = first.applyInArrow(_gain(radius), "cell string, now double, then double")
+    pays = materialize(gain.filter(F.col("then") < PAYS * F.col("now")).select("cell"))
+    if pays.isEmpty():
+        return None
+    kind = rows.schema["embedding"].dataType.simpleString()
+    parts = _together(dealt.join(pays, "cell", "left_semi").select("cell", "chunk", "home", "cls", "n", "embedding"), pivots.join(pays, "cell", "left_semi"))
+    return pays, materialize(parts.applyInArrow(_divide(radius), f"cell string, home boolean, cls string, n long, embedding {kind}"))
+
+
+def _cells(distinct: DataFrame, radius: float) -> DataFrame:
+    """``cell, home, cls, n, embedding`` for every final cell in which a vector takes part."""
+    rows = distinct.select(F.col("dim").cast("string").alias("cell"), F.lit(True).alias("home"), "cls", "n", "embedding")
+    done, level = None, 0
+    while (division := _division(rows, radius, level)) is not None:
+        pays, parts = division
+        stay = rows.join(pays, "cell", "left_anti")
+        done, rows, level = stay if done is None else done.union(stay), parts, level + 1
+    return rows if done is None else done.union(rows)
 
 
 def _block_pairs(copies: DataFrame) -> DataFrame:
     """Each copy once for every pair of blocks that it belongs to: ``cell, a, b`` and its side."""
     sizes = copies.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
     blocks = sizes.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("gb"))
-    df = copies.join(F.broadcast(blocks), "cell")  # a row per pivot at most
+    df = copies.join(blocks, "cell")
     mine = F.pmod(F.xxhash64("cls"), F.when(F.col("home"), F.greatest("hb", F.lit(1))).otherwise(F.greatest("gb", F.lit(1)))).cast("int")
     df = df.withColumn("mine", mine)
     # home blocks meet home blocks of no lower number and all guest blocks, numbered on from ``hb``
@@ -157,21 +245,8 @@ def _compare(cosine: float):
 
 def near_pairs(distinct: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``a, links, b``: classes with links found in some pair of blocks, and a class each is tied to there."""
-    spark = distinct.sparkSession
     radius = math.sqrt(2.0 - 2.0 * cosine) + SLACK
-    found = None
-    for row in distinct.groupBy("dim").count().collect():  # the lengths of vectors, one as a rule
-        dim = distinct.filter(F.col("dim") == row["dim"])
-        k = max(1, min(PIVOTS, row["count"] // PER_PIVOT))
-        chosen = pa.array([r["embedding"] for r in dim.orderBy("cls").select("embedding").limit(k).collect()], pa.list_(pa.float64()))
-        pivots = _units(chosen)
-        low, high = np.full(k, math.inf), np.full(k, -math.inf)
-        for r in _homes(dim, pivots).collect():  # a row per pivot at most
-            low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
-        copies = materialize(_copies(dim, pivots, low, high, radius))
-        pairs = _block_pairs(copies).groupBy("cell", "a", "b").applyInArrow(_compare(cosine), "a string, b string, links long")
-        found = pairs if found is None else found.union(pairs)
-    return found if found is not None else spark.createDataFrame([], "a string, b string, links long")
+    return _block_pairs(_cells(distinct, radius)).groupBy("cell", "a", "b").applyInArrow(_compare(cosine), "a string, b string, links long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -67,3 +67,41 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out) == [(0, 0, 0), (0, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).count() == 0
+
+
+def test_cells_are_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 40)
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    monkeypatch.setattr(embeddings, "FAN", 6)
+    levels = []
+    division = embeddings._division
+    monkeypatch.setattr(embeddings, "_division", lambda rows, radius, level: levels.append(level) or division(rows, radius, level))
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 3))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 30] + rng.normal(size=3) * (0.02 if i % 7 else 0.2)]) for i in range(900)]
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.99
+    seen, root = set(), {}
+    for i in range(900):
+        todo = [] if i in seen else [i]
+        while todo:
+            j = todo.pop()
+            if j not in seen:
+                seen.add(j)
+                root[j] = i
+                todo += np.flatnonzero(near[j]).tolist()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    out = embeddings.near_duplicates(df, 0.99).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {i: (int(near[i].sum()) - 1, root[i]) for i in range(900)}
+    assert len(levels) > 2
+    cells = embeddings._cells(embeddings.classes(embeddings.with_class(df)), np.sqrt(0.02) + embeddings.SLACK)
+    assert cells.filter("home").count() == 900 and cells.count() < 5 * 900
+
+
+def test_no_cell_is_divided_in_vain(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(400)]
+    cells = embeddings._cells(embeddings.classes(embeddings.with_class(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), np.sqrt(0.2))
+    assert cells.count() == 400
