@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.common import components
-from netloom.session import materialize
+from netloom.session import broadcast_if_small, materialize
 
 COSINE = 0.9
 #: One pivot for so many members of a cell, at most so many for one division, and the share of comparisons it may keep.
@@ -153,7 +153,8 @@ def _together(rows: DataFrame, pivots: DataFrame):
     """Each chunk's rows beside the pivots of its cell."""
     # aliases, as both sides stem from the same columns
     side = pivots.select(*[F.col(c).alias(c) for c in pivots.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    return rows.groupBy("cell", "chunk").cogroup(side.groupBy("cell", "chunk"))
+    # dealt by chunk: a partitioning by cell alone would do for grouping, but put a whole cell into one task
+    return rows.repartition("cell", "chunk").groupBy("cell", "chunk").cogroup(side.repartition("cell", "chunk").groupBy("cell", "chunk"))
 
 
 def _division(rows: DataFrame, radius: float, level: int) -> tuple[DataFrame, DataFrame] | None:
@@ -163,7 +164,7 @@ def _division(rows: DataFrame, radius: float, level: int) -> tuple[DataFrame, Da
         "cell", "homes", F.least(F.lit(FAN), F.ceil(F.col("homes") / PER_PIVOT)).alias("k"), F.ceil(F.col("total") / BLOCK).alias("chunks")))
     if large.isEmpty():
         return None
-    dealt = rows.join(large, "cell").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    dealt = rows.join(broadcast_if_small(large), "cell").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
     # about twice as many as needed are drawn, so that few rows of a cell are ranked; fewer pivots would do as well
     draw = F.shiftrightunsigned(F.xxhash64("cls", F.lit(level)), 1).cast("double") / F.lit(2.0 ** 63)
     drawn = dealt.filter("home").withColumn("draw", draw).filter(F.col("draw") * F.col("homes") < 2 * F.col("k") + 64)
@@ -180,6 +181,7 @@ def _division(rows: DataFrame, radius: float, level: int) -> tuple[DataFrame, Da
     pays = materialize(gain.filter(F.col("then") < PAYS * F.col("now")).select("cell"))
     if pays.isEmpty():
         return None
+    pays = broadcast_if_small(pays)
     kind = rows.schema["embedding"].dataType.simpleString()
     parts = _together(dealt.join(pays, "cell", "left_semi").select("cell", "chunk", "home", "cls", "n", "embedding"), pivots.join(pays, "cell", "left_semi"))
     return pays, materialize(parts.applyInArrow(_divide(radius), f"cell string, home boolean, cls string, n long, embedding {kind}"))
@@ -200,7 +202,7 @@ def _block_pairs(copies: DataFrame) -> DataFrame:
     """Each copy once for every pair of blocks that it belongs to: ``cell, a, b`` and its side."""
     sizes = copies.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
     blocks = sizes.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("gb"))
-    df = copies.join(blocks, "cell")
+    df = copies.join(broadcast_if_small(materialize(blocks)), "cell")
     mine = F.pmod(F.xxhash64("cls"), F.when(F.col("home"), F.greatest("hb", F.lit(1))).otherwise(F.greatest("gb", F.lit(1)))).cast("int")
     df = df.withColumn("mine", mine)
     # home blocks meet home blocks of no lower number and all guest blocks, numbered on from ``hb``
@@ -246,7 +248,8 @@ def _compare(cosine: float):
 def near_pairs(distinct: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``a, links, b``: classes with links found in some pair of blocks, and a class each is tied to there."""
     radius = math.sqrt(2.0 - 2.0 * cosine) + SLACK
-    return _block_pairs(_cells(distinct, radius)).groupBy("cell", "a", "b").applyInArrow(_compare(cosine), "a string, b string, links long")
+    met = _block_pairs(_cells(distinct, radius)).repartition("cell", "a", "b")  # not by cell alone
+    return met.groupBy("cell", "a", "b").applyInArrow(_compare(cosine), "a string, b string, links long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
