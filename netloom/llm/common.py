@@ -26,8 +26,12 @@ def field(name: str) -> Column:
 
 
 def row_keys(doc_id: Column, text: Column, *more: Column) -> list[Column]:
-    """Two columns, never null, that tell rows apart unless they agree in the id and the hashed text."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(doc_id, text, *more).alias("k2")]
+    """Two columns, never null, that tell rows apart unless they agree in the id and the hashed text.
+
+    The first is the id itself where it is a whole number or the text of one, else a hash of the id.
+    """
+    hashed = F.when(doc_id.isNotNull(), F.xxhash64(doc_id))
+    return [F.coalesce(doc_id.try_cast("long"), hashed, F.lit(-1).cast("long")).alias("k1"), F.xxhash64(doc_id, text, *more).alias("k2")]
 
 
 def log_gamma(x: Column) -> Column:

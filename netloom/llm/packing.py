@@ -6,12 +6,13 @@ pieces are packed best-fit decreasing: from the longest on, each goes to the ope
 room that still holds it, which a segment tree over the remaining capacities finds in logarithmic time.
 
 Groups are cut from the scan as it comes, without a shuffle: the rest that packing leaves open depends
-on a group's size only, so larger groups would save little, and a task's memory is that of one group.
+on a group's size only, so larger groups would save little, and a task's memory is that of one group.  So which documents share
+a row, and ``pack_id``, which counts within a scan partition, follow the way files are split; what is packed does not.
 
 An output row has the ids (little-endian 32-bit integers, padded to the full length), the number of
 tokens, the cumulative segment lengths (0 first), the places where positions start again, and the
 document and offset of each segment.  Null and empty texts have no tokens and stand in no row;
-repeated rows are packed each; null ids are passed through; an empty table gives an empty one.
+repeated rows are packed each; null ids are passed through, whole numbers as long, other ids as text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,16 +24,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm import sentencepiece
 
 ROW_TOKENS, PAD_ID = 2048, 0
 GROUP_TOKENS = 1 << 22
+ID_TYPES = {"long": pa.int64(), "string": pa.string()}
 
-SCHEMA = ("pack_id long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
-          "doc_ids array<long>, doc_offsets array<long>")
-ARROW = pa.schema([("pack_id", pa.int64()), ("input_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
-                   ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64()))])
+
+def _schema(kind: str) -> str:
+    return ("pack_id long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
+            f"doc_ids array<{kind}>, doc_offsets array<long>")
+
+
+def _arrow(kind: str) -> pa.Schema:
+    return pa.schema([("pack_id", pa.int64()), ("input_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())),
+                      ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(ID_TYPES[kind])), ("doc_offsets", pa.list_(pa.int64()))])
+
+
+def _kind(id_type: T.DataType) -> str:
+    """Whole numbers come out as long, any other id as its text."""
+    return "long" if isinstance(id_type, T.IntegralType) else "string"
 
 
 class Rooms:
@@ -87,8 +100,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def _pack(pieces: list[tuple], capacity: int, pad: int, first: int) -> pa.RecordBatch:
-    out: dict[str, list] = {name: [] for name in ARROW.names}
+def _pack(pieces: list[tuple], capacity: int, pad: int, first: int, arrow: pa.Schema) -> pa.RecordBatch:
+    out: dict[str, list] = {name: [] for name in arrow.names}
     for n, row in enumerate(best_fit_decreasing([len(p[2]) for p in pieces], capacity)):
         ids = np.full(capacity, pad, "<i4")
         ends = np.cumsum([0] + [len(pieces[i][2]) for i in row])
@@ -97,37 +110,39 @@ def _pack(pieces: list[tuple], capacity: int, pad: int, first: int) -> pa.Record
         values = (first + n, ids.tobytes(), int(ends[-1]), ends.tolist(), ends[:-1].tolist(), [pieces[i][0] for i in row], [pieces[i][1] for i in row])
         for column, value in zip(out.values(), values, strict=True):
             column.append(value)
-    return pa.RecordBatch.from_pydict(out, ARROW)
+    return pa.RecordBatch.from_pydict(out, arrow)
 
 
-def _packed(documents: Iterator[tuple[int | None, np.ndarray]], row_tokens: int, pad_id: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
+def _packed(documents: Iterator[tuple[int | str | None, np.ndarray]], row_tokens: int, pad_id: int, group_tokens: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The packed rows of one task's documents, group by group."""
     pieces, held, made = [], 0, TaskContext.get().partitionId() << 36
     for doc, ids in documents:
         for at in range(0, len(ids), row_tokens):
             piece = ids[at:at + row_tokens].astype("<i4")
             if held + len(piece) > group_tokens and pieces:
-                packed = _pack(pieces, row_tokens, pad_id, made)
+                packed = _pack(pieces, row_tokens, pad_id, made, arrow)
                 made, pieces, held = made + packed.num_rows, [], 0
                 yield from sentencepiece.slices(packed)
             pieces.append((doc, at, piece))
             held += len(piece)
     if pieces:
-        yield from sentencepiece.slices(_pack(pieces, row_tokens, pad_id, made))
+        yield from sentencepiece.slices(_pack(pieces, row_tokens, pad_id, made, arrow))
 
 
 def pack_ids(tokens: DataFrame, row_tokens: int = ROW_TOKENS, pad_id: int = PAD_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Packed rows from ``doc_id, ids``."""
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    kind = _kind(tokens.schema["doc_id"].dataType)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | str | None, np.ndarray]]:
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if ids.is_valid:
                     yield doc, ids.values.to_numpy(zero_copy_only=False)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens)
+        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens, _arrow(kind))
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(pack, SCHEMA)
+    return tokens.select(F.col("doc_id").cast(kind).alias("doc_id"), "ids").mapInArrow(pack, _schema(kind))
 
 
 def position_ids(cu_seqlens: Column) -> Column:
@@ -139,8 +154,9 @@ def position_ids(cu_seqlens: Column) -> Column:
 def pack_documents(docs: DataFrame, model_path: str, row_tokens: int = ROW_TOKENS, pad_id: int = PAD_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """``docs`` encoded by the pieces of a model file and packed, in one pass."""
     name = sentencepiece.ship(docs, model_path)
+    kind = _kind(docs.schema["doc_id"].dataType)
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | str | None, np.ndarray]]:
         pieces = sentencepiece.load(name)
         for batch in batches:
             for part in sentencepiece.slices(batch):
@@ -148,9 +164,9 @@ def pack_documents(docs: DataFrame, model_path: str, row_tokens: int = ROW_TOKEN
                     yield doc, np.frombuffer(pieces.encode(text or ""), "<i4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens)
+        yield from _packed(documents(batches), row_tokens, pad_id, group_tokens, _arrow(kind))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(pack, _schema(kind))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -160,6 +176,8 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 def unpack(packed: DataFrame) -> DataFrame:
     """``doc_id, offset, ids`` of every segment: what was packed, to be read back."""
+    kind = packed.schema["doc_ids"].dataType.elementType.simpleString().replace("bigint", "long")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "offset": [], "ids": []}
@@ -169,6 +187,6 @@ def unpack(packed: DataFrame) -> DataFrame:
                     out["doc_id"].append(doc)
                     out["offset"].append(row["doc_offsets"][i])
                     out["ids"].append(ids[cu[i]:cu[i + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32()))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], ID_TYPES[kind]), pa.array(out["offset"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32()))], list(out))
 
-    return packed.mapInArrow(read, "doc_id long, offset long, ids array<int>")
+    return packed.mapInArrow(read, f"doc_id {kind}, offset long, ids array<int>")

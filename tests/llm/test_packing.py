@@ -64,3 +64,9 @@ def test_documents_are_encoded_and_packed(spark):
     for r in packing.unpack(packing.pack_documents(docs, MODEL)).orderBy("doc_id", "offset").collect():
         texts.setdefault(r["doc_id"], []).extend(r["ids"])
     assert {d: pieces.decode(np.array(ids)) for d, ids in texts.items()} == {1: "some words here", 4: "long " * 5000}
+
+
+def test_text_ids_stay_text(spark):
+    tokens = spark.createDataFrame([("a-1", [1, 2, 3]), (None, [4]), ("b", [5, 6])], "doc_id string, ids array<int>")
+    back = packing.unpack(packing.pack_ids(tokens, row_tokens=2)).collect()
+    assert sorted((r["doc_id"] or "", r["offset"], r["ids"]) for r in back) == [("", 0, [4]), ("a-1", 0, [1, 2]), ("a-1", 2, [3]), ("b", 0, [5, 6])]
