@@ -121,6 +121,39 @@ def test_batches_are_exact_and_differ_by_epoch(spark, tmp_path, monkeypatch, row
     assert (again.total, again.batch_rows) == (rows, batch_rows)
 
 
+def test_dealt_pieces_hold_the_rows_of_each_batch(spark, tmp_path, monkeypatch):
+    for name, value in {"PIECE_ROWS": 16, "SEGMENT_ROWS": 150, "SEGMENT_FILES": 3}.items():
+        monkeypatch.setattr(training, name, value)
+    frame = spark.range(333).select(F.col("id").alias("flow_id"), F.array("id", -F.col("id")).cast("array<double>").alias("ctx"), F.array(F.col("id") * 2.0).alias("label"))
+    made = training.training_table(frame, str(tmp_path), batch_rows=50)
+    numbered = {}
+    for r in made.numbered(1).collect():
+        numbered.setdefault(r.batch, set()).add(r.flow_id)
+    read = {}
+    for r in made.read(1).collect():
+        read.setdefault(r.batch, set()).add(r.flow_id)
+    assert read == numbered
+    dealt, jobs = made.deal(1), spark.sparkContext
+    for b in range(made.batches):
+        batch = dealt.batch(b)
+        pieces = [v for _, v in jobs.runJob(batch.pieces, lambda rows: rows, batch.parts)]
+        assert len(pieces) <= 4 and all(n <= 16 for _, _, n in pieces)
+        ids = [x for ctx, _, n in pieces for x in np.frombuffer(ctx).reshape(n, 2)[:, 0].tolist()]
+        assert len(ids) == len(numbered[b]) and set(ids) == numbered[b]
+        assert [x for _, label, _ in pieces for x in np.frombuffer(label).tolist()] == [2 * i for i in ids]
+    dealt.close()
+
+
+def test_batch_gradients_need_no_shuffle_and_equal_those_of_the_table(table, tmp_path):
+    made = training.training_table(table, str(tmp_path), batch_rows=150)
+    params = fitting.initial_mixtures(PLAN) | fitting.initial_heads(PLAN)
+    dealt = made.deal(0)
+    for b in (0, 3):
+        quick, plain = fitting._gradient_job(dealt.batch(b), PLAN, params, True), fitting._gradient_job(made.batch(0, b), PLAN, params, True)
+        assert all(quick[c][0] == pytest.approx(plain[c][0]) and np.allclose(quick[c][1], plain[c][1], atol=1e-12) for c in params)
+    dealt.close()
+
+
 def test_batches_read_the_files_of_their_positions_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(training, "SHELF_ROWS", 100)
     frame = spark.range(5_000).select(F.col("id").alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
