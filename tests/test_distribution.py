@@ -154,3 +154,15 @@ def test_scalers(spark):
     assert [r.x_normed for r in scaling.minmax_scale(df, fitted).collect()] == [0, 0.5, 1, 1]
     coded = scaling.ordinal_encode(df, ["c"]).collect()
     assert sorted((r.c or "", r.c_normed) for r in coded) == [("", None), ("a", 0.0), ("b", 1.0), ("b", 1.0)]
+
+
+def test_sampled_curve_holds_every_external_end(spark, tmp_path):
+    """More ends than any fixed sample of 5,000."""
+    from netloom.plans import catalog
+
+    events = spark.range(6_000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-05 00:00:00' AS ts", "id % 40 AS user_id", "'view' AS event_type", "CAST(id % 90 AS DOUBLE) AS value", "'{}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    curve = catalog.sampled_ip_curve(spark, str(tmp_path)).collect()
+    whole = {r.ip: r.value for r in catalog.ip_occurrence_curve(spark, str(tmp_path)).collect()}
+    assert sum(whole.values()) > 5_000 and {r.ip: r.value for r in curve} == whole
