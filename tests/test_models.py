@@ -368,6 +368,16 @@ def test_artificial_series(spark):
     assert abs(noise.mean()) < 0.1 and noise.std() == pytest.approx(1, abs=0.1)
 
 
+def test_generated_rows_and_positions_are_not_broadcast(spark, tmp_path):
+    from conftest import SF_DIR
+    from netloom.plans import catalog
+
+    frame = spark.range(40).select(F.col("id").alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
+    for joined in (catalog.artificial_correlation(spark, SF_DIR), training.training_table(frame, str(tmp_path), batch_rows=10).read(0)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_tasks_learn(spark):
     rng = np.random.default_rng(0)
     rows = [(float(a), float(b), float(a + b > 1) + float(a + b > 1.5), float(3 * a - b)) for a, b in rng.uniform(size=(600, 2))]
