@@ -38,6 +38,16 @@ def test_windows_round_trip(spark, flows, tmp_path):
     assert back.count() == rows.count()
 
 
+def test_exported_windows_are_compressed(spark, make_flows, tmp_path):
+    rows = windows.prepare_windows(make_flows(*[{"sp": 2000 + i} for i in range(50)]))
+    sinks.write_windows(rows, str(tmp_path / "w"))
+    sinks.export_windows(spark, str(tmp_path / "w"), str(tmp_path / "text"))
+    text = spark.read.text(str(tmp_path / "text"))
+    assert text.count() == 50 and src.read_windows(spark, str(tmp_path / "text"), 6, 16).count() == 50
+    names = [p.name for p in (tmp_path / "text").glob("part-*")]
+    assert names and all(n.endswith(".gz") for n in names)
+
+
 def test_user_folders_append(spark, flows, tmp_path):
     path = str(tmp_path / "u")
     users = flows.withColumn("user", F.col("this_ip"))
