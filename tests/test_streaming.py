@@ -73,6 +73,15 @@ def test_late_files_are_repaired(spark, flows, tmp_path, cell):
     assert 0 < void < len(want)
 
 
+def test_windows_are_written_once(spark, flows, arriving, tmp_path, monkeypatch):
+    """Windows, far wider than flows, go to their own files only; no copy of them is kept in between."""
+    kept = []
+    monkeypatch.setattr(jobs, "materialize", lambda df: kept.append(df.columns) or session.materialize(df))
+    jobs.carried_windows(_stream(spark, arriving), str(tmp_path))
+    assert kept and not any("ctx" in names for names in kept)
+    assert jobs.read_carried_windows(spark, str(tmp_path)).columns == windows.prepare_windows(flows).columns
+
+
 def test_levels_keep_few_runs_and_survive_a_repeated_batch(spark, tmp_path):
     state = levels.Levels(spark, str(tmp_path / "sums"), levels.sums("k"), fan=3)
     for n in range(20):
