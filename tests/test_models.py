@@ -224,6 +224,41 @@ def test_label_hook_changes_the_classes(table):
     assert head.classes.tolist() == [0, 1]
 
 
+def test_regression_gradient_is_the_slope():
+    rng = np.random.default_rng(1)
+    flat, cls = rng.normal(size=4 * 4), np.array([0, 3, 1, 1, 2])
+    x = np.hstack([rng.normal(size=(5, 3)), np.ones((5, 1))]).astype(np.float32)
+    loss, grad = fitting._regression_gradient(flat, x, cls)
+    want = fitting._softmax_gradient(flat, x[:, :-1].astype(float), cls, 4)
+    assert loss == pytest.approx(want[0], rel=1e-5) and np.allclose(grad, want[1], atol=1e-4)
+
+
+def test_regressions_share_their_passes(spark, table, monkeypatch):
+    """All discrete columns are fitted by the same jobs, to what a fit of each column alone gives."""
+    passes = []
+    job = fitting._regression_job
+    monkeypatch.setattr(fitting, "_regression_job", lambda *a: passes.append(sorted(a[-1])) or job(*a))
+    heads = fitting.fit_all_discrete(table, PLAN, max_iter=30, reg=0.01)
+    assert passes[0] == [1, 2] and len(passes) < 60
+    rows = table.select("ctx", "label").collect()
+    x = np.array([r.ctx[:PLAN.input_dim] for r in rows])
+    for col, head in heads.items():
+        alone = fitting.fit_discrete(table, PLAN, col, max_iter=30, reg=0.01)
+        assert head.classes.tolist() == alone.classes.tolist() and np.allclose(head.weights, alone.weights, atol=1e-3)
+        # the loss is flat in every direction but for the weights' own pull
+        seen = x * np.array(PLAN.feature_mask(col))
+        cls = np.searchsorted(head.classes, [int(v) for v in fitting._classes(np.array([r.label for r in rows]), PLAN, col)])
+        flat = np.hstack([head.weights, head.bias[:, None]])
+        _, grad = fitting._softmax_gradient(flat.ravel(), seen, cls, len(head.classes))
+        pull = np.hstack([0.01 * head.weights, np.zeros((len(flat), 1))])
+        assert np.abs(grad.reshape(flat.shape) / len(rows) + pull).max() < 5e-3
+
+
+def test_rows_of_classes_not_listed_are_left_out(spark, table):
+    head = fitting.fit_discrete(table, PLAN, 1, max_iter=3, label_hook=lambda c: F.when(c % 3 != 2, c % 3).cast("int"))
+    assert head.classes.tolist() == [0, 1] and np.isfinite(head.weights).all()
+
+
 def test_single_class_needs_no_fit(spark, table):
     constant = table.withColumn("label", F.array(F.lit(0.5), F.lit(3.0), F.lit(1.0)))
     head = fitting.fit_discrete(constant, PLAN, 1)
