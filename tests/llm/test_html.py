@@ -152,6 +152,72 @@ def test_a_teaser_is_not_the_article(spark):
     assert {i: out[i] for i in range(3)} == {i: f"Teaser {i} {body(i)} Number {i}." for i in range(3)}
 
 
+def _notice_pages():
+    rng = random.Random(5)
+    notice = "Sign up for our free daily letter and get every story first"
+    usual = "some passage of eight words that few have"
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+
+    def page(*blocks):
+        return "<nav>Menu</nav><article><h1>In short</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+
+    rows = []
+    for i in range(40):
+        rows.append((f"http://many/{i}", page(own(30), *([notice] if i % 4 else []), *([usual] if i % 3 == 0 else []), f"{notice} {i}", own(9))))
+        rows.append((f"http://few/{i}", page(own(30), notice)) if i < 9 else (f"http://loose/{i}", page(own(30), notice) + f"<p>beside {own(3)}</p>"))
+        rows.append((f"http://copies/{i}", rows[0][1]))
+        rows.append((f"http://versions/{i}", page("an article of which each version has all words but the last", f"version {i}")))
+    return [(i, *r) for i, r in enumerate(rows)] + [(999, "http://many/", None), (1000, "http://many/none", "<p>nothing</p>"), (0, *rows[0])]
+
+
+def _plain_notices(rows, run):
+    """The text of pages without loose blocks by counting, per host, the different articles that have each run."""
+    having, articles = {}, {}
+    read = [(p, url.split("/")[2], html.blocks(page or "")) for p, url, page in rows]
+    for _, host, found in read:
+        text = tuple(t for k, t in found if k == html.ARTICLE)
+        if text:
+            articles.setdefault(host, set()).add(text)
+            for w in (t.split() for t in text):
+                for i in range(len(w) - run + 1):
+                    having.setdefault((host, tuple(w[i:i + run])), set()).add(text)
+
+    def covered(host, w):
+        there = set()
+        for i in range(len(w) - run + 1):
+            n = len(having[host, tuple(w[i:i + run])])
+            if n >= html.COMMON and 2 * n > len(articles[host]):
+                there |= set(range(i, i + run))
+        return len(there) == len(w)
+
+    out = []
+    for p, host, found in read:
+        if any(k == html.LOOSE for k, _ in found):
+            continue
+        text = [t for k, t in found if k == html.ARTICLE]
+        kept = [t for t in text if not covered(host, t.split())]
+        out.append((p, " ".join(text if 2 * sum(map(len, kept)) <= sum(map(len, text)) else kept)))
+    return out
+
+
+@pytest.mark.parametrize(("run", "chunk"), [(8, 2000), (8, 7), (4, 3)])
+def test_articles_pass_through_the_arrays_of_their_host(spark, run, chunk):
+    rows = _notice_pages()
+    out = html.main_text(spark.createDataFrame(rows, DDL), run, chunk).collect()
+    notice = "Sign up for our free daily letter and get every story first"
+    texts = sorted((r["page_id"], r["text"]) for r in out if "/loose/" not in r["url"] and "/none" not in r["url"])
+    assert texts == sorted(_plain_notices(rows, run))
+    of = {r["url"]: r["text"] for r in out}
+    assert notice not in of["http://loose/20"] and " beside " not in of["http://loose/20"]
+    assert all(of[f"http://few/{i}"].endswith(notice) for i in range(9))
+    assert len({of[f"http://copies/{i}"] for i in range(40)}) == 1 and "In short" in of["http://copies/3"]
+    assert all(of[f"http://versions/{i}"].endswith(f"all words but the last version {i}") for i in range(40))
+    # a block with words of the page's own is no notice
+    assert all(of[f"http://many/{i}"].count(notice) == 1 and of[f"http://many/{i}"].startswith("In short w") for i in range(40))
+
+
 def test_class_names_are_read_whole():
     def kept(name):
         return bool([t for k, t in html.blocks(f"<article>a<div class='{name}'>b</div></article>") if t == "b" and k == html.ARTICLE])
