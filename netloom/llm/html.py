@@ -43,7 +43,7 @@ from netloom.session import broadcast_if_small, materialize, shared_path
 #: Tokens of a long run; a power of two.  Pages of a chunk.
 RUN, CHUNK_PAGES = 8, 250
 #: Articles that have a common run, at least; common runs of all hosts that go to every worker; pages held parsed at once.
-COMMON, SENT_RUNS, PARSED_PAGES = 10, 1_000_000, 1_000
+COMMON, SENT_RUNS, PARSED_PAGES = 10, 4_000_000, 1_000
 #: Of the hash of a run, a polynomial of its words' hashes.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 

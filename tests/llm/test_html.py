@@ -203,7 +203,8 @@ def _plain_notices(rows, run):
 
 
 @pytest.mark.parametrize(("run", "chunk"), [(8, 2000), (8, 7), (4, 3)])
-def test_articles_pass_through_the_arrays_of_their_host(spark, run, chunk):
+def test_articles_pass_through_the_arrays_of_their_host(spark, monkeypatch, run, chunk):
+    monkeypatch.setattr(html, "SENT_RUNS", 0 if run == 4 else html.SENT_RUNS)
     rows = _notice_pages()
     out = html.main_text(spark.createDataFrame(rows, DDL), run, chunk).collect()
     notice = "Sign up for our free daily letter and get every story first"
