@@ -201,6 +201,46 @@ def test_a_stopped_fit_goes_on_where_it_was(spark, table, tmp_path, monkeypatch)
         store.load(9)
 
 
+def test_many_batches_are_walked_by_segments(spark, table, tmp_path, monkeypatch):
+    """A job a segment and not a batch, to the parameters and losses of steps that are a job each."""
+    monkeypatch.setattr(fitting, "STEPPED_BATCHES", 8)
+    stepped, stepped_log = fitting.fit_batches(table, PLAN, 2, 75, path=str(tmp_path / "stepped"))
+    monkeypatch.setattr(fitting, "STEPPED_BATCHES", 7)
+    monkeypatch.setattr(fitting, "_gradient_job", None)
+    monkeypatch.setattr(training, "SEGMENT_ROWS", 230)
+    monkeypatch.setattr(training, "PIECE_ROWS", 20)
+    monkeypatch.setattr(training, "SEGMENT_FILES", 3)
+    walks, walk = [], fitting._walk
+    monkeypatch.setattr(fitting, "_walk", lambda *a: walks.append(a[1]) or walk(*a))
+    path = str(tmp_path / "walked")
+    fitting.fit_batches(table, PLAN, 1, 75, path=path)
+    walked, log = fitting.fit_batches(table, PLAN, 2, 75, path=path)
+    assert walks == [0, 1, 2] * 2
+    assert np.allclose(walked.mixtures[0], stepped.mixtures[0], atol=1e-9)
+    assert all(np.allclose(walked.heads[c].weights, stepped.heads[c].weights, atol=1e-9) for c in (1, 2))
+    for a, b in zip(log.orderBy("epoch").collect(), stepped_log.orderBy("epoch").collect(), strict=True):
+        assert (a.epoch, a.steps, a.optimizer_step) == (b.epoch, 8, b.optimizer_step)
+        assert [a.loss_0, a.loss_1, a.loss_2] == pytest.approx([b.loss_0, b.loss_1, b.loss_2])
+
+
+def test_steps_of_a_walk_take_the_gradient_of_the_batch():
+    plan, rng = cfg.flow_plan(), np.random.default_rng(2)
+    params = {c: p + 0.1 * rng.normal(size=p.shape) for c, p in (fitting.initial_mixtures(plan) | fitting.initial_heads(plan)).items()}
+    x, label = rng.uniform(size=(700, 96)), rng.uniform(size=(700, 16))
+    for col in (5, 6, 7, 8, 9, 10):
+        label[:, col] = rng.integers(0, plan.class_count(col), 700)
+    whole = fitting._gradients(params, plan, True, x, label)
+    for col, (loss, grad) in fitting._step_gradients(params, plan, True, x, label).items():
+        assert loss == pytest.approx(whole[col][0] / 700, rel=1e-6) and np.allclose(grad, whole[col][1] / 700, atol=fitting.GUARD)
+
+
+def test_columns_of_a_walk_are_shared_out():
+    plan = cfg.flow_plan()
+    params = fitting.initial_mixtures(plan) | fitting.initial_heads(plan)
+    shares = fitting._shares(plan, params)
+    assert sorted(c for s in shares for c in s) == sorted(plan.order) and [5] in shares and [6] in shares and len(shares) < 9
+
+
 def test_softmax_gradient_against_differences():
     rng = np.random.default_rng(0)
     flat, x, cls = rng.normal(size=4 * 4), rng.normal(size=(5, 3)), np.array([0, 3, 1, 1, 2])
