@@ -154,6 +154,21 @@ def test_batch_gradients_need_no_shuffle_and_equal_those_of_the_table(table, tmp
     dealt.close()
 
 
+def test_positions_and_places_are_those_of_the_definition(spark, tmp_path, monkeypatch):
+    """Rows are moved once, without a sampling pass; equal and null keys too get positions of their own."""
+    monkeypatch.setattr(training, "PART_ROWS", 100)
+    frame = spark.range(1_000).select((F.col("id") * 3).alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
+    made = training.training_table(frame, str(tmp_path / "a"), batch_rows=70)
+    want = {r.flow_id: r.pos for r in sampling.dense_positions(frame, "flow_id").collect()}
+    assert {r.flow_id: r.pos for r in made.rows.collect()} == want
+    for epoch in (0, 2):
+        places = made.placed(epoch).withColumn("want", made.place(F.col("pos"), epoch)).collect()
+        assert len(places) == 1_000 and all(r.place == r.want for r in places)
+    odd = frame.withColumn("flow_id", F.when(F.col("flow_id") % 2 == 0, F.lit(8)).when(F.col("flow_id") > 1_500, F.col("flow_id")))
+    positions = [r.pos for r in training.training_table(odd, str(tmp_path / "b"), batch_rows=70).rows.collect()]
+    assert sorted(positions) == list(range(1_000))
+
+
 def test_batches_read_the_files_of_their_positions_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(training, "SHELF_ROWS", 100)
     frame = spark.range(5_000).select(F.col("id").alias("flow_id"), F.array(F.lit(0.0)).alias("ctx"), F.array(F.lit(0.0)).alias("label"))
@@ -202,7 +217,7 @@ def test_a_stopped_fit_goes_on_where_it_was(spark, table, tmp_path, monkeypatch)
 
 
 def test_many_batches_are_walked_by_segments(spark, table, tmp_path, monkeypatch):
-    """A job a segment and not a batch, to the parameters and losses of steps that are a job each."""
+    """A job a segment and share of columns, not a batch, to the parameters and losses of steps that are a job each."""
     monkeypatch.setattr(fitting, "STEPPED_BATCHES", 8)
     stepped, stepped_log = fitting.fit_batches(table, PLAN, 2, 75, path=str(tmp_path / "stepped"))
     monkeypatch.setattr(fitting, "STEPPED_BATCHES", 7)
@@ -215,7 +230,7 @@ def test_many_batches_are_walked_by_segments(spark, table, tmp_path, monkeypatch
     path = str(tmp_path / "walked")
     fitting.fit_batches(table, PLAN, 1, 75, path=path)
     walked, log = fitting.fit_batches(table, PLAN, 2, 75, path=path)
-    assert walks == [0, 1, 2] * 2
+    assert sorted(walks) == sorted([0, 1, 2] * 2 * len(fitting._shares(PLAN, fitting.initial_mixtures(PLAN) | fitting.initial_heads(PLAN))))
     assert np.allclose(walked.mixtures[0], stepped.mixtures[0], atol=1e-9)
     assert all(np.allclose(walked.heads[c].weights, stepped.heads[c].weights, atol=1e-9) for c in (1, 2))
     for a, b in zip(log.orderBy("epoch").collect(), stepped_log.orderBy("epoch").collect(), strict=True):
